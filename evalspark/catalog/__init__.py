@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("learner",)
+AREAS = ("learner", "adaptive")
 
 
 def load_all() -> tuple[dict, dict]:

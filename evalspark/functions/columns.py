@@ -41,8 +41,8 @@ def any_of(cols) -> Column:
 
 def days_between(a: Column, b: Column) -> Column:
     """Whole elapsed days from ``a`` to ``b``, never negative."""
-    return F.greatest(F.lit(0).cast("long"),
-                      F.floor(F.timestamp_diff("MICROSECOND", a, b) / F.lit(86400000000)))
+    d = F.floor(F.timestamp_diff("MICROSECOND", a, b) / F.lit(86400000000))
+    return F.when(d.isNotNull(), F.greatest(F.lit(0).cast("long"), d))
 
 
 def content_id(prefix: str, *parts: Column, length: int = 12) -> Column:

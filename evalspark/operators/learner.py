@@ -77,76 +77,64 @@ def _interval(base: Column, k: Column) -> Column:
 
 def _local(ev: DataFrame) -> DataFrame:
     """Folds inside one (key, day) block."""
-    ev = (ev.withColumn("_blk", F.date_trunc("DAY", "created_at"))
-          .withColumn("_g", F.col("signal").isNotNull().cast("long"))
-          .withColumn("_s", F.coalesce("signal", F.lit(0.0)))
-          .withColumn("_o", _outcome(F.col("status"))))
-    run = (Window.partitionBy(*KEYS, "_blk").orderBy(*ORDER)
-           .rowsBetween(Window.unboundedPreceding, 0))
-    back = lambda n: run.rowsBetween(-n, 0)
-    reset = F.when(F.col("_o") == "partial", R["partial"]).when(F.col("_o") == "incorrect",
-                                                                R["incorrect"])
-    ev = (ev.withColumn("_n", F.count(F.lit(1)).over(run))
-          .withColumn("_gi", F.sum("_g").over(run))
-          .withColumn("_si", F.col("_s") * (F.col("_gi") - 1))
-          .withColumn("_ok", (F.col("_o") == "correct").cast("long"))
-          .withColumn("_c", F.sum("_ok").over(run))
-          .withColumn("_reset", reset))
-    graded = Window.partitionBy(*KEYS, "_blk", "_g").orderBy(*ORDER).rowsBetween(-7, 0)
-    return (ev.withColumn("_tail_g", F.when(F.col("_g") == 1, F.collect_list("signal").over(graded)))
-            .withColumn("_ls", F.sum("_s").over(run))
-            .withColumn("_lsi", F.sum("_si").over(run))
-            .withColumn("_lc", F.sum((F.col("_s") >= 0.5).cast("long")).over(run))
-            .withColumn("_tail", F.coalesce(F.last("_tail_g", True).over(run),
-                                            F.array().cast("array<double>")))
-            .withColumn("_base", F.last("_reset", True).over(run))
-            .withColumn("_cr", F.last(F.when(F.col("_reset").isNotNull(), F.col("_c")), True)
-                        .over(run))
-            .withColumn("_first", F.first("_o").over(run))
-            .withColumn("_lastc", F.max(F.when(F.col("signal") >= 0.99, F.col("created_at")))
-                        .over(run)))
+    o = _outcome(F.col("status"))
+    reset = F.when(o == "partial", R["partial"]).when(o == "incorrect", R["incorrect"])
+    ev = ev.withColumns({
+        "_blk": F.date_trunc("DAY", "created_at"), "_g": F.col("signal").isNotNull().cast("long"),
+        "_s": F.coalesce("signal", F.lit(0.0)), "_ok": (o == "correct").cast("long"),
+        "_first_ok": (o == "correct"), "_reset": reset})
+    key = Window.partitionBy(*KEYS, "_blk")
+    run = key.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.withColumns({
+        "_n": F.count(F.lit(1)).over(run), "_gi": F.sum("_g").over(run),
+        "_c": F.sum("_ok").over(run), "_ls": F.sum("_s").over(run),
+        "_lc": F.sum((F.col("_s") >= 0.5).cast("long")).over(run),
+        "_base": F.last("_reset", True).over(run), "_first": F.first("_first_ok").over(run),
+        "_lastc": F.max(F.when(F.col("_s") >= 0.99, F.col("created_at"))).over(run)})
+    ev = ev.withColumns({
+        "_lsi": F.sum(F.col("_s") * (F.col("_gi") - 1)).over(run),
+        "_cr": F.last(F.when(F.col("_reset").isNotNull(), F.col("_c")), True).over(run)})
+    # ungraded rows share the graded index of the row before them and add nothing to the list
+    return ev.withColumn("_tail", F.collect_list("signal").over(
+        key.orderBy("_gi").rangeBetween(-7, 0)))
 
 
 _BLOCK = ["_n", "_gi", "_ls", "_lsi", "_lc", "_tail", "_base", "_c", "_cr", "_first", "_lastc"]
 
 
+def _first_base() -> Column:
+    return F.when(F.col("_first"), R["first_correct"]).otherwise(R["first_other"])
+
+
 def _blocks(local: DataFrame) -> DataFrame:
     """One summary row per (key, day), with everything folded before it."""
     last = F.max(F.struct(*ORDER, *_BLOCK, "signal", "status"))
-    b = (local.groupBy(*KEYS, "_blk").agg(last.alias("_e"), F.min("created_at").alias("_t0"))
-         .select(*KEYS, "_blk", "_t0", "_e.*"))
+    b = local.groupBy(*KEYS, "_blk").agg(last.alias("_e")).select(*KEYS, "_blk", "_e.*")
     over = Window.partitionBy(*KEYS).orderBy("_blk")
     prior = over.rowsBetween(Window.unboundedPreceding, -1)
+    run = over.rowsBetween(Window.unboundedPreceding, 0)
     some = Window.partitionBy(*KEYS, "_has").orderBy("_blk").rowsBetween(-8, -1)
     tot = lambda c: F.coalesce(F.sum(c).over(prior), F.lit(0))
-    b = (b.withColumn("p_n", tot("_n")).withColumn("p_g", tot("_gi"))
-         .withColumn("p_s", tot("_ls").cast("double")).withColumn("p_lc", tot("_lc"))
-         .withColumn("_bsi", F.col("_lsi") + F.col("p_g") * F.col("_ls")))
-    b = (b.withColumn("p_si", tot("_bsi").cast("double"))
-         .withColumn("p_lastc", F.max("_lastc").over(prior))
-         .withColumn("_has", F.col("_gi") > 0))
-    # last eight graded signals up to and including a block, then carried over ungraded blocks
-    b = (b.withColumn("_incl", F.when(F.col("_has"), F.concat(
-            F.flatten(F.collect_list("_tail").over(some)), F.col("_tail"))))
-         .withColumn("_incl", _last(F.col("_incl"), 8))
-         .withColumn("p_tail", F.coalesce(F.last("_incl", True).over(prior),
-                                          F.array().cast("array<double>"))))
+    is_reset = F.col("_base").isNotNull()
     # spacing: base of the last reset and correct answers since it
-    first = F.row_number().over(over) == 1
-    init_base = F.when(F.col("_first") == "correct", R["first_correct"]).otherwise(R["first_other"])
-    init_k = F.col("_c") - (F.col("_first") == "correct").cast("long")
-    b = (b.withColumn("_isfirst", first)
-         .withColumn("_bb", F.when(F.col("_base").isNotNull(), F.col("_base"))
-                     .when(F.col("_isfirst"), init_base))
-         .withColumn("_k", F.when(F.col("_base").isNotNull(), F.col("_c") - F.col("_cr"))
-                     .when(F.col("_isfirst"), init_k).otherwise(F.col("_c"))))
-    run = over.rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("_kr", F.sum("_k").over(run))
-    b = (b.withColumn("_mark", F.when(F.col("_bb").isNotNull(), F.col("_kr") - F.col("_k")))
-         .withColumn("p_base", F.last("_bb", True).over(prior))
-         .withColumn("p_k", F.coalesce(F.sum("_k").over(prior), F.lit(0))
-                     - F.coalesce(F.last("_mark", True).over(prior), F.lit(0))))
-    return b
+    b = b.withColumns({
+        "p_n": tot("_n"), "p_g": tot("_gi"), "p_s": tot("_ls").cast("double"), "p_lc": tot("_lc"),
+        "p_lastc": F.max("_lastc").over(prior), "_isfirst": F.row_number().over(over) == 1,
+        "_next": F.lead("_blk").over(over), "_has": F.col("_gi") > 0})
+    b = b.withColumns({
+        "_bsi": F.col("_lsi") + F.col("p_g") * F.col("_ls"),
+        "_incl": F.when(F.col("_has"), _last(F.concat(F.flatten(F.collect_list("_tail").over(some)),
+                                                      F.col("_tail")), 8)),
+        "_bb": F.when(is_reset, F.col("_base")).when(F.col("_isfirst"), _first_base()),
+        "_k": F.when(is_reset, F.col("_c") - F.col("_cr"))
+        .when(F.col("_isfirst"), F.col("_c") - F.col("_first").cast("long")).otherwise(F.col("_c"))})
+    b = b.withColumns({
+        "p_si": tot("_bsi").cast("double"), "p_tail": F.coalesce(
+            F.last("_incl", True).over(prior), F.array().cast("array<double>")),
+        "_kr": F.sum("_k").over(run), "p_base": F.last("_bb", True).over(prior)})
+    mark = F.when(F.col("_bb").isNotNull(), F.col("_kr") - F.col("_k"))
+    return b.withColumn("p_k", F.coalesce(F.lag("_kr").over(over), F.lit(0))
+                        - F.coalesce(F.last(mark, True).over(prior), F.lit(0)))
 
 
 def _last(arr: Column, n: int) -> Column:
@@ -158,27 +146,23 @@ _CARRY = ["p_n", "p_g", "p_s", "p_si", "p_lc", "p_tail", "p_base", "p_k", "p_las
 
 def _compose(df: DataFrame) -> DataFrame:
     """Block-local folds plus what came before = state after the row."""
-    g = F.col("p_g") + F.col("_gi")
-    tail8 = _last(F.concat("p_tail", "_tail"), 8)
-    init_base = F.when(F.col("_first") == "correct", R["first_correct"]).otherwise(R["first_other"])
-    base = F.coalesce("_base", "p_base", init_base)
+    base = F.coalesce("_base", "p_base", _first_base())
     k = (F.when(F.col("_base").isNotNull(), F.col("_c") - F.col("_cr"))
          .when(F.col("p_base").isNotNull(), F.col("p_k") + F.col("_c"))
-         .otherwise(F.col("_c") - (F.col("_first") == "correct").cast("long")))
-    df = (df.withColumn("n", F.col("p_n") + F.col("_n")).withColumn("n_graded", g)
-          .withColumn("_sum", F.col("p_s") + F.col("_ls"))
-          .withColumn("_isum", F.col("p_si") + F.col("_lsi") + F.col("p_g") * F.col("_ls"))
-          .withColumn("correct", F.col("p_lc") + F.col("_lc"))
-          .withColumn("_t8", tail8)
-          .withColumn("last_correct", F.greatest("p_lastc", "_lastc"))
-          .withColumn("interval_days", _interval(base, k)))
-    return (df.withColumn("incorrect", F.col("n_graded") - F.col("correct"))
-            .withColumn("score", _score(F.col("n_graded"), F.col("_sum"), F.col("_isum")))
-            .withColumn("confidence", _confidence(F.col("n_graded"), _last(F.col("_t8"), 7)))
-            .withColumn("status_after", mastery_status(F.col("score"), F.col("n"), F.col("correct"),
-                                                       F.col("_t8")))
-            .withColumn("next_review", F.col("created_at") + F.make_interval(
-                days=F.col("interval_days").cast("int"))))
+         .otherwise(F.col("_c") - F.col("_first").cast("long")))
+    df = df.withColumns({
+        "n": F.col("p_n") + F.col("_n"), "n_graded": F.col("p_g") + F.col("_gi"),
+        "_sum": F.col("p_s") + F.col("_ls"),
+        "_isum": F.col("p_si") + F.col("_lsi") + F.col("p_g") * F.col("_ls"),
+        "correct": F.col("p_lc") + F.col("_lc"), "_t8": _last(F.concat("p_tail", "_tail"), 8),
+        "last_correct": F.greatest("p_lastc", "_lastc"), "interval_days": _interval(base, k)})
+    df = df.withColumns({
+        "incorrect": F.col("n_graded") - F.col("correct"),
+        "score": _score(F.col("n_graded"), F.col("_sum"), F.col("_isum")),
+        "confidence": _confidence(F.col("n_graded"), _last(F.col("_t8"), 7)),
+        "next_review": F.col("created_at") + F.make_interval(days=F.col("interval_days").cast("int"))})
+    return df.withColumn("status_after", mastery_status(F.col("score"), F.col("n"), F.col("correct"),
+                                                        F.col("_t8")))
 
 
 def mastery_events(ev: DataFrame) -> DataFrame:
@@ -203,9 +187,7 @@ def mastery_events(ev: DataFrame) -> DataFrame:
 
 def mastery_states(ev: DataFrame) -> DataFrame:
     """Final state per (student, unit), folded from block summaries only."""
-    days = Window.partitionBy(*KEYS).orderBy("_blk")
-    b = (_blocks(_local(ev)).withColumn("_next", F.lead("_blk").over(days))
-         .filter("_next IS NULL"))
+    b = _blocks(_local(ev)).filter("_next IS NULL")
     df = _compose(b)
     return df.select(
         *KEYS, F.substring_index("unit_id", ":", 1).alias("unit_kind"),
