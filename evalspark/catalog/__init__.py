@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("learner", "adaptive")
+AREAS = ("learner", "adaptive", "text")
 
 
 def load_all() -> tuple[dict, dict]:

@@ -108,7 +108,7 @@ FROM (SELECT chunk_id, topic, pos, trim(lines[pos], ' ') AS text
     FROM (SELECT chunk_id, topic, string_split(text, chr(10)) AS lines FROM corpus)))
 WHERE text <> ''""", "corpus")
 
-TOKEN = "[a-zà-ÿ][a-zà-ÿ0-9_·''’μΩσ-]{2,}"
+TOKEN = "[a-zà-ÿ][a-zà-ÿ0-9_·''’μΩωσ-]{2,}"
 cte("queries", f"""
 SELECT item_id AS query_id, array_to_string(list_transform(list_filter(toks, (x, i) -> list_position(toks, x) = i)[1:8],
     x -> x), ' ') AS query, text AS gold_text
@@ -119,3 +119,28 @@ SELECT a.conv_id, a.turn, a.text AS answer, q.text AS question
 FROM conversations a LEFT JOIN conversations q
   ON q.conv_id = a.conv_id AND q.role = 'user' AND q.turn + 1 = a.turn
 WHERE a.role = 'assistant'""")
+
+
+def _pick(words, k):
+    return "[" + ", ".join(f"'{w}'" for w in words) + f"][{k} % {len(words)} + 1]"
+
+
+def _letter(e):
+    return f"substr('{fx.SYMBOL_LETTERS}', CAST(({e}) % 7 + 1 AS INTEGER), 1)"
+
+
+cte("formulas", f"""SELECT 'eq-' || p_partkey AS equation_id, '$' || {_letter('p_partkey')} || '_' || (p_size % 10) || ' = ' ||
+  {_letter('p_partkey // 7')} || '_' || (p_size % 4) || {sql_case('p_size % 3', fx.OPERATORS)} || {_letter('p_partkey // 49')} || '_{{' || (p_partkey % 12) || '}}$'
+  AS expression, p_size % 10 + 1 AS topic, p_name AS section, {_letter('p_partkey')} || '_' || (p_size % 10) AS symbol, p_partkey AS part,
+  p_brand AS source FROM part""")
+cte("formula_queries", f"""SELECT s_suppkey AS query_id, 'calcula ' || {_letter('s_suppkey')} || '_' || (s_suppkey % 10) || ' amb ' ||
+  {_letter('s_suppkey // 3')} || '_' || (s_suppkey % 4) || ' small ring' AS query FROM supplier""")
+cte("notes", f"""SELECT 'n-' || p_partkey AS note_id, p_size % 10 + 1 AS topic, p_name AS section, 'La magnitud ' || p_name || ' es mesura, on ' ||
+  {_letter('p_partkey')} || '_' || (p_size % 10) || ' és la sortida ' || lower(p_type) || ' de ' || p_brand || '. Sempre que ' || p_name ||
+  ' sigui estable, el valor val. ' || {_letter('p_partkey')} || '_' || (p_size % 10) || ': valor ' || p_size || ' unitats.' AS text FROM part""")
+
+from evalspark.functions import lexicon as _X  # noqa: E402
+
+cte("quantities", f"""SELECT l_orderkey AS session_id, l_linenumber AS position, l_quantity AS value,
+  {_pick(['', *_X.PREFIXES], 'l_partkey')} || {_pick(_X.BASE_UNITS, 'l_suppkey')} AS unit, {_pick(_X.BASE_UNITS, 'l_partkey')} AS other_unit,
+  {_pick(_X.BASE_UNITS, 'l_orderkey')} AS result_unit, CASE l_linenumber % 3 WHEN 0 THEN '/' WHEN 1 THEN '*' ELSE '+' END AS op FROM lineitem""")

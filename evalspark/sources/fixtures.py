@@ -131,3 +131,64 @@ def dialogues(spark: SparkSession, d: str) -> DataFrame:
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", "turn", F.col("text").alias("answer"))
     return a.join(q, ["conv_id", "turn"], "left")
+
+
+# ---------------------------------------------------------------- derived knowledge tables
+
+SYMBOL_LETTERS = "UIRPVCL"
+OPERATORS = {0: " * ", 1: " + ", 2: " / "}
+
+
+def _letter(c: Column) -> Column:
+    return F.expr(f"substring('{SYMBOL_LETTERS}', cast(({{}}) % 7 + 1 as int), 1)".format(c))
+
+
+def formulas(spark: SparkSession, d: str) -> DataFrame:
+    """One formula per part: id, expression, topic, section."""
+    p = table(spark, d, "part")
+    s = F.col("p_size").cast("string")
+    lhs = F.concat(_letter("p_partkey"), F.lit("_"), (F.col("p_size") % 10).cast("string"))
+    r1 = F.concat(_letter("p_partkey div 7"), F.lit("_"), (F.col("p_size") % 4).cast("string"))
+    r2 = F.concat(_letter("p_partkey div 49"), F.lit("_{"), (F.col("p_partkey") % 12).cast("string"), F.lit("}"))
+    return p.select(
+        F.concat(F.lit("eq-"), F.col("p_partkey").cast("string")).alias("equation_id"),
+        F.concat(F.lit("$"), lhs, F.lit(" = "), r1, lookup(F.col("p_size") % 3, OPERATORS), r2, F.lit("$"))
+        .alias("expression"),
+        (F.col("p_size") % 10 + 1).alias("topic"), F.col("p_name").alias("section"), lhs.alias("symbol"),
+        F.col("p_partkey").alias("part"), F.col("p_brand").alias("source"))
+
+
+def formula_queries(spark: SparkSession, d: str) -> DataFrame:
+    """One formula question per supplier."""
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(
+        k.alias("query_id"), F.concat(
+            F.lit("calcula "), _letter("s_suppkey"), F.lit("_"), (k % 10).cast("string"), F.lit(" amb "),
+            _letter("s_suppkey div 3"), F.lit("_"), (k % 4).cast("string"), F.lit(" small ring")).alias("query"))
+
+
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """One explanatory note per part, with a definition, a condition and a value."""
+    p = table(spark, d, "part")
+    sym = F.concat(_letter("p_partkey"), F.lit("_"), (F.col("p_size") % 10).cast("string"))
+    return p.select(
+        F.concat(F.lit("n-"), F.col("p_partkey").cast("string")).alias("note_id"),
+        (F.col("p_size") % 10 + 1).alias("topic"), F.col("p_name").alias("section"),
+        F.concat(F.lit("La magnitud "), F.col("p_name"), F.lit(" es mesura, on "), sym, F.lit(" és la sortida "),
+                 F.lower("p_type"), F.lit(" de "), F.col("p_brand"), F.lit(". Sempre que "), F.col("p_name"),
+                 F.lit(" sigui estable, el valor val. "), sym, F.lit(": valor "), F.col("p_size").cast("string"),
+                 F.lit(" unitats.")).alias("text"))
+
+
+def quantities(spark: SparkSession, d: str) -> DataFrame:
+    """A measured value with a unit spelling per line item (prefix and base from its keys)."""
+    from evalspark.functions import lexicon as X
+    li = table(spark, d, "lineitem")
+    pick = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col(k) % len(words) + 1).cast("int"))
+    return li.select(
+        F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("position"),
+        F.col("l_quantity").alias("value"),
+        F.concat(pick(["", *X.PREFIXES], "l_partkey"), pick(X.BASE_UNITS, "l_suppkey")).alias("unit"),
+        pick(X.BASE_UNITS, "l_partkey").alias("other_unit"), pick(X.BASE_UNITS, "l_orderkey").alias("result_unit"),
+        F.when(F.col("l_linenumber") % 3 == 0, "/").when(F.col("l_linenumber") % 3 == 1, "*").otherwise("+").alias("op"))
