@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("learner", "adaptive", "text")
+AREAS = ("learner", "adaptive", "text", "retrieval")
 
 
 def load_all() -> tuple[dict, dict]:

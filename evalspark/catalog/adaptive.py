@@ -232,7 +232,7 @@ cte("pool", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY student_
 @query("l13_unseen_pool", "SELECT student_id, unit_id, topic, pool_rank FROM pool", "pool")
 def _(spark, d):
     w = World(spark, d)
-    return AD.unseen_pool(w.units, w.formulas, w.attempts.select("topic").distinct()).select(
+    return AD.unseen_pool(w.units, w.formulas).select(
         "student_id", "unit_id", "topic", "pool_rank")
 
 
@@ -250,7 +250,7 @@ cte("plan", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY student
 
 def _plan(spark, d):
     w = World(spark, d)
-    pool = AD.unseen_pool(w.units, w.formulas, w.attempts.select("topic").distinct())
+    pool = AD.unseen_pool(w.units, w.formulas)
     return AD.study_plan(w.units, pool, w.recurrent_units, fx.now())
 
 

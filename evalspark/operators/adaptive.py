@@ -324,11 +324,12 @@ def mode_filter(items: DataFrame, recurrent_units: DataFrame, mode: str) -> Data
 
 # ---------------------------------------------------------------- study plan
 
-def unseen_pool(units: DataFrame, formulas: DataFrame, topics: DataFrame, cap: int | None = None) -> DataFrame:
+def unseen_pool(units: DataFrame, formulas: DataFrame, cap: int | None = None, topics: int = 10) -> DataFrame:
     """Unseen topics, then unseen formulas of touched topics in curriculum order, ``cap`` in all."""
     cap = cap or C["unseen_cap"]
     seen = units.filter("unit_kind = 'topic'").select(*KEYS)
-    n_topics = units.select("student_id").distinct().join(F.broadcast(topics), F.lit(True))  # ten topics
+    n_topics = units.select("student_id").distinct().select(
+        "student_id", F.explode(F.sequence(F.lit(1), F.lit(topics))).alias("topic"))
     t = n_topics.select("student_id", F.format_string("topic:T%02d", "topic").alias("unit_id"), "topic",
                         F.lit("").alias("unit_ref")).join(seen, KEYS, "left_anti")
     f = unseen_formulas(units, formulas, cap).select(*KEYS, "topic", "unit_ref")

@@ -90,8 +90,9 @@ def coverage(universe: DataFrame, states: DataFrame) -> DataFrame:
         "student_id IS NOT NULL").withColumn("unit_kind", F.coalesce("unit_kind", F.lit("TOTAL")))
     size = universe.rollup("unit_kind").agg(F.count(F.lit(1)).alias("total")).withColumn(
         "unit_kind", F.coalesce("unit_kind", F.lit("TOTAL")))
-    kinds = states.select("student_id").distinct().join(
-        F.broadcast(size), F.lit(True))  # at most five unit kinds
+    sizes = size.agg(F.map_from_entries(F.collect_list(F.struct("unit_kind", "total")))).scalar()
+    kinds = states.select("student_id").distinct().select(  # one entry per unit kind, five at most
+        "student_id", F.explode(sizes).alias("unit_kind", "total"))
     return (kinds.join(got, ["student_id", "unit_kind"], "left")
             .select("student_id", "unit_kind", "total",
                     *[F.coalesce(c, F.lit(0)).alias(c) for c in ("seen", "mastered", "weak")])
