@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("learner", "adaptive", "text", "retrieval")
+AREAS = ("learner", "adaptive", "text", "retrieval", "exams")
 
 
 def load_all() -> tuple[dict, dict]:

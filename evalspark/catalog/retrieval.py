@@ -208,15 +208,21 @@ def _(spark, d):
     return S.rrf_fuse([S.lexical_search(texts, ix), S.semantic_search(texts, ix)]).select("query_id", "chunk_id", "rrf")
 
 
-cte("sec", f"""SELECT query_id, chunk_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, chunk_id) AS r FROM (
-  SELECT query_id, chunk_id, count(*) AS shared, min(n) AS n FROM (SELECT query_id, unnest(w) AS w, len(w) AS n FROM (SELECT query_id, list_distinct({SQL_TERMS.format('query')}) AS w FROM q_texts)) JOIN (
-   SELECT DISTINCT chunk_id, unnest({SQL_TERMS.format('h2')}) AS w FROM chunks) USING (w) WHERE n >= 2 GROUP BY 1, 2) WHERE shared >= 2 AND shared * 2 >= n) WHERE r = 1""", "q_texts", "chunks")
+def _sec(texts):
+    return f"""SELECT query_id, chunk_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, chunk_id) AS r FROM (
+  SELECT query_id, chunk_id, count(*) AS shared, min(n) AS n FROM (SELECT query_id, unnest(w) AS w, len(w) AS n FROM (SELECT query_id, list_distinct({SQL_TERMS.format('query')}) AS w FROM {texts})) JOIN (
+   SELECT DISTINCT chunk_id, unnest({SQL_TERMS.format('h2')}) AS w FROM chunks) USING (w) WHERE n >= 2 GROUP BY 1, 2) WHERE shared >= 2 AND shared * 2 >= n) WHERE r = 1"""
 
 
-@query("j9_section_match", "SELECT query_id, chunk_id, shared FROM sec", "sec")
+cte("sec", _sec("q_texts"), "q_texts", "chunks")
+cte("doc_queries", "SELECT chunk_id AS query_id, array_to_string(string_split(string_split(text, chr(10))[1], ' ')[2:9], ' ') AS query FROM chunks", "chunks")
+
+
+@query("j9_section_match", _sec("doc_queries"), "doc_queries", "chunks")
 def _(spark, d):
-    ix = I.build_index(chunks(spark, d))
-    return S.section_match(S.search_texts(S.query_variants(fx.queries(spark, d), ix)), ix.chunks)
+    c = chunks(spark, d)
+    first = F.slice(F.split(F.substring_index("text", "\n", 1), " "), 2, 8)
+    return S.section_match(c.select(F.col("chunk_id").alias("query_id"), F.array_join(first, " ").alias("query")), c)
 
 
 cte("cand", "SELECT query_id, chunk_id, rrf, bm25, cosine, shared IS NOT NULL AS sec_expansion FROM fused FULL JOIN sec USING (query_id, chunk_id) LEFT JOIN lex USING (query_id, chunk_id) LEFT JOIN sem USING (query_id, chunk_id)", "fused", "sec", "lex", "sem")
@@ -259,7 +265,7 @@ cte("ranked20", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_
 cte("pdf_toks", f"SELECT chunk_id, list_distinct(regexp_extract_all(lower(text), '{q(T.PDF_TOKEN)}')) AS t FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM ranked20)", "chunks", "ranked20")
 cte("demoted", """SELECT r.* REPLACE (CASE WHEN dm THEN round(final * 0.5, 4) ELSE final END AS final), dm AS demoted FROM (SELECT r.*, EXISTS (SELECT 1 FROM ranked20 h JOIN pdf_toks th ON th.chunk_id = h.chunk_id JOIN pdf_toks tp ON tp.chunk_id = r.chunk_id
    WHERE r.source_type = 'pdf' AND h.source_type <> 'pdf' AND h.query_id = r.query_id AND h.rank < r.rank AND len(list_intersect(th.t, tp.t)) >= 0.8 * (len(th.t) + len(tp.t) - len(list_intersect(th.t, tp.t)))) AS dm FROM ranked20 r) r""", "ranked20", "pdf_toks")
-cte("results", "SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rank FROM demoted QUALIFY rank <= 10", "demoted")
+cte("results", "SELECT * FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rank FROM demoted) WHERE rank <= 10", "demoted")
 cte("decisions", """SELECT query_id, reason IS NOT NULL AS abstain, reason AS abstention_reason, CASE WHEN reason IN ('weak_results', 'ambiguous_results') THEN round(greatest(top, 0.0), 4) WHEN reason IS NOT NULL THEN 0.0
    ELSE round(least(greatest(top, 0.0), 1.0), 4) END AS confidence, COALESCE(top - second < 0.06 AND t1 <> t2, FALSE) AS conflict FROM (SELECT *, CASE WHEN unk >= 2 THEN 'unknown_terms' WHEN top IS NULL THEN 'no_results'
    WHEN unk = 1 AND mass < 0.6 THEN 'unknown_term' WHEN mass < 0.35 THEN 'insufficient_evidence' WHEN top < 0.12 THEN 'weak_results' WHEN top < 0.25 AND COALESCE(top - second < 0.03, FALSE) THEN 'ambiguous_results' END AS reason FROM (

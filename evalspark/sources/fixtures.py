@@ -192,3 +192,41 @@ def quantities(spark: SparkSession, d: str) -> DataFrame:
         F.concat(pick(["", *X.PREFIXES], "l_partkey"), pick(X.BASE_UNITS, "l_suppkey")).alias("unit"),
         pick(X.BASE_UNITS, "l_partkey").alias("other_unit"), pick(X.BASE_UNITS, "l_orderkey").alias("result_unit"),
         F.when(F.col("l_linenumber") % 3 == 0, "/").when(F.col("l_linenumber") % 3 == 1, "*").otherwise("+").alias("op"))
+
+
+# ---------------------------------------------------------------- exams and answers
+
+def blueprints(spark: SparkSession, d: str) -> DataFrame:
+    """One exam blueprint per supplier; some break a rule on purpose."""
+    return table(spark, d, "supplier").selectExpr(
+        "s_suppkey AS exam_id", "s_suppkey AS seed", "CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE s_name END AS title",
+        "array_distinct(array(cast(s_suppkey % 10 + 1 as int), cast(s_suppkey * 3 % 10 + 1 as int))) AS topics", "6 AS question_count",
+        "map('NUMERICAL', 2, 'THEORY', 2, CASE WHEN s_suppkey % 9 = 4 THEN 'ESSAY' ELSE 'FORMULA' END, CASE WHEN s_suppkey % 5 = 4 THEN 3 ELSE 2 END) AS types",
+        "map('EASY', 0.5D, 'MEDIUM', 0.25D, 'HARD', CASE WHEN s_suppkey % 7 = 3 THEN 0.1D ELSE 0.25D END) AS difficulty",
+        "CASE WHEN s_suppkey % 13 = 5 THEN 0 ELSE 3600 END AS duration_seconds",
+        "CASE WHEN s_suppkey % 8 = 6 THEN 'random' ELSE 'seeded_shuffle' END AS ordering",
+        "CASE WHEN s_suppkey % 4 = 0 THEN 'REAL_EXAM' ELSE 'MOCK_EXAM' END AS exam_kind",
+        "CASE WHEN s_suppkey % 17 = 2 THEN 0D ELSE 1D END AS default_points", "s_suppkey % 19 <> 7 AS required_default",
+        "map('NUMERICAL', 2D, 'FORMULA', 1.5D) AS points_by_type")
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """A written answer and its question's expectations for every exam position."""
+    r = exam_rows(spark, d).select("session_id", "position", "question_id", "points", "required", "blank")
+    b = item_bank(spark, d).select("question_id", "topic", "type", "difficulty", "prompt", "price", "fingerprint")
+    f = formulas(spark, d).select(F.col("part").alias("question_id"), F.col("expression").alias("expected_formula"))
+    j = r.join(b.join(f, "question_id"), "question_id")
+    amount = "CAST(CAST({} AS DECIMAL(18,3)) AS STRING)".format
+    swapped = "regexp_replace(expected_formula, '^\\\\$(.*) = (.*) \\\\* (.*)\\\\$$', '\\\\$$1 = $3 * $2\\\\$')"
+    text = f"""CASE type
+      WHEN 'TRUE_FALSE' THEN element_at(array('Vertader', 'Fals', 'no ho puc dir'), cast(position % 3 + 1 as int))
+      WHEN 'MULTIPLE_CHOICE' THEN element_at(array('A) la primera', 'B) la segona', 'C) la tercera', 'D) la quarta', '$x = 1$'), cast(position % 5 + 1 as int))
+      WHEN 'FORMULA' THEN element_at(array(expected_formula, {swapped}, '$U = 1$', 'cap'), cast(position % 4 + 1 as int))
+      WHEN 'NUMERICAL' THEN element_at(array(concat({amount('price')}, ' V'), concat({amount('-price')}, ' V'), concat({amount('price * 1.005')}, ' V'),
+           concat({amount('price * 2')}, ' V'), concat('val ', {amount('price')}), concat({amount('price')}, ' mV')), cast(position % 6 + 1 as int))
+      ELSE element_at(array(concat('explico ', prompt), concat('explico ', substring_index(prompt, ' ', 1)), 'res'), cast(position % 3 + 1 as int)) END"""
+    return j.selectExpr(
+        "session_id", "position", "question_id", "topic", "type", "difficulty", "prompt", "points", "required", "fingerprint", "blank",
+        f"CASE WHEN blank THEN '' ELSE {text} END AS answer", "CASE WHEN question_id % 2 = 0 THEN 'V' ELSE 'F' END AS expected_choice",
+        "transform(array(0, 1, 2, 3), i -> CASE (i - question_id % 4 + 4) % 4 WHEN 0 THEN '' WHEN 1 THEN 'concept' ELSE 'signe' END) AS option_reasons",
+        "expected_formula", "CAST(CAST(price AS DECIMAL(18,3)) AS DOUBLE) AS expected_value", "'V' AS expected_unit", "split(prompt, ' ') AS required_concepts")
