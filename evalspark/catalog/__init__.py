@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("learner", "adaptive", "text", "retrieval", "exams")
+AREAS = ("learner", "adaptive", "text", "retrieval", "exams", "knowledge", "quality")
 
 
 def load_all() -> tuple[dict, dict]:

@@ -198,7 +198,7 @@ cte("fused", "SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS rrf
 
 
 def _stored(spark, d):
-    return I.build_index(chunks(spark, d)).stored()
+    return I.build_index(chunks(spark, d), store=True)
 
 
 @query("k3_rrf_fuse", "SELECT query_id, chunk_id, rrf FROM fused", "fused")

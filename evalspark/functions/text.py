@@ -289,7 +289,5 @@ def key_terms(c: Column, minimum: int = 5) -> Column:
     """Distinct words of a sentence with at least ``minimum`` letters, in order."""
     skip = ("aquest", "aquesta", "entre", "sobre", "mitjançant")
     toks = _all(c, "[A-Za-zÀ-ÿ][a-zà-ÿ]{%d,}" % (minimum - 1))
-    low = F.transform(toks, F.lower)
-    keep = F.transform(toks, lambda t, i: F.when(
-        (F.array_position(low, F.lower(t)) == i + 1) & ~F.lower(t).isin(*skip), t))
-    return F.array_compact(keep)
+    return F.aggregate(toks, F.array().cast("array<string>"), lambda acc, t: F.when(
+        F.lower(t).isin(*skip) | F.exists(acc, lambda a: F.lower(a) == F.lower(t)), acc).otherwise(F.array_append(acc, t)))

@@ -14,9 +14,96 @@ def concept_mentions(queries: DataFrame, concepts: DataFrame, k: int = 10) -> Da
     """
     c = concepts.select(F.lower("term").alias("term")).distinct().filter(F.length("term") > 6).withColumn(
         "g", F.substring("term", 1, 5))
-    text = F.lower("query")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 4, F.lit(1))),
-                                         lambda i: text.substr(i, F.lit(5))))
-    q = queries.select("query_id", text.alias("_q"), F.explode(grams).alias("g"))
+    low = queries.select("query_id", F.lower("query").alias("_q"))
+    at = F.sequence(F.lit(1), F.greatest(F.length("_q") - 4, F.lit(1)))
+    q = low.select("query_id", "_q", F.explode(F.array_distinct(F.transform(at, lambda i: F.col("_q").substr(i, F.lit(5))))).alias("g"))
     hit = q.join(c, "g").filter(F.col("_q").contains(F.col("term"))).select("query_id", "term").distinct()
     return top_rows(hit, ["query_id"], [F.asc("term")], k)
+
+
+def chunk_context(chunks: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """Chunk with its document and section (outer, so an orphan chunk stays)."""
+    return chunks.join(docs, "doc_id", "left").join(sections, ["doc_id", "section_no"], "left")
+
+
+def expand_context(hits: DataFrame, chunks: DataFrame, k: int = 2, chars: int = 400) -> DataFrame:
+    """Up to ``k`` sibling chunks (by id) of the same section for every hit.
+
+    A section keeps its k + 1 smallest ids before the join, so large sections are never multiplied.
+    """
+    first = top_rows(chunks.select("section_id", "chunk_id", F.substring("text", 1, chars).alias("snippet")),
+                     ["section_id"], [F.asc("chunk_id")], k + 1, "_r")
+    j = hits.join(first.select("section_id", F.col("chunk_id").alias("neighbour"), "snippet"), "section_id").filter(
+        F.col("neighbour") != F.col("chunk_id"))
+    return top_rows(j, ["chunk_id"], [F.asc("neighbour")], k).select("chunk_id", "neighbour", "rank", "snippet")
+
+
+def section_neighbours(sections: DataFrame, doc: str, pos: str, title: str) -> DataFrame:
+    """Previous and next section titles: neighbours are found by position, not by sorting a document."""
+    prev = sections.select(doc, (F.col(pos) + 1).alias(pos), F.col(title).alias("prev_title"))
+    nxt = sections.select(doc, (F.col(pos) - 1).alias(pos), F.col(title).alias("next_title"))
+    return sections.join(prev, [doc, pos], "left").join(nxt, [doc, pos], "left")
+
+
+def resolve_reference(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """Exact base name, else the one file ending with the reference minus two prefixes, else review.
+
+    Files are joined on every suffix that starts after an underscore or at the beginning.
+    """
+    base = F.element_at(F.split("ref", "/"), -1)
+    r = refs.select("ref_id", base.alias("base"), F.when(F.size(F.split(base, "_")) >= 3, F.array_join(F.slice(
+        F.split(base, "_"), 3, 1 << 20), "_")).otherwise(base).alias("tail"))
+    f = files.select("file").distinct()
+    parts = F.split("file", "_")
+    suffixes = f.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(
+        F.slice(parts, i, F.size(parts)), "_"))).alias("tail"))
+    exact = r.join(f.select(F.col("file").alias("base"), F.col("file").alias("exact")), "base", "left")
+    tail = suffixes.groupBy("tail").agg(F.min("file").alias("by_tail"), F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    j = exact.join(tail, "tail", "left")
+    return j.select("ref_id", F.coalesce("exact", "by_tail").alias("file"),
+                    F.when(F.col("exact").isNotNull(), "OK").when(F.col("by_tail").isNotNull(), "TAIL_MATCH").otherwise("NEEDS_REVIEW").alias("status"))
+
+
+def attach_assets(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Sorted distinct asset ids of each html chunk's (document, section)."""
+    a = occurrences.select("doc_id", "section_id", "asset_id").distinct().groupBy("doc_id", "section_id").agg(
+        F.array_sort(F.collect_set("asset_id")).alias("_a"))
+    html = F.col("source_type") == "html"
+    return chunks.join(a, ["doc_id", "section_id"], "left").withColumn(
+        "assets", F.when(html, F.array_join("_a", ",")).otherwise("")).drop("_a")
+
+
+def consolidate_assets(occurrences: DataFrame) -> DataFrame:
+    """One row per content hash: first caption, kind (mixed when several), occurrence count.
+
+    Occurrences stay in their own long table instead of an array: one asset may occur very often.
+    """
+    return occurrences.groupBy("sha256").agg(
+        F.concat(F.lit("img-"), F.substring(F.first("sha256"), 1, 12)).alias("asset_id"), F.first("bytes").alias("bytes"),
+        F.min_by("caption", F.when(F.col("caption").isNotNull(), F.col("occ_id"))).alias("caption"),
+        F.when(F.min("kind") != F.max("kind"), "mixed").otherwise(F.min("kind")).alias("kind"),
+        F.count(F.lit(1)).alias("occurrences"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+
+
+def section_content(chunks: DataFrame, tables: DataFrame, formulas: DataFrame) -> DataFrame:
+    """Typed blocks of every section in order: text chunks, then tables, then formulas (one row each)."""
+    part = lambda df, kind, rank, id_: df.select("section_id", F.lit(rank).alias("kind_order"), F.lit(kind).alias("kind"),
+                                                 F.col(id_).cast("string").alias("block_id"))
+    return part(chunks, "text", 0, "chunk_id").unionByName(part(tables, "table", 1, "table_id")).unionByName(
+        part(formulas, "formula", 2, "equation_id"))
+
+
+def catalog(chunks: DataFrame, formulas: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Counts per topic, zero included."""
+    n = lambda df, name: df.groupBy("topic").agg(F.count(F.lit(1)).alias(name))
+    out = n(chunks, "chunks").join(n(formulas, "formulas"), "topic", "full").join(n(concepts, "concepts"), "topic", "full")
+    return out.select("topic", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "formulas", "concepts")])
+
+
+def chunks_mentioning_all(terms: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """First ``k`` chunks of a topic whose words include every term (terms are single words)."""
+    from evalspark.functions import text as T
+    t = terms.select("set_id", "topic", F.explode(F.array_distinct("terms")).alias("w"), F.size(F.array_distinct("terms")).alias("n"))
+    w = chunks.select("topic", "chunk_id", F.explode(F.array_distinct(T.match_tokens(F.col("text")))).alias("w"))
+    hit = w.join(t, ["topic", "w"]).groupBy("set_id", "chunk_id").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).filter("m = n")
+    return top_rows(hit.select("set_id", "chunk_id"), ["set_id"], [F.asc("chunk_id")], k)

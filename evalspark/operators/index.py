@@ -32,10 +32,6 @@ class Index:
     def load(cls, spark: SparkSession, path: str) -> "Index":
         return cls(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)])
 
-    def stored(self) -> "Index":
-        """The same index with every table written once to the shared folder."""
-        return Index(*[materialize(getattr(self, f.name), f.name) for f in fields(self)])
-
 
 def with_headings(corpus: DataFrame) -> DataFrame:
     """Chunk rows as indexed: h1 = source, h2 = the chunk's first six words."""
@@ -44,32 +40,34 @@ def with_headings(corpus: DataFrame) -> DataFrame:
         F.array_join(F.slice(F.split(F.substring_index("text", "\n", 1), " "), 1, 6), " ").alias("h2"), "text")
 
 
-def tfidf(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def tfidf(chunks: DataFrame, keep=lambda df, name: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings, terms and norms: tf = 1 + ln c, idf = ln((n + 1) / (df + 1)) + 1."""
     n = chunks.agg(F.count(F.lit(1))).scalar()
     toks = F.filter(T.index_tokens(F.col("text")), lambda t: ~t.isin(*X.STOPWORDS))
     counts = (chunks.select("chunk_id", F.explode(toks).alias("term")).groupBy("chunk_id", "term")
               .agg(F.count(F.lit(1)).alias("c")))
-    terms = (counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-             .select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    postings = counts.join(terms, "term").select(
-        "term", "chunk_id", F.round((1.0 + F.log("c")) * F.col("idf"), 6).alias("w"))
+    counts = keep(counts, "counts")
+    terms = keep(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+             .select("term", "df", (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "terms")
+    postings = keep(counts.join(terms, "term").select(
+        "term", "chunk_id", F.round((1.0 + F.log("c")) * F.col("idf"), 6).alias("w")), "postings")
     norms = postings.groupBy("chunk_id").agg(
         F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("norm"))
     return postings, terms, norms
 
 
-def fulltext(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fulltext(chunks: DataFrame, keep=lambda df, name: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Field-weighted features (words, and 7-letter prefixes of longer words), their idf, mean length."""
     one = lambda f, w: F.transform(T.search_tokens(F.col(f)), lambda t: F.struct(t.alias("t"), F.lit(w).alias("w")))
     toks = F.concat(*[one(f, w) for f, w in FIELD_WEIGHTS])
     rows = chunks.select("chunk_id", F.explode(toks).alias("x")).select("chunk_id", "x.t", "x.w")
-    words = rows.groupBy("chunk_id", "t").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("c"))
+    words = keep(rows.groupBy("chunk_id", "t").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("c")), "words")
     lengths = words.groupBy("chunk_id").agg(F.sum("c").alias("len"))
     feats = F.when(F.length("t") >= 7, F.array(F.col("t"), F.concat(F.lit("p:"), F.substring("t", 1, 7)))).otherwise(
         F.array("t"))
     fts = (words.select("chunk_id", F.explode(feats).alias("feature"), "tf").groupBy("feature", "chunk_id")
            .agg(F.sum("tf").alias("tf")).join(lengths, "chunk_id"))
+    fts = keep(fts, "fts")
     n = chunks.agg(F.count(F.lit(1))).scalar()
     df = fts.groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -83,8 +81,13 @@ def match_postings(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode(T.match_tokens(ctx)).alias("token"), "chunk_id")
 
 
-def build_index(chunks: DataFrame) -> Index:
-    return Index(chunks, *tfidf(chunks), *fulltext(chunks), match_postings(chunks))
+def build_index(chunks: DataFrame, store: bool = False) -> Index:
+    """All index tables; with ``store`` each stage is written once to the shared folder, so that the
+    tables built on it read it instead of computing it again."""
+    keep = materialize if store else (lambda df, name: df)
+    parts = [chunks, *tfidf(chunks, keep), *fulltext(chunks, keep), match_postings(chunks)]
+    return Index(*[keep(p, f.name) if f.name in ("norms", "fts_terms", "fts_stats", "matches") else p
+                   for p, f in zip(parts, fields(Index))])
 
 
 def index_manifest(index: Index) -> DataFrame:

@@ -27,7 +27,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    return attempts_of(table(spark, d, "events"))
+
+
+def attempts_of(e: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", r'"k": ?([0-9]+)', 1).cast("int")
     status = lookup(F.col("event_type"), STATUS_OF_EVENT)
     error = F.when(F.col("event_type").isin("click", "error"),
@@ -46,8 +49,12 @@ def attempts(spark: SparkSession, d: str) -> DataFrame:
 
 def unit_events(spark: SparkSession, d: str) -> DataFrame:
     """Two rows per attempt: its formula unit and its topic unit."""
+    return unit_events_of(attempts(spark, d))
+
+
+def unit_events_of(attempts: DataFrame) -> DataFrame:
     from evalspark.operators.learner import units_for
-    a = attempts(spark, d).withColumn(
+    a = attempts.withColumn(
         "formula_ids", F.array(F.concat(F.lit("eq-"), F.col("question_id").cast("string"))))
     return units_for(a)
 
