@@ -82,7 +82,7 @@ _LOOSE = r"""list_filter(list_transform(string_split(regexp_replace(trim({0}, '
 cte("claims", f"""SELECT conv_id || '-' || turn || '-' || (i - 1) AS claim_id, conv_id, turn, s[i] AS text, CASE WHEN (i - 1) % 7 = 6 THEN 'NUMERIC' ELSE 'FACTUAL' END AS type FROM (SELECT conv_id, turn, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT conv_id, turn, {_LOOSE.format('answer')} AS s FROM dialogues))""", "dialogues")
 cte("verified", f"""SELECT claim_id, type, n AS terms, CASE WHEN bodies IS NULL THEN 0 ELSE h END AS found, CASE WHEN bodies IS NULL THEN 'UNSUPPORTED' WHEN type = 'NUMERIC' THEN 'UNSUPPORTED' WHEN n = 0 THEN 'UNSUPPORTED' WHEN h = n THEN 'SUPPORTED' WHEN h > 0 THEN 'PARTIALLY_SUPPORTED' ELSE 'UNSUPPORTED' END AS status FROM (
    SELECT c.claim_id, c.type, len(terms) AS n, bodies, len(list_filter(terms, lambda t: len(list_filter(bodies, lambda b: contains(b, t))) > 0)) AS h FROM (SELECT *, list_distinct(list_filter({SQL_TERMS.format('text')}, lambda t: length(t) >= 4)) AS terms FROM claims) c
-   LEFT JOIN (SELECT conv_id, list(lower(text)) AS bodies FROM user_turns GROUP BY 1) e USING (conv_id))""", "claims", "user_turns")
+   LEFT JOIN (SELECT k.claim_id, list(lower(u.text)) AS bodies FROM claims k JOIN user_turns u ON u.conv_id = k.conv_id AND u.turn IN (0, k.turn - 1) GROUP BY 1) e USING (claim_id))""", "claims", "user_turns")
 
 
 def _claims(spark, d):
@@ -94,7 +94,9 @@ def _claims(spark, d):
 def _verified(spark, d):
     c = _claims(spark, d)
     ev = fx.table(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("evidence_id"), "conv_id", F.col("text").alias("body"))
-    cites = c.select("claim_id", "conv_id").join(ev.select("conv_id", "evidence_id"), "conv_id").select("claim_id", "evidence_id")
+    # a claim cites the turn it answers and the conversation's opening turn
+    cites = c.select("claim_id", F.explode(F.array_distinct(F.array(F.lit(0), F.col("turn") - 1))).alias("t"), "conv_id").select(
+        "claim_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("t").cast("string")).alias("evidence_id"))
     return GR.verify_claims(c.select("claim_id", "text", "type"), cites, ev.select("evidence_id", "body"))
 
 
@@ -292,11 +294,11 @@ def _(spark, d):
     return C.consolidate_assets(_occ(spark, d)).withColumn("captioned", F.col("caption").isNotNull()).drop("caption")
 
 
-@query("j12_attach_assets", """SELECT s.chunk_id, CASE WHEN s.doc_id % 2 = 0 THEN a.assets ELSE '' END AS assets FROM secchunks s LEFT JOIN (SELECT doc_id, sec, string_agg(asset_id, ',' ORDER BY asset_id) AS assets FROM (SELECT DISTINCT doc_id, bytes % 3 AS sec, 'img-' || sha256[1:12] AS asset_id FROM occ) GROUP BY 1, 2) a ON a.doc_id = s.doc_id AND a.sec = s.pos""", "secchunks", "occ")
+@query("j12_attach_assets", "SELECT DISTINCT doc_id, bytes % 3 AS section_id, 'img-' || sha256[1:12] AS asset_id FROM occ WHERE EXISTS (SELECT 1 FROM secchunks s WHERE s.doc_id = occ.doc_id AND s.pos = occ.bytes % 3 AND s.doc_id % 2 = 0)", "secchunks", "occ")
 def _(spark, d):
     occ = _occ(spark, d).select("doc_id", (F.col("bytes") % 3).cast("int").alias("section_id"), F.concat(F.lit("img-"), F.substring("sha256", 1, 12)).alias("asset_id"))
     ch = _secchunks(spark, d).select("chunk_id", "doc_id", F.col("pos").alias("section_id"), F.when(F.col("doc_id") % 2 == 0, "html").otherwise("pdf").alias("source_type"))
-    return C.attach_assets(ch, occ).select("chunk_id", "assets")
+    return C.attach_assets(ch, occ)
 
 
 @query("w9_section_neighbours", "SELECT chunk_id, pos, heading, lag(heading) OVER w AS prev_title, lead(heading) OVER w AS next_title FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS rn FROM sections) WINDOW w AS (PARTITION BY chunk_id, pos - rn ORDER BY pos)", "sections")

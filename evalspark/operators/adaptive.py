@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalspark.functions.columns import codes, days_between, first_true, lookup
+from evalspark.operators.ordered import row_numbers
 from evalspark.operators.upserts import top_rows
 from evalspark.policies import (CATEGORIES, CURRICULUM, DIFFICULTY, NUMERICAL_ROOTS, PRIORITY,
                                 QUESTION_STRATEGY, RETENTION, SPACING)
@@ -202,8 +203,7 @@ def unseen_formulas(units: DataFrame, formulas: DataFrame, k: int) -> DataFrame:
     positions are generated and joined on (topic, position), so the work grows with what students
     know, not with students times formulas.
     """
-    w = Window.partitionBy("topic").orderBy("unit_ref")
-    order = formulas.select("topic", "unit_ref", F.row_number().over(w).alias("pos"))
+    order = row_numbers(formulas.select("topic", "unit_ref"), ["topic"], "unit_ref", name="pos")
     touched = units.filter("unit_kind = 'topic'").select("student_id", "topic", F.col("score").alias("topic_score"))
     known = units.filter("unit_kind = 'formula'")
     counts = known.groupBy("student_id", "topic").agg(F.count(F.lit(1)).alias("m"))

@@ -65,12 +65,13 @@ def resolve_reference(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def attach_assets(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Sorted distinct asset ids of each html chunk's (document, section)."""
-    a = occurrences.select("doc_id", "section_id", "asset_id").distinct().groupBy("doc_id", "section_id").agg(
-        F.array_sort(F.collect_set("asset_id")).alias("_a"))
-    html = F.col("source_type") == "html"
-    return chunks.join(a, ["doc_id", "section_id"], "left").withColumn(
-        "assets", F.when(html, F.array_join("_a", ",")).otherwise("")).drop("_a")
+    """Distinct assets of every (document, section) that has html chunks, one row each.
+
+    Chunks read their section's assets from here; repeating the list on every chunk would multiply
+    the chunks of a large section with its assets.
+    """
+    used = chunks.filter("source_type = 'html'").select("doc_id", "section_id").distinct()
+    return occurrences.select("doc_id", "section_id", "asset_id").distinct().join(used, ["doc_id", "section_id"], "left_semi")
 
 
 def consolidate_assets(occurrences: DataFrame) -> DataFrame:

@@ -41,18 +41,23 @@ def session_numbers(sessions: DataFrame) -> DataFrame:
     return s.withColumn("session_key", content_id("ses-", F.col("exam_id"), F.col("student_id"), F.col("n")))
 
 
-def session_fold(events: DataFrame) -> DataFrame:
-    """Fold each session's ordered state changes and check every step against the allowed moves.
+def session_fold(events: DataFrame, longest: int = 6) -> DataFrame:
+    """Final state of each session, and every step checked against the allowed moves.
 
-    A session has a handful of changes, so its event array is bounded by the state machine.
+    The moves have no cycle, so a valid session has at most five changes. Counting is an aggregate,
+    only the first ``longest`` changes are lined up (pruned before the shuffle), and a session with
+    more than that is invalid whatever they are; ``violations`` names the bad steps among them.
     """
-    e = events.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "state"))).alias("ev"))
+    all_ = events.groupBy("session_id").agg(F.count(F.lit(1)).alias("changes"), F.max(F.struct("at", "seq", "state")).alias("_last"))
+    head = top_rows(events.select("session_id", "at", "seq", "state"), ["session_id"], [F.asc("at"), F.asc("seq")], longest)
+    e = head.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "state"))).alias("ev"))
     allowed = F.array(*[F.lit(f"{a}>{b}") for a, bs in TRANSITIONS.items() for b in bs])
     steps = F.zip_with(F.slice("ev", 1, F.size("ev") - 1), F.slice("ev", 2, F.size("ev")),
                        lambda a, b: F.concat(a["state"], F.lit(">"), b["state"]))
     bad = F.array_except(steps, allowed)
-    return e.select("session_id", F.element_at("ev", -1)["state"].alias("state"), F.size("ev").alias("changes"),
-                    ((F.size(bad) == 0) & (F.col("ev")[0]["state"] == "CREATED")).alias("valid"), F.array_join(bad, ",").alias("violations"))
+    ok = (F.size(bad) == 0) & (F.col("ev")[0]["state"] == "CREATED") & (F.col("changes") < longest)
+    return all_.join(e, "session_id").select("session_id", F.col("_last.state").alias("state"), "changes", ok.alias("valid"),
+                                             F.array_join(bad, ",").alias("violations"))
 
 
 def expire(sessions: DataFrame, now: Column, duration_seconds: int) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from evalspark.operators.ordered import row_numbers
+
 
 def unseen_items(items: DataFrame, history: DataFrame, k: int) -> DataFrame:
     """First ``k`` items per (student, touched topic) that are not in the student's history.
@@ -10,8 +12,7 @@ def unseen_items(items: DataFrame, history: DataFrame, k: int) -> DataFrame:
     A student who has seen m items of a topic needs only its first m + k items, so those positions
     are generated and joined; students are never multiplied with the whole bank.
     """
-    order = items.select("topic", "question_id", F.row_number().over(
-        Window.partitionBy("topic").orderBy("question_id")).alias("pos"))
+    order = row_numbers(items.select("topic", "question_id"), ["topic"], "question_id", name="pos")
     seen = history.select("student_id", "question_id").distinct()
     known = seen.join(items.select("question_id", "topic"), "question_id").groupBy(
         "student_id", "topic").agg(F.count(F.lit(1)).alias("m"))
