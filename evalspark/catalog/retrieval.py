@@ -150,7 +150,7 @@ cte("vocab_stems", f"SELECT DISTINCT unnest({SQL_STEMS.format('term')}) AS s FRO
 
 @query("k7_unknown_terms", "SELECT query_id, unknown_terms FROM q_unknown", "q_unknown")
 def _(spark, d):
-    ix = I.build_index(chunks(spark, d))
+    ix = _stored(spark, d)
     return S.unknown_terms(S.query_variants(fx.queries(spark, d), ix), ix)
 
 
@@ -176,7 +176,7 @@ def _sem(texts: str, k: int = 60) -> str:
 
 @query("k1_lexical_search", _lex("queries"), "queries", "fx_fts", "fx_idf", "fx_avg", "chunks")
 def _(spark, d):
-    return S.lexical_search(fx.queries(spark, d), I.build_index(chunks(spark, d)))
+    return S.lexical_search(fx.queries(spark, d), _stored(spark, d))
 
 
 @query("k2_semantic_search", _sem("queries"), "queries", "ix_postings", "ix_norms", "ix_terms")
