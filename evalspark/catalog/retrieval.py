@@ -263,8 +263,9 @@ cte("ranked", f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fi
   FROM cand c JOIN align a USING (query_id, chunk_id) JOIN chunks k USING (chunk_id) WINDOW p AS (PARTITION BY c.query_id)))""", "cand", "align", "chunks")
 cte("ranked20", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rank FROM ranked) WHERE rank <= 20", "ranked")
 cte("pdf_toks", f"SELECT chunk_id, list_distinct(regexp_extract_all(lower(text), '{q(T.PDF_TOKEN)}')) AS t FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM ranked20)", "chunks", "ranked20")
-cte("demoted", """SELECT r.* REPLACE (CASE WHEN dm THEN round(final * 0.5, 4) ELSE final END AS final), dm AS demoted FROM (SELECT r.*, EXISTS (SELECT 1 FROM ranked20 h JOIN pdf_toks th ON th.chunk_id = h.chunk_id JOIN pdf_toks tp ON tp.chunk_id = r.chunk_id
-   WHERE r.source_type = 'pdf' AND h.source_type <> 'pdf' AND h.query_id = r.query_id AND h.rank < r.rank AND len(list_intersect(th.t, tp.t)) >= 0.8 * (len(th.t) + len(tp.t) - len(list_intersect(th.t, tp.t)))) AS dm FROM ranked20 r) r""", "ranked20", "pdf_toks")
+cte("copies", """SELECT DISTINCT r.query_id, r.chunk_id FROM ranked20 r JOIN ranked20 h ON h.query_id = r.query_id AND h.rank < r.rank AND r.source_type = 'pdf' AND h.source_type <> 'pdf'
+   JOIN pdf_toks tp ON tp.chunk_id = r.chunk_id JOIN pdf_toks th ON th.chunk_id = h.chunk_id WHERE len(list_intersect(th.t, tp.t)) >= 0.8 * (len(th.t) + len(tp.t) - len(list_intersect(th.t, tp.t)))""", "ranked20", "pdf_toks")
+cte("demoted", "SELECT r.* REPLACE (CASE WHEN c.chunk_id IS NOT NULL THEN round(r.final * 0.5, 4) ELSE r.final END AS final), c.chunk_id IS NOT NULL AS demoted FROM ranked20 r LEFT JOIN copies c ON c.query_id = r.query_id AND c.chunk_id = r.chunk_id", "ranked20", "copies")
 cte("results", "SELECT * FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rank FROM demoted) WHERE rank <= 10", "demoted")
 cte("decisions", """SELECT query_id, reason IS NOT NULL AS abstain, reason AS abstention_reason, CASE WHEN reason IN ('weak_results', 'ambiguous_results') THEN round(greatest(top, 0.0), 4) WHEN reason IS NOT NULL THEN 0.0
    ELSE round(least(greatest(top, 0.0), 1.0), 4) END AS confidence, COALESCE(top - second < 0.06 AND t1 <> t2, FALSE) AS conflict FROM (SELECT *, CASE WHEN unk >= 2 THEN 'unknown_terms' WHEN top IS NULL THEN 'no_results'
