@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.catalog.base import cte, query
-from evalspark.catalog.text import SQL_CANON, SQL_DROP, SQL_PROD, SQL_SYM, SQL_TERMS, q
+from evalspark.catalog.text import SQL_CANON, SQL_PROD, SQL_SYM, SQL_TERMS, q
 from evalspark.functions import text as T
 from evalspark.operators import context as C, curation as CU, formulas as FO, grounding as GR, items as IT, metrics as M
 from evalspark.sources import fixtures as fx

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from evalspark.catalog.base import TOKEN, cte, query
-from evalspark.operators import analytics as A, learner as L, metrics as M, quality as Q
+from evalspark.operators import learner as L, metrics as M, quality as Q
 from evalspark.sources import fixtures as fx, html as H, manifest as MF
 from evalspark.session import shared_dir
 from evalspark.streaming import learner as ST

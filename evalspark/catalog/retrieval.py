@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.catalog.base import TOKEN, cte, query, sql_case
-from evalspark.catalog.text import SQL_DROP, SQL_NORM, SQL_STEMS, SQL_STOP, SQL_TERMS, q
+from evalspark.catalog.base import TOKEN, cte, query
+from evalspark.catalog.text import SQL_NORM, SQL_STEMS, SQL_STOP, SQL_TERMS, q
 from evalspark.functions import lexicon as X, text as T
 from evalspark.operators import dedup as D, index as I, metrics as M, ranking as R, search as S
 from evalspark.plans import retrieval as PL

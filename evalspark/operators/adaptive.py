@@ -381,7 +381,7 @@ def plan_fingerprint(plan: DataFrame, now: str) -> DataFrame:
 
 # ---------------------------------------------------------------- question specs
 
-def question_strategy(df: DataFrame, compat: bool = True) -> DataFrame:
+def question_strategy(df: DataFrame) -> DataFrame:
     """Question type for (action, unit kind); reinforcing a unit error asks for a numerical item.
 
     CALCULATION_ERROR is listed as well but is never a root error, so only UNIT_ERROR triggers.
