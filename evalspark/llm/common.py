@@ -45,3 +45,8 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def shared_partitions(spark: SparkSession) -> int:
+    """The number of shuffle partitions that the session is set to, which grows with the cluster's input."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

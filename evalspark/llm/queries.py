@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, line_dedup, packing, quality, secret_scan, token_count
+from evalspark.llm import byte_bpe, jaccard_join, line_dedup, packing, quality, secret_scan, token_count
 from evalspark.llm.common import sha_hex, table, text_of
 from evalspark.llm.oracles import ORACLES
 from evalspark.session import materialize
@@ -46,6 +46,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(pieces, "pieces"), order=("doc_id", "piece", "ids_crc32"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", secret_scan.scan(F.col("text")).alias("found"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -54,4 +58,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_quality_rules, op4_line_dedup, op7_best_fit_packing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_quality_rules, op4_line_dedup, op7_best_fit_packing, op9_ngram_jaccard, op10_secret_scan)}
