@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import Memo
+from evalspark.llm.common import Memo, PairMemo
 
 #: White space and the word after it, cut exactly where the vocabulary's pattern cuts at white space.
 CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -44,7 +44,6 @@ class Vocabulary:
         self.merges: dict[tuple[int, int], int] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
         self.ranks = ranks
         for piece, rank in sorted(ranks.items(), key=lambda x: (len(x[0]) > 1, x[1])):
             if len(piece) == 1:
@@ -63,10 +62,10 @@ class Vocabulary:
         self.longest = max(map(len, self.ends))
         #: The token that an end of a token is, or -1.
         self.reach = {p[k:]: self.ends.get(p[k:], -1) for p in self.ends for k in range(len(p))}
-        self.apart = Memo(lambda pair: self._apart(*pair), 2_000_000)
+        self.apart = PairMemo(lambda pair: self._apart(pair >> 20, pair & 0xFFFFF))
         self.packed = [r.to_bytes(4, "little") for r in range(len(self.tokens))]
-        self.pieces = Memo(self._packed)
-        self.chunks = Memo(self._chunk)
+        self.pieces = Memo(self._packed, 300_000)
+        self.chunks = Memo(self._chunk, 400_000)
 
     def _apart(self, a: int, b: int) -> bool:
         """No merge over the boundary of ``a`` and ``b`` comes before the merges that hide its two parts. Of equal merges the
@@ -85,7 +84,7 @@ class Vocabulary:
         for end in range(len(table) + 1, len(piece) + 1):
             start = end - 1
             # one token at most qualifies, so the first that does is the one
-            while (token := reach[piece[start:end]]) < 0 or start and not apart[table[start - 1], token]:
+            while (token := reach[piece[start:end]]) < 0 or start and not apart[table[start - 1] << 20 | token]:
                 start -= 1
             table.append(token)
             if stop is not None and end - 1 - shift >= 0:
@@ -208,17 +207,31 @@ def _token_array(path: str, pattern: str) -> pa.Array:
     return pa.array(vocabulary(path, pattern).tokens, pa.binary())
 
 
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Token ids of each text (array of int)."""
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path, pattern)
         for texts in batches:
-            parts = [v.encode_bytes(t or "") for t in texts.to_pylist()]
-            offsets = np.zeros(len(parts) + 1, np.int32)
-            np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-            yield pa.ListArray.from_arrays(pa.array(offsets), values)
+            yield _lists([v.encode_bytes(t.as_py() or "") for t in texts])
+    return run(text)
+
+
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """The ids of each text and the bytes that these ids stand for, from one visit to a worker."""
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        v = vocabulary(path, pattern)
+        for texts in batches:
+            parts = [v.encode_bytes(t.as_py() or "") for t in texts]
+            decoded = pa.array([v.decode(np.frombuffer(p, "<i4").tolist()) for p in parts], pa.binary())
+            yield pa.StructArray.from_arrays([_lists(parts), decoded], ["ids", "decoded"])
     return run(text)
 
 

@@ -34,7 +34,7 @@ class Memo(dict):
     """A worker's memory of ``make(key)``. It is emptied at ``limit`` entries and never holds long keys, so that its size is
     bounded on any vocabulary; results don't depend on what it holds."""
 
-    def __init__(self, make: Callable, limit: int = 1_000_000, longest: int = 48):
+    def __init__(self, make: Callable, limit: int = 500_000, longest: int = 48):
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
 
@@ -47,6 +47,16 @@ class Memo(dict):
         return value
 
 
+class PairMemo(Memo):
+    """The same for keys that are integers."""
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 def shared_partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session is set to, which grows with the cluster's input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,10 +17,9 @@ WORDS = "word_bpe_49k.json"
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path(BYTES), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = docs.withColumn("ids", byte_bpe.encode(F.col("text"), path, pattern))
-    out = out.withColumn("decoded", byte_bpe.decode(F.col("ids"), path, pattern))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha_hex(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
-                      sha_hex(F.col("decoded")).alias("decoded_sha256"))
+    out = docs.select("doc_id", byte_bpe.round_trip(F.col("text"), path, pattern).alias("out"))
+    return out.select("doc_id", F.size("out.ids").cast("long").alias("n_tokens"), sha_hex(F.array_join(F.col("out.ids").cast("array<string>"), ",")).alias("ids_sha256"),
+                      sha_hex(F.col("out.decoded")).alias("decoded_sha256"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +57,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_quality_rules, op4_line_dedup, op7_best_fit_packing, op9_ngram_jaccard, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_quality_rules, op4_line_dedup, op7_best_fit_packing,
+                                  op8_op9_ngram_jaccard, op10_secret_scan)}
