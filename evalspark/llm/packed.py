@@ -74,11 +74,41 @@ def _powers(base: int) -> np.ndarray:
 _POWER, _BACK = _powers(_BASE), _powers(_INVERSE)
 
 
-def _hash_block(data: np.ndarray) -> np.ndarray:
+def _spans_block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     white = np.ones(len(data) + 2, bool)
     white[1:-1] = _WHITE[data]
     flips = np.flatnonzero(white[1:] != white[:-1])
-    starts, ends = flips[0::2], flips[1::2]
+    return flips[0::2], flips[1::2]
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets (start, end) of the words of UTF-8 bytes."""
+    return _spans_block(data)
+
+
+def window_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range of 64-bit values, the same wherever the range lies."""
+    if len(values) < _BLOCK:
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _POWER[:len(values)], out=total[1:])
+        return mix((total[ends] - total[starts]) * _BACK[starts])
+    cut = int(starts[np.searchsorted(starts, _BLOCK - 1, "right") - 1]) if len(starts) else 0
+    cut = max(cut, 1)
+    near = ends <= cut
+    if not near.any():
+        # one range longer than a block
+        total = 0
+        for at in range(int(starts[0]), int(ends[0]), _BLOCK - 1):
+            part = values[at:min(int(ends[0]), at + _BLOCK - 1)]
+            total += int((part * _POWER[:len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at - int(starts[0]), 1 << 64)
+        first, cut = mix(np.array([total % (1 << 64)], np.uint64)), int(ends[0])
+        rest = starts >= cut
+        return np.concatenate([first, window_sums(values[cut:], starts[rest] - cut, ends[rest] - cut)]) if rest.any() else first
+    return np.concatenate([window_sums(values[:cut], starts[near], ends[near]), window_sums(values[cut:], starts[~near] - cut, ends[~near] - cut)])
+
+
+def _hash_block(data: np.ndarray) -> np.ndarray:
+    starts, ends = _spans_block(data)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LETTER[data] * _POWER[:len(data)], out=total[1:])
     return (total[ends] - total[starts]) * _BACK[starts]

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, jaccard_join, line_dedup, packing, quality, secret_scan, token_count
+from evalspark.llm import byte_bpe, embedding_graph, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, token_count
 from evalspark.llm.common import sha_hex, table, text_of
 from evalspark.llm.oracles import ORACLES
 from evalspark.session import materialize
@@ -39,12 +39,23 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha_hex(F.col("text")).alias("kept_sha256"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.pieces_of(docs, public_tokenizers.path(WORDS)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(materialize(pieces, "pieces"), order=("doc_id", "piece", "ids_crc32"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ranges = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",")
+    return out.select("doc_id", (F.col("n_removed_words") > 0).alias("repeats"), F.size("removed").cast("long").alias("n_ranges"), "n_removed_words",
+                      ranges.alias("removed"), sha_hex(text_of()).alias("kept_sha256"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,5 +68,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_quality_rules, op4_line_dedup, op7_best_fit_packing,
-                                  op8_op9_ngram_jaccard, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_quality_rules, op4_line_dedup, op6_embedding_dedup, op7_best_fit_packing,
+                                  op8_substring_dedup, op9_ngram_jaccard, op10_secret_scan)}
