@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, embedding_graph, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, token_count
+from evalspark.llm import byte_bpe, embedding_graph, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, token_count, toxicity
 from evalspark.llm.common import sha_hex, table, text_of
 from evalspark.llm.oracles import ORACLES
 from evalspark.session import materialize
@@ -39,6 +39,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", sha_hex(F.col("text")).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", toxicity.severity(F.col("text"), model, docs).alias("out"))
+    return out.select("doc_id", (F.col("out.chance") >= toxicity.CUT).alias("toxic"), F.col("out.chance").alias("chance"), F.col("out.severity").alias("severity"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_graph.near_copies(table(spark, sf_dir, "embeddings"))
 
@@ -68,5 +75,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        joined(F.col("found")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_quality_rules, op4_line_dedup, op6_embedding_dedup, op7_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_toxicity, op6_embedding_dedup, op7_best_fit_packing,
                                   op8_substring_dedup, op9_ngram_jaccard, op10_secret_scan)}
