@@ -234,7 +234,7 @@ def _cells(vectors: DataFrame, reach: float, cell: int) -> DataFrame:
                 cells.append([home, *(k for k in np.flatnonzero(s[home] - s <= chord * width).tolist() if k != home)])
             yield batch.assign(cells=cells)
 
-    placed = vectors.mapInPandas(assign, "vec_id long, label int, dim int, v array<double>, copies long, cells array<int>")
+    placed = vectors.mapInPandas(assign, "vec_id long, label long, dim int, v array<double>, copies long, cells array<int>")
     return placed.select("vec_id", "label", "dim", "v", "copies", F.posexplode("cells").alias("place", "cell")).withColumn(
         "home", F.col("place") == 0).drop("place")
 
@@ -275,6 +275,7 @@ def _search(placed: DataFrame, reach: float, chunk: int) -> DataFrame:
 
 def near_copies(vectors: DataFrame, reach: float = 0.98, cell: int = CELL, chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept and audited recall of each row of ``vectors`` (vec_id, embedding, label)."""
+    vectors = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
     whole = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     fine = whole.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", bad))

@@ -44,14 +44,13 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten, ``n_lines`` (before) and ``n_dropped``."""
-    drops = shared_lines(docs, min_chars, min_docs, doc_id, text)
-    t = text_of(text)
-    tagged = docs.withColumn("_tag", F.xxhash64(t))
-    out = tagged.join(drops.withColumnRenamed("_tag", "_tag2"), (tagged[doc_id] == F.col("_id")) & (F.col("_tag") == F.col("_tag2")), "left")
-    lines = F.split(t, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    kept = F.when(F.col("_drop").isNull(), t).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    out = out.withColumn("_lines", lines).withColumns({
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), text: kept})
-    return out.drop("_tag", "_tag2", "_id", "_drop", "_lines")
+    drops = shared_lines(docs, min_chars, min_docs, doc_id, text).withColumnsRenamed({"_id": "_drop_id", "_tag": "_drop_tag"})
+    # the row travels as one value, so that no column of it can clash with those used here
+    body = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), text_of(text).alias("_text")).withColumn("_tag", F.xxhash64("_text"))
+    out = body.join(drops, (F.col("_id") == F.col("_drop_id")) & (F.col("_tag") == F.col("_drop_tag")), "left")
+    out = out.withColumn("_lines", F.split("_text", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
+    kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    new = {text: kept, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}
+    rest = [F.col("_row").getField(c).alias(c) if c not in new else new[c].alias(c) for c in docs.columns]
+    return out.select(*rest, *[v.alias(c) for c, v in new.items() if c not in docs.columns])

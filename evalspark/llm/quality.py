@@ -93,6 +93,12 @@ def failed(version: str = CURRENT, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(POLICIES[version]).cast("long")) != 0
 
 
+def keep(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, their columns untouched whatever their names."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    return ledger(rows, "_text").where(~failed(version)).select("_row.*")
+
+
 def ablation(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     """One row per rule of a policy: documents it fails, documents that only it rejects, documents kept without it.
 

@@ -87,7 +87,7 @@ def _occurrences(docs: DataFrame, buckets: int) -> DataFrame:
         if n:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(send, "bucket int, hashes binary, ids binary, spans binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, "bucket int, hashes binary, ids binary, spans binary")
 
 
 def later_occurrences(docs: DataFrame) -> DataFrame:
@@ -153,5 +153,9 @@ def drop_repeats(docs: DataFrame, min_words: int = 30) -> DataFrame:
             out.append({"text": "".join(kept) + text[at:] if ranges else text, "removed": [{"start": a, "end": b} for a, b in ranges], "n_removed_words": n})
         return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("n_removed_words", pa.int64())]))
 
-    joined = docs.join(spans, docs["doc_id"] == F.col("_id"), "left").withColumn("_cut", cut("text", "_later"))
-    return joined.withColumns({"text": F.col("_cut.text"), "removed": F.col("_cut.removed"), "n_removed_words": F.col("_cut.n_removed_words")}).drop("_id", "_later", "_cut")
+    # the row travels as one value, so that no column of it can clash with those used here
+    body = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    joined = body.join(spans, F.col("_doc") == F.col("_id"), "left").withColumn("_cut", cut("_text", "_later"))
+    new = {c: F.col("_cut").getField(c) for c in ("text", "removed", "n_removed_words")}
+    rest = [new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*rest, *[v.alias(c) for c, v in new.items() if c not in docs.columns])
