@@ -1,7 +1,7 @@
 """Adaptive queries: priority, difficulty, spacing, retention, paths, recommendations, plans."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from evalspark.catalog.base import cte, query
 from evalspark.operators import adaptive as AD, analytics as A, learner as L
@@ -134,12 +134,11 @@ class World:
 
 
 @query("l3_priority", """SELECT student_id, unit_id, evidence_level, need, error_signal, recency, priority, row_number() OVER (
-  PARTITION BY student_id ORDER BY priority DESC, unit_id) AS rank FROM units QUALIFY rank <= 10""", "units")
+  PARTITION BY student_id ORDER BY priority DESC, unit_id) AS rank FROM units""", "units")
 def _(spark, d):
     pr = AD.priority(World(spark, d).profile, fx.now())
-    from evalspark.operators.upserts import top_rows
-    return top_rows(pr.select("student_id", "unit_id", "evidence_level", "need", "error_signal", "recency", "priority"),
-                    ["student_id"], [F.desc("priority"), F.asc("unit_id")], 10)
+    rank = F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("priority"), F.asc("unit_id")))
+    return pr.select("student_id", "unit_id", "evidence_level", "need", "error_signal", "recency", "priority", rank.alias("rank"))
 
 
 @query("l4_priority_reasons", """SELECT student_id, unit_id, action, array_to_string(list_concat(list_concat(

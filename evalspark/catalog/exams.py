@@ -19,14 +19,14 @@ cte("crit", f"""SELECT a.session_id, a.position, c.criterion, c.weight, c.requir
    WHEN a.type = 'TRUE_FALSE' THEN CASE WHEN tf_ok THEN (CASE c.criterion WHEN 'selection' THEN 1.0 ELSE 0.5 END) ELSE 0.0 END
    WHEN a.type = 'MULTIPLE_CHOICE' THEN CASE WHEN m5 < 4 AND m5 = question_id % 4 THEN (CASE c.criterion WHEN 'selection' THEN 1.0 ELSE 0.5 END) ELSE 0.0 END
    WHEN a.type = 'FORMULA' THEN CASE WHEN c.criterion = 'formula' AND m4 IN (0, 1) THEN 1.0 ELSE 0.0 END
-   WHEN a.type = 'NUMERICAL' THEN CASE c.criterion WHEN 'formula' THEN 0.5 WHEN 'variables' THEN 0.5 WHEN 'interpretation' THEN 0.5 WHEN 'units' THEN CASE WHEN m6 IN (4, 5) THEN 0.0 ELSE 1.0 END
+   WHEN a.type = 'NUMERICAL' THEN CASE c.criterion WHEN 'formula' THEN CASE WHEN m6 = 0 AND question_id % 4 IN (1, 2) THEN 1.0 WHEN m6 = 0 AND question_id % 4 = 3 THEN 0.0 ELSE 0.5 END WHEN 'variables' THEN 0.5 WHEN 'interpretation' THEN 0.5 WHEN 'units' THEN CASE WHEN m6 IN (4, 5) THEN 0.0 ELSE 1.0 END
       WHEN 'calculation' THEN CASE m6 WHEN 1 THEN 0.2 WHEN 2 THEN 0.8 WHEN 3 THEN 0.0 ELSE 1.0 END WHEN 'substitution' THEN CASE WHEN m6 IN (1, 3) THEN 0.5 ELSE 1.0 END ELSE CASE m6 WHEN 1 THEN 0.0 WHEN 3 THEN 0.0 WHEN 2 THEN 0.8 ELSE 1.0 END END
    ELSE CASE c.criterion WHEN 'concepts' THEN CASE m3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END WHEN 'reasoning' THEN 0.5 ELSE CASE WHEN m3 < 2 THEN 0.5 ELSE 0.0 END END END AS score
   FROM (SELECT *, (m3 = 0 AND question_id % 2 = 0) OR (m3 = 1 AND question_id % 2 = 1) AS tf_ok FROM ans WHERE NOT blank) a JOIN rubric c ON c.type = a.type WHERE NOT (a.type IN ('THEORY', 'CONCEPTUAL') AND c.criterion = 'formula')""", "ans", "rubric")
 cte("errs", """SELECT session_id, position, unnest(CASE WHEN blank THEN [] WHEN type = 'TRUE_FALSE' THEN CASE WHEN m3 = 2 THEN ['INCOMPLETE_ANSWER'] WHEN (m3 = 0) = (question_id % 2 = 0) THEN [] ELSE ['WRONG_FINAL_RESULT'] END
    WHEN type = 'MULTIPLE_CHOICE' THEN CASE WHEN m5 = 4 THEN ['FORMULA_ERROR'] WHEN m5 = question_id % 4 THEN [] WHEN (m5 - question_id % 4 + 4) % 4 = 1 THEN ['WRONG_FINAL_RESULT', 'CONCEPT_ERROR'] ELSE ['WRONG_FINAL_RESULT'] END
    WHEN type = 'FORMULA' THEN CASE m4 WHEN 2 THEN ['FORMULA_ERROR'] WHEN 3 THEN ['INCOMPLETE_ANSWER'] ELSE [] END
-   WHEN type = 'NUMERICAL' THEN list_concat(CASE m6 WHEN 1 THEN ['SIGN_ERROR', 'WRONG_FINAL_RESULT'] WHEN 2 THEN ['ROUNDING_ERROR'] WHEN 3 THEN ['ARITHMETIC_ERROR', 'WRONG_FINAL_RESULT'] ELSE [] END, CASE WHEN m6 IN (4, 5) THEN ['UNIT_ERROR'] ELSE [] END)
+   WHEN type = 'NUMERICAL' THEN list_concat(CASE WHEN m6 = 0 AND question_id % 4 = 3 THEN ['FORMULA_ERROR'] WHEN m6 = 0 THEN [] ELSE CASE m6 WHEN 1 THEN ['SIGN_ERROR', 'WRONG_FINAL_RESULT'] WHEN 2 THEN ['ROUNDING_ERROR'] WHEN 3 THEN ['ARITHMETIC_ERROR', 'WRONG_FINAL_RESULT'] ELSE [] END END, CASE WHEN m6 IN (4, 5) THEN ['UNIT_ERROR'] ELSE [] END)
    ELSE CASE WHEN m3 = 2 THEN ['CONCEPT_ERROR'] ELSE [] END END) AS error_type FROM ans""", "ans")
 cte("graded", """SELECT a.session_id, a.position, a.question_id, a.type, a.points, a.required, a.blank, COALESCE(round(s.got / s.total * 10, 2), 0.0) AS score,
   CASE WHEN a.blank THEN 'NO_ANSWER' WHEN s.ok THEN 'CORRECT' WHEN s.none THEN 'INCORRECT' ELSE 'PARTIALLY_CORRECT' END AS status FROM ans a LEFT JOIN (

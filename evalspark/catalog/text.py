@@ -90,17 +90,14 @@ def _tables(spark, d):
     return t.select("doc_id", cells(F.col("l")[0]).alias("h"), F.transform(F.slice("l", 2, 1 << 30), cells).alias("rows"))
 
 
-@query("t5_table_to_records", f"""SELECT doc_id, row_no, CASE WHEN h[i] = '' THEN 'col_' || (i - 1) ELSE h[i] END AS field, min(COALESCE(r[i], '')) AS lo, max(COALESCE(r[i], '')) AS hi
+@query("t5_table_to_records", f"""SELECT doc_id, row_no, CASE WHEN h[i] = '' THEN 'col_' || (i - 1) ELSE h[i] END AS field, COALESCE(r[i], '') AS v
   FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, h, CAST(k - 1 AS INTEGER) AS row_no, rows[k] AS r FROM (SELECT doc_id, h, rows, unnest(range(1, len(rows) + 1)) AS k
    FROM (SELECT doc_id, {_CELLS.format('l[1]')} AS h, list_transform(l[2:], lambda r: {_CELLS.format('r')}) AS rows FROM (SELECT doc_id, {_LINES} AS l FROM documents) WHERE len(l) > 0))))
-  WHERE len(list_distinct(list_transform(h, lambda x, j: CASE WHEN x = '' THEN 'col_' || (j - 1) ELSE x END))) = len(h) GROUP BY ALL""")
+  QUALIFY row_number() OVER (PARTITION BY doc_id, row_no, field ORDER BY i DESC) = 1""")
 def _(spark, d):
     t = _tables(spark, d)
-    names = F.transform("h", lambda x, j: F.when(x == "", F.concat(F.lit("col_"), j.cast("string"))).otherwise(x))
-    t = t.filter(F.size(F.array_distinct(names)) == F.size("h"))
     r = t.select("doc_id", F.posexplode(T.table_to_records(F.col("h"), F.col("rows"))).alias("row_no", "rec"))
-    return (r.select("doc_id", "row_no", F.explode("rec").alias("field", "v")).groupBy("doc_id", "row_no", "field")
-            .agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
+    return r.select("doc_id", "row_no", F.explode("rec").alias("field", "v"))
 
 
 @query("t6_strip_boilerplate", r"""SELECT page_id, len(list_filter(list_transform(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1), lambda b: trim(b, ' ')), lambda b: length(b) >= 2 AND starts_with(b, '$') AND ends_with(b, '$'))) AS formulas,
@@ -292,7 +289,12 @@ def _(spark, d):
 
 
 SQL_CANON = r"regexp_replace(regexp_replace(regexp_replace({0}, '\$', '', 'g'), '\s+', '', 'g'), '\\cdot|\\times', '*', 'g')"
-SQL_PROD = "array_to_string(list_sort(regexp_extract_all({0}, '[^=+*-]+')), chr(2))"
+# a + or - begins a term where as many brackets are closed as opened before it on its side
+_SIDE = "regexp_extract(substr(f, 1, i - 1), '[^=]*$')"
+_DEPTH = f"length(regexp_replace({_SIDE}, '[^(\\[{{{{]', '', 'g')) - length(regexp_replace({_SIDE}, '[^)\\]}}}}]', '', 'g'))"
+SQL_PROD = ("array_to_string(list_sort(list_filter(regexp_split_to_array(array_to_string((SELECT list(CASE WHEN substr(f, i, 1) IN ('=', '*') "
+            f"OR (substr(f, i, 1) IN ('+', '-') AND {_DEPTH} = 0) THEN chr(1) ELSE substr(f, i, 1) END ORDER BY i) "
+            "FROM (SELECT {0} AS f, unnest(range(1, length({0}) + 1)) AS i)), ''), chr(1)), lambda x: x <> '')), chr(2))")
 
 
 @query("t24_formula_keys", f"SELECT equation_id, canonical, {SQL_PROD.format('canonical')} AS product_key FROM (SELECT equation_id, {SQL_CANON.format('expression')} AS canonical FROM formulas)", "formulas")

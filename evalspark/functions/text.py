@@ -125,13 +125,13 @@ def table_to_markdown(headers: Column, rows: Column) -> Column:
 
 
 def table_to_records(headers: Column, rows: Column) -> Column:
-    """Rows as maps; a missing header name becomes col_<i>, a missing cell the empty string."""
+    """Rows as maps; a missing header name becomes col_<i>, a missing cell the empty string. Of equal names the last counts."""
     def record(r):
         n = F.when(F.size(headers) > 0, F.size(headers)).otherwise(F.size(r))
         idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        name = lambda i: F.coalesce(F.nullif(F.get(headers, i), F.lit("")), F.concat(F.lit("col_"), i.cast("string")))
-        return F.map_from_entries(F.transform(idx, lambda i: F.struct(
-            name(i), F.coalesce(F.get(r, i), F.lit("")))))
+        names = F.transform(idx, lambda i: F.coalesce(F.nullif(F.get(headers, i), F.lit("")), F.concat(F.lit("col_"), i.cast("string"))))
+        last = F.filter(idx, lambda i: F.array_position(F.reverse(names), F.get(names, i)) == n - i)
+        return F.map_from_entries(F.transform(last, lambda i: F.struct(F.get(names, i), F.coalesce(F.get(r, i), F.lit("")))))
     return F.transform(rows, record)
 
 

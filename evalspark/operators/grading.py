@@ -49,14 +49,15 @@ def grade_choice(df: DataFrame) -> dict[str, Column]:
     return {"TRUE_FALSE": (crit("TRUE_FALSE", tf_ok), tf_err), "MULTIPLE_CHOICE": (crit("MULTIPLE_CHOICE", mc_ok), mc_err)}
 
 
+def _formula_matches(i: int) -> Column:
+    """Whether the answer's formula number ``i`` is the expected one, exactly or equivalently."""
+    given, want = FM.canonical_formula(F.try_element_at("formulas", F.lit(i))), FM.canonical_formula(F.col("expected_formula"))
+    return F.coalesce((given == want) | (FM.product_key(given) == FM.product_key(want)) | (FM.member_key(given) == FM.member_key(want)), F.lit(False))
+
+
 def grade_formula(df: DataFrame) -> tuple[Column, Column]:
     """Exact or equivalent to the question's canonical formula."""
-    given = FM.canonical_formula(F.try_element_at("formulas", F.lit(1)))
-    want = FM.canonical_formula(F.col("expected_formula"))
-    ok = F.coalesce((given == want) | (FM.product_key(given) == FM.product_key(want))
-                    | (FM.member_key(given) == FM.member_key(want)), F.lit(False))
-    none = F.size("formulas") == 0
-    zero = F.lit(0.0)
+    ok, none, zero = _formula_matches(1), F.size("formulas") == 0, F.lit(0.0)
     crit = _criteria("FORMULA", [("formula", F.when(ok, 1.0).otherwise(0.0)), ("variables", zero), ("conditions", zero)], False)
     return crit, codes([(none, "INCOMPLETE_ANSWER"), (~none & ~ok, "FORMULA_ERROR")])
 
@@ -75,12 +76,14 @@ def grade_numeric(df: DataFrame, compat: bool) -> tuple[Column, Column]:
     unit_ok = (unit == exp) | F.coalesce(same_unit, F.lit(False))
     unit_bad = (exp != "") & ~unit_ok
     u = first_true([(exp == "", 0.5), (unit_ok, 1.0)], 0.0)
-    formula = F.when(F.size("formulas") == 0, 0.5).otherwise(0.0)
+    # a formula is optional; of the first three, one that is right is enough
+    shown, right = F.size("formulas") > 0, _formula_matches(1) | _formula_matches(2) | _formula_matches(3)
+    formula = F.when(~shown, 0.5).when(right, 1.0).otherwise(0.0)
     crit = _criteria("NUMERICAL", [
         ("formula", formula), ("variables", F.lit(0.5)), ("calculation", val(1.0, 0.2, 0.8, 0.0)),
         ("substitution", val(1.0, 0.5, 1.0, 0.5)), ("result", val(1.0, 0.0, 0.8, 0.0)), ("units", u),
         ("interpretation", F.lit(0.5))], compat)
-    err = codes([(F.size("formulas") > 0, "FORMULA_ERROR"), (sign, "SIGN_ERROR"), (near, "ROUNDING_ERROR"), (off, "ARITHMETIC_ERROR"),
+    err = codes([(shown & ~right, "FORMULA_ERROR"), (sign, "SIGN_ERROR"), (near, "ROUNDING_ERROR"), (off, "ARITHMETIC_ERROR"),
                  (sign | off, "WRONG_FINAL_RESULT"), (~some, "INCOMPLETE_ANSWER"), (unit_bad, "UNIT_ERROR")])
     return crit, err
 

@@ -123,18 +123,18 @@ def centroids(vectors: DataFrame) -> DataFrame:
         "label", F.col("c.x").alias("center"))
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 1000) -> DataFrame:
-    """Exact cosine top-k of dense vectors (id, vec) for few query vectors (label, center).
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
+    """Exact cosine top-k of dense vectors (id, vec) for query vectors (label, center), however many.
 
-    The query vectors travel as one array, which is refused beyond ``max_queries``; each partition
-    keeps only its best k per query before anything is shuffled.
+    Queries travel in blocks of ``block``: a row meets each block once and keeps the best k per query of its partition before
+    anything is shuffled.
     """
-    n = F.count(F.lit(1))
-    qs = queries.agg(F.when(n > max_queries, F.raise_error(F.lit("too many dense queries; use the sparse index")))
-                     .otherwise(F.collect_list(F.struct("label", "center")))).scalar()
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
                                    lambda s, x: s + x)
-    v = vectors.select(F.col("id").alias("vec_id"), "vec", F.explode(qs).alias("q"))
+    n = F.ceil(queries.agg(F.count(F.lit(1))).scalar() / block).cast("int")
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("label"), F.greatest(n, F.lit(1))))
+    blocks = dealt.groupBy("_block").agg(F.collect_list(F.struct("label", "center")).alias("qs")).select("qs")
+    v = vectors.select(F.col("id").alias("vec_id"), "vec").crossJoin(blocks).select("vec_id", "vec", F.explode("qs").alias("q"))
     cos = F.round(dot("vec", "q.center") / F.sqrt(dot("vec", "vec") * dot("q.center", "q.center")), 6)
     return top_rows(v.select(F.col("q.label").alias("label"), "vec_id", cos.alias("cosine")), ["label"],
                     [F.desc("cosine"), F.asc("vec_id")], k)

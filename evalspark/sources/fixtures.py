@@ -229,7 +229,7 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
       WHEN 'TRUE_FALSE' THEN element_at(array('Vertader', 'Fals', 'no ho puc dir'), cast(position % 3 + 1 as int))
       WHEN 'MULTIPLE_CHOICE' THEN element_at(array('A) la primera', 'B) la segona', 'C) la tercera', 'D) la quarta', '$x = 1$'), cast(position % 5 + 1 as int))
       WHEN 'FORMULA' THEN element_at(array(expected_formula, {swapped}, '$U = 1$', 'cap'), cast(position % 4 + 1 as int))
-      WHEN 'NUMERICAL' THEN element_at(array(concat({amount('price')}, ' V'), concat({amount('-price')}, ' V'), concat({amount('price * 1.005')}, ' V'),
+      WHEN 'NUMERICAL' THEN element_at(array(concat(element_at(array('', concat(expected_formula, ' '), concat({swapped}, ' '), '$U = 1$ '), cast(question_id % 4 + 1 as int)), {amount('price')}, ' V'), concat({amount('-price')}, ' V'), concat({amount('price * 1.005')}, ' V'),
            concat({amount('price * 2')}, ' V'), concat('val ', {amount('price')}), concat({amount('price')}, ' mV')), cast(position % 6 + 1 as int))
       ELSE element_at(array(concat('explico ', prompt), concat('explico ', substring_index(prompt, ' ', 1)), 'res'), cast(position % 3 + 1 as int)) END"""
     return j.selectExpr(

@@ -107,7 +107,8 @@ def stream_mastery(unit_events: DataFrame) -> DataFrame:
 
 
 def stream_expiry(events: DataFrame, duration_seconds: int, late: str = "1 hour") -> DataFrame:
-    """Sessions that were started and not submitted when event time passes start + duration.
+    """Sittings that end, submitted or expired: a session that was started and not submitted when event time passes
+    start + duration expires. A session may hold several sittings, in one micro-batch or in many.
 
     events: session_id, at, state (IN_PROGRESS or SUBMITTED).
     """
@@ -118,20 +119,23 @@ def stream_expiry(events: DataFrame, duration_seconds: int, late: str = "1 hour"
             state.remove()
             yield pd.DataFrame([(key[0], started, "EXPIRED")], columns=cols)
             return
-        pdf = pd.concat(list(frames)).sort_values("at")
+        pdf = pd.concat(list(frames)).sort_values("at", kind="stable")
         start = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        sittings = []
         for at, what in zip(pdf["at"], pdf["state"]):
             if what == "IN_PROGRESS" and start is None:
                 start = at
             elif what == "SUBMITTED" and start is not None:
                 late_by = (at - start).total_seconds() >= duration_seconds
-                if state.exists:
-                    state.remove()
-                yield pd.DataFrame([(key[0], start, "EXPIRED" if late_by else "SUBMITTED")], columns=cols)
-                return
+                sittings.append((key[0], start, "EXPIRED" if late_by else "SUBMITTED"))
+                start = None
         if start is not None:
             state.update((int(start.value // 1000),))
             state.setTimeoutTimestamp(max(int(start.value // 1000000) + duration_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if sittings:
+            yield pd.DataFrame(sittings, columns=cols)
     return events.withWatermark("at", late).groupBy("session_id").applyInPandasWithState(
         step, "session_id long, started_at timestamp, outcome string", "started long", "append", GroupStateTimeout.EventTimeTimeout)
 

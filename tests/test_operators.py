@@ -116,3 +116,73 @@ def test_top_k_is_pruned_before_the_shuffle(spark):
     from evalspark.operators.upserts import top_rows
     plan = top_rows(spark.range(1000).withColumn("k", F.col("id") % 3), ["k"], [F.desc("id")], 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def keys_of(spark, *formulas):
+    df = spark.createDataFrame([(k, f) for k, f in enumerate(formulas)], "k int, f string")
+    c = FM.canonical_formula(F.col("f"))
+    return [tuple(r) for r in df.orderBy("k").select(FM.product_key(c), FM.member_key(c)).collect()]
+
+
+def test_signs_in_brackets_stay(spark):
+    a, b = keys_of(spark, "x=(a-b)*c", "x=(a+b)*c")
+    assert a[0] != b[0] and a[1] != b[1]
+    a, b = keys_of(spark, "x=10^{-3}*y", "x=10^{+3}*y")
+    assert a[0] != b[0] and a[1] != b[1]
+    a, b, c = keys_of(spark, "a = b + c", "a - b - c = 0", "a=[(b+c)-d]*e")
+    assert a[1] is not None and c[0].count("\u0002") == 2
+
+
+def test_greek_symbols(spark):
+    df = spark.createDataFrame([(r"σ_x = μ_0 * \pi * V_1",), (r"\alpha + l'aigua de U, x_{out}^2",), (None,)], "f string")
+    assert [set(r[0]) for r in df.select(FM.symbols_of(F.col("f"))).collect()] == [{"σ", "x", "μ", "\\pi", "V_1"}, {"U", "x_{out}^2"}, set()]
+
+
+def test_repeated_headers(spark):
+    df = spark.createDataFrame([(["a", "b", "a", ""], [["1", "2", "3", "4"], ["5"]])], "h array<string>, rows array<array<string>>")
+    got = df.select(T.table_to_records(F.col("h"), F.col("rows"))).first()[0]
+    assert got == [{"a": "3", "b": "2", "col_3": "4"}, {"a": "", "b": "", "col_3": ""}]
+
+
+def test_numeric_answer_with_a_right_formula(spark):
+    from evalspark.operators import grading as G
+    rows = [(k, "NUMERICAL", f"${f}$ 5 V", "$U = R * I$", 5.0, "V") for k, f in enumerate(["U = R * I", "U = I * R", "U = R * X"])]
+    df = spark.createDataFrame(rows, "k int, type string, answer string, expected_formula string, expected_value double, expected_unit string").withColumns({
+        "expected_choice": F.lit("V"), "option_reasons": F.array().cast("array<string>"), "required_concepts": F.array().cast("array<string>")})
+    got = {r.k: r for r in G.grade_answers(df).collect()}
+    score = lambda k: next(c.score for c in got[k].criteria if c.criterion == "formula")
+    assert [score(k) for k in range(3)] == [1.0, 1.0, 0.0]
+    assert [list(got[k].errors) for k in range(3)] == [[], [], ["FORMULA_ERROR"]]
+
+
+def test_two_sittings_in_one_batch(spark, tmp_path):
+    from evalspark.streaming.learner import stream_expiry
+    rows = [(1, f"2024-01-01 10:{m:02}:00", s) for m, s in ((0, "IN_PROGRESS"), (5, "SUBMITTED"), (10, "IN_PROGRESS"), (50, "SUBMITTED"))]
+    results = []
+    for n, batches in enumerate(([rows], [rows[:2], rows[2:]])):
+        source, out = str(tmp_path / f"in{n}"), str(tmp_path / f"out{n}")
+        for part in batches:
+            spark.createDataFrame(part, "session_id long, at string, state string").selectExpr("session_id", "CAST(at AS TIMESTAMP) AS at", "state").coalesce(1).write.mode("append").parquet(source)
+            query = stream_expiry(spark.readStream.schema("session_id long, at timestamp, state string").parquet(source), 1800).writeStream.format("parquet").option(
+                "path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+        results.append(sorted((r.session_id, r.outcome) for r in spark.read.parquet(out).collect()))
+    assert results[0] == results[1] == [(1, "EXPIRED"), (1, "SUBMITTED")]
+
+
+def test_text_after_a_hero_stays(spark):
+    page = '<h1>t</h1><div class="hero"><div>x</div><p>gone</p></div><p>here</p><nav><p>gone</p></nav><img class="hero-image"><p>and here</p>'
+    got = H.parse_pages(spark.createDataFrame([(1, page)], "page_id long, html string")).orderBy("pos").collect()
+    assert [r.text for r in got if r.text] == ["here", "and here"]
+
+
+def test_dense_search_in_blocks(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    v, q = rng.normal(size=(60, 4)), rng.normal(size=(9, 4))
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vec array<double>")
+    queries = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(q)], "label int, center array<double>")
+    s = np.round((v @ q.T) / np.linalg.norm(v, axis=1)[:, None] / np.linalg.norm(q, axis=1), 6)
+    want = {(j, int(i)) for j in range(9) for i in np.argsort(-s[:, j])[:3]}
+    assert {(r.label, r.vec_id) for r in S.dense_search(vectors, queries, 3, block=2).collect()} == want
+    assert S.dense_search(vectors, queries.limit(0), 3).count() == 0
