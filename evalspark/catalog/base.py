@@ -110,7 +110,7 @@ WHERE text <> ''""", "corpus")
 
 TOKEN = "[a-zà-ÿ][a-zà-ÿ0-9_·''’μΩωσ-]{2,}"
 cte("queries", f"""
-SELECT item_id AS query_id, array_to_string(list_filter(toks, lambda x, i: list_position(toks, x) = i)[1:8], ' ') AS query, text AS gold_text
+SELECT item_id AS query_id, array_to_string(list_filter(toks, lambda x, i: list_position(toks, x) = i), ' ') AS query, text AS gold_text
 FROM (SELECT item_id, text, regexp_extract_all(lower(text), '{TOKEN}') AS toks FROM benchmark)""")
 
 cte("dialogues", """

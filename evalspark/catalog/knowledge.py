@@ -313,10 +313,10 @@ def _(spark, d):
     return b.join(first, ["prompt", "section"]).select("question_id", "located")
 
 
-@query("j21_chunks_mentioning_all", f"""SELECT set_id, chunk_id, rank FROM (SELECT t.set_id, c.chunk_id, row_number() OVER (PARTITION BY t.set_id ORDER BY c.chunk_id) AS rank FROM (SELECT item_id AS set_id, item_id % 20 AS topic, list_distinct(regexp_extract_all(lower(text), '{q(T.MATCH_TOKEN)}')[1:3]) AS terms FROM benchmark) t JOIN (SELECT chunk_id, topic,
+@query("j21_chunks_mentioning_all", f"""SELECT set_id, chunk_id, rank FROM (SELECT t.set_id, c.chunk_id, row_number() OVER (PARTITION BY t.set_id ORDER BY c.chunk_id) AS rank FROM (SELECT item_id AS set_id, item_id % 20 AS topic, list_distinct(regexp_extract_all(lower(text), '{q(T.MATCH_TOKEN)}')) AS terms FROM benchmark) t JOIN (SELECT chunk_id, topic,
    list_distinct(regexp_extract_all(lower(text), '{q(T.MATCH_TOKEN)}')) AS w FROM corpus) c ON c.topic = t.topic AND list_has_all(c.w, t.terms)) WHERE rank <= 10""", "corpus")
 def _(spark, d):
-    terms = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("set_id"), (F.col("item_id") % 20).cast("int").alias("topic"), F.slice(F.regexp_extract_all(F.lower("text"), F.lit(T.MATCH_TOKEN), F.lit(0)), 1, 3).alias("terms"))
+    terms = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("set_id"), (F.col("item_id") % 20).cast("int").alias("topic"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(T.MATCH_TOKEN), F.lit(0))).alias("terms"))
     return C.chunks_mentioning_all(terms, fx.corpus(spark, d), 10)
 
 

@@ -215,14 +215,14 @@ def _sec(texts):
 
 
 cte("sec", _sec("q_texts"), "q_texts", "chunks")
-cte("doc_queries", "SELECT chunk_id AS query_id, array_to_string(string_split(string_split(text, chr(10))[1], ' ')[2:9], ' ') AS query FROM chunks", "chunks")
+cte("doc_queries", "SELECT chunk_id AS query_id, string_split(text, chr(10))[1] AS query FROM chunks", "chunks")
 
 
 @query("j9_section_match", _sec("doc_queries"), "doc_queries", "chunks")
 def _(spark, d):
     c = chunks(spark, d)
-    first = F.slice(F.split(F.substring_index("text", "\n", 1), " "), 2, 8)
-    return S.section_match(c.select(F.col("chunk_id").alias("query_id"), F.array_join(first, " ").alias("query")), c)
+    first = F.substring_index("text", "\n", 1)
+    return S.section_match(c.select(F.col("chunk_id").alias("query_id"), first.alias("query")), c)
 
 
 cte("cand", "SELECT query_id, chunk_id, rrf, bm25, cosine, shared IS NOT NULL AS sec_expansion FROM fused FULL JOIN sec USING (query_id, chunk_id) LEFT JOIN lex USING (query_id, chunk_id) LEFT JOIN sem USING (query_id, chunk_id)", "fused", "sec", "lex", "sem")

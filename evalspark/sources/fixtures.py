@@ -122,10 +122,10 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    """One search query per benchmark item: its first eight distinct tokens."""
+    """One search query per benchmark item: its distinct tokens."""
     from evalspark.functions.text import index_tokens
     b = table(spark, d, "benchmark")
-    toks = F.slice(F.array_distinct(index_tokens(F.col("text"))), 1, 8)
+    toks = F.array_distinct(index_tokens(F.col("text")))
     return b.select(F.col("item_id").alias("query_id"), F.array_join(toks, " ").alias("query"),
                     F.col("text").alias("gold_text"))
 
