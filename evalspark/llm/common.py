@@ -47,6 +47,11 @@ class Memo(dict):
         return value
 
 
+def row_without(docs: DataFrame, text: str) -> Column:
+    """The other columns of a row as one value, so that no name among them can clash with a working column."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+
+
 class PairMemo(Memo):
     """The same for keys that are integers."""
 

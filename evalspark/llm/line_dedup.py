@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import LOWER, UPPER, WHITE, text_of
+from evalspark.llm.common import LOWER, UPPER, WHITE, row_without, text_of
 from evalspark.session import materialize
 
 
@@ -45,8 +45,7 @@ def shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id
 def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten, ``n_lines`` (before) and ``n_dropped``."""
     drops = shared_lines(docs, min_chars, min_docs, doc_id, text).withColumnsRenamed({"_id": "_drop_id", "_tag": "_drop_tag"})
-    # the row travels as one value, so that no column of it can clash with those used here
-    body = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), text_of(text).alias("_text")).withColumn("_tag", F.xxhash64("_text"))
+    body = docs.select(row_without(docs, text).alias("_row"), F.col(doc_id).alias("_id"), text_of(text).alias("_text")).withColumn("_tag", F.xxhash64("_text"))
     out = body.join(drops, (F.col("_id") == F.col("_drop_id")) & (F.col("_tag") == F.col("_drop_tag")), "left")
     out = out.withColumn("_lines", F.split("_text", "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))

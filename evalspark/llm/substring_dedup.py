@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import shared_partitions
+from evalspark.llm.common import row_without, shared_partitions
 from evalspark.llm.packed import bucket_bounds, expand, expand_sorted, mix, run_starts, squeeze, squeeze_sorted, window_sums, word_hashes, word_spans
 from evalspark.session import materialize
 
@@ -153,8 +153,7 @@ def drop_repeats(docs: DataFrame, min_words: int = 30) -> DataFrame:
             out.append({"text": "".join(kept) + text[at:] if ranges else text, "removed": [{"start": a, "end": b} for a, b in ranges], "n_removed_words": n})
         return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("n_removed_words", pa.int64())]))
 
-    # the row travels as one value, so that no column of it can clash with those used here
-    body = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    body = docs.select(row_without(docs, "text").alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
     joined = body.join(spans, F.col("_doc") == F.col("_id"), "left").withColumn("_cut", cut("_text", "_later"))
     new = {c: F.col("_cut").getField(c) for c in ("text", "removed", "n_removed_words")}
     rest = [new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns]
