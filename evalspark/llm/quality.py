@@ -95,8 +95,9 @@ def failed(version: str = CURRENT, bits: str = "fail_bits") -> Column:
 
 def keep(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, their columns untouched whatever their names."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    return ledger(rows, "_text").where(~failed(version)).select("_row.*")
+    rows = ledger(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text").select("_row", "fail_bits")
+    # not a filter: Spark would push it below the measurements, with a copy of them for each use in the bits
+    return rows.select(F.inline(F.when(~failed(version), F.array("_row"))))
 
 
 def ablation(rows: DataFrame, version: str = CURRENT) -> DataFrame:
