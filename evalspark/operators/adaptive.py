@@ -274,7 +274,7 @@ def recommendations(units: DataFrame, path: DataFrame, limit: int | None = 5) ->
     order = [F.when(allow, F.col("_visit")).otherwise(2).asc(),
              F.when(allow & ~F.col("in_path"), 0).otherwise(F.col("category")).asc(),
              F.asc("_neg"), F.asc("unit_id")]
-    return top_rows(df, ["student_id"], order, limit or (1 << 30)).drop("_visit", "_cat", "_neg", "_lead")
+    return top_rows(df, ["student_id"], order, limit).drop("_visit", "_cat", "_neg", "_lead")
 
 
 def review_codes(recs: DataFrame, units: DataFrame, recurrent: DataFrame, now: Column) -> DataFrame:
@@ -373,7 +373,7 @@ def plan_fingerprint(plan: DataFrame, now: str) -> DataFrame:
     order = lookup(F.col("horizon"), {"TODAY": 0, "NEXT_7_DAYS": 1, "LATER": 2})
     g = plan.groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct(
         order.alias("o"), "rank", item.alias("x")))).alias("_i"))
-    text = F.concat_ws("|", F.col("student_id").cast("string"), F.lit(CURRICULUM.key()), F.lit("full"),
+    text = F.concat_ws("|", F.col("student_id").cast("string"), F.lit(CURRICULUM.name), F.lit("full"),
                        F.lit(now), F.array_join("_i.x", "|"))
     return g.select("student_id", F.concat(F.lit("plan-"), F.substring(F.sha2(text, 256), 1, 12)).alias("plan_id"),
                     F.size("_i").alias("items"))

@@ -152,7 +152,7 @@ def recurrent_errors(memory: DataFrame, min_count: int = 2) -> DataFrame:
     """Repeated errors per student: severity weight, count and recency descending, then the key."""
     weight = lookup(F.col("severity"), SEVERITY_WEIGHT, 0.0)
     return top_rows(memory.filter(F.col("n") >= min_count), ["student_id"],
-                    [weight.desc(), F.desc("n"), F.desc("last_seen"), F.asc("error_type")], 1 << 20)
+                    [weight.desc(), F.desc("n"), F.desc("last_seen"), F.asc("error_type")], None)
 
 
 def question_history(attempts: DataFrame) -> DataFrame:

@@ -22,9 +22,10 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str], keep: list[str],
                     *[F.col(f"_r._{c}.{c}").alias(f"last_{c}") for c in keep]))
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int,
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int | None,
              rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows per key. Spark prunes to k rows per key before the shuffle."""
+    """The first ``k`` rows per key, ranked; all of them without ``k``. Spark prunes to k rows per key before the shuffle."""
     from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
