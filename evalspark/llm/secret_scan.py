@@ -2,8 +2,10 @@
 
 The shapes are three patterns (assignments, access keys, hexadecimal runs). For the novelty search, a candidate is a long run
 of key-like letters shortly after a sensitive word. zstandard is primed with a dictionary of common identifiers and sees the
-surrounding text; the candidate's cost is the number of bytes that it adds. Words, paths and repeated identifiers are cheap,
-random keys are not: what costs ``min_bits`` per letter or more is reported.
+surrounding text; the candidate's cost is the number of bytes that it adds. Common words and paths are cheap, random keys are not:
+what costs ``min_bits`` per letter or more is reported. What the surroundings share with the candidate (``SHARED`` letters or
+more) is blanked before, so that each copy of a key costs what a single one does; copies within one run of key-like letters count
+as one candidate.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; whole texts of any length are read;
 the context around a candidate is a fixed window, so cost grows with the text alone.
@@ -26,7 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = ("key", "secret", "token", "passw", "passphrase", "pwd", "credential", "auth", "bearer", "private", "signature")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-NEAR, AROUND = 48, 256
+NEAR, AROUND, SHARED = 48, 256, 12
 #: What code and configuration say all the time.
 PRIMER = """
 import from class def return self private public static final const let var function string integer boolean null true false
@@ -50,6 +52,25 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return 8.0 * (size(before + candidate + after) - size(before + after)) / len(candidate)
 
 
+def _surroundings(text: str, start: int, end: int) -> tuple[str, str]:
+    """The text before and after a candidate, with blanks for what it shares with the candidate."""
+    # a copy that the edge of the window cuts is seen whole
+    sides = text[max(0, start - AROUND - SHARED + 1):start], text[end:end + AROUND + SHARED - 1]
+    parts = lambda s, a, b: ((i, s[i:i + SHARED]) for i in range(a, b - SHARED + 1))
+    around = {x for side in sides for _, x in parts(side, 0, len(side))}
+    shared = {x for _, x in parts(text, start, end) if x in around}
+    if shared:
+        out = []
+        for side in sides:
+            letters = list(side)
+            for i, x in parts(side, 0, len(side)):
+                if x in shared:
+                    letters[i:i + SHARED] = " " * SHARED
+            out.append("".join(letters))
+        sides = tuple(out)
+    return sides[0][-AROUND:], sides[1][:AROUND]
+
+
 def find(text: str, min_bits: float = 5.0) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by start and then kind."""
     spans: list[tuple[int, int, int]] = []
@@ -67,8 +88,10 @@ def find(text: str, min_bits: float = 5.0) -> list[tuple[str, int, int]]:
             if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or any(a < end and start < b for a, _, b in known):
                 continue
             near = text[max(0, start - NEAR):start].lower()
-            if any(k in near for k in CONTEXT) and novelty(text[max(0, start - AROUND):start], s, text[end:end + AROUND]) >= min_bits:
-                spans.append((start, 3, end))
+            if any(k in near for k in CONTEXT):
+                before, after = _surroundings(text, start, end)
+                if novelty(before, s, after) >= min_bits:
+                    spans.append((start, 3, end))
     return [(KINDS[k], a, b) for a, k, b in sorted(spans)]
 
 

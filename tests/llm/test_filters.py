@@ -130,6 +130,24 @@ def test_secrets(spark):
     assert df.limit(0).select(secret_scan.scan(F.col("text"))).count() == 0
 
 
+def test_repeated_keys_are_found():
+    rnd = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for size in (20, 24, 32, 40, 64):
+        for _ in range(40):
+            key = "".join(rnd.choice(letters) for _ in range(size - 1)) + "7"
+            # the last distances leave parts of a copy at the edge of the window
+            for times, gap in ((1, 100), (2, 0), (2, 100), (3, 60), (2, 256 - size - 15), (2, 256 - 15 - size // 2), (2, 250)):
+                text = ("\n" + "so it is " * 40)[:gap].join(["Authorization: Bearer " + key + " "] * times)
+                want = [m.span() for m in re.finditer(key, text)]
+                assert len(want) == times and [(a, b) for _, a, b in secret_scan.find(text)] == want, text
+                assert key not in secret_scan.redacted(text, secret_scan.find(text))
+    both = f"auth_key={key} and the bearer {key}== again, private: {key}"
+    assert len(secret_scan.find("the auth " + both)) == 3
+    for name in ("internationalization_of_configuration2", "x" * 30 + "1"):
+        assert secret_scan.find(f"private key {name}, auth {name}, token {name}") == []
+
+
 def test_op10(spark):
     docs = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     for r in queries.op10_secret_scan(spark, SF).collect():
