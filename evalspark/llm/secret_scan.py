@@ -5,7 +5,8 @@ of key-like letters shortly after a sensitive word. zstandard is primed with a d
 surrounding text; the candidate's cost is the number of bytes that it adds. Common words and paths are cheap, random keys are not:
 what costs ``min_bits`` per letter or more is reported. What the surroundings share with the candidate (``SHARED`` letters or
 more) is blanked before, so that each copy of a key costs what a single one does; copies within one run of key-like letters count
-as one candidate.
+as one candidate. Every candidate is measured, of letters alone too (so a long word that the primer lacks is reported as well), unless
+the shapes cover all of it. One that they cover in part is reported if it or the rest of it is costly; redaction removes the union.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; whole texts of any length are read;
 the context around a candidate is a fixed window, so cost grows with the text alone.
@@ -82,15 +83,26 @@ def find(text: str, min_bits: float = 5.0) -> list[tuple[str, int, int]]:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(k in low for k in CONTEXT):
-        known = sorted(spans)
+        known: list[list[int]] = []
+        for a, _, b in sorted(spans):
+            if known and a <= known[-1][1]:
+                known[-1][1] = max(b, known[-1][1])
+            else:
+                known.append([a, b])
+        first = 0
         for m in CANDIDATE.finditer(text):
-            start, end, s = m.start(), m.end(), m[0]
-            if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or any(a < end and start < b for a, _, b in known):
-                continue
+            start, end = m.span()
+            while first < len(known) and known[first][1] <= start:
+                first += 1
+            # what the shapes leave of the candidate
+            rest, at, k = "", start, first
+            while k < len(known) and known[k][0] < end:
+                rest, at, k = rest + text[at:known[k][0]], known[k][1], k + 1
+            rest += text[at:end]
             near = text[max(0, start - NEAR):start].lower()
-            if any(k in near for k in CONTEXT):
+            if rest and any(k in near for k in CONTEXT):
                 before, after = _surroundings(text, start, end)
-                if novelty(before, s, after) >= min_bits:
+                if any(novelty(before, s, after) >= min_bits for s in {m[0], rest}):
                     spans.append((start, 3, end))
     return [(KINDS[k], a, b) for a, k, b in sorted(spans)]
 
