@@ -149,6 +149,34 @@ def test_graph_recall():
     assert got <= truth and len(got) >= 0.9 * len(truth)
 
 
+@pytest.mark.parametrize("itself", [True, False])
+def test_links_that_the_graph_misses(monkeypatch, itself):
+    """A graph that finds nothing but the queries themselves: links of a few queries are found all the same, and count in the recall."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(2000, 32))
+    nodes = v if itself else rng.normal(size=(2000, 32))
+    pairs = [(1, 501), (502, 1003), (1500, 2)]
+    for a, b in pairs:
+        nodes[b] = v[a]
+    v, nodes = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (v, nodes))
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(embedding_graph.Graph, "search", lambda self, q, reach, own=None: (none, none) if own is None else (np.arange(len(q)), own))
+    rows, cols, *seen = embedding_graph.range_search(v, nodes, 0.98, np.arange(2000) if itself else None)
+    got = {(a, b) for a, b in zip(rows.tolist(), cols.tolist()) if a != b}
+    assert got == set(pairs) | ({(b, a) for a, b in pairs} if itself else set())
+    assert seen == [0, len(got)]
+
+
+def test_recall_counts_all_links():
+    """Sparse links between two chunks, and the graph as it is."""
+    rng = np.random.default_rng(9)
+    v, nodes = rng.normal(size=(3000, 64)), rng.normal(size=(3000, 64))
+    nodes[:150] = v[:150] + rng.normal(size=(150, 64)) * 0.1
+    v, nodes = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (v, nodes))
+    rows, cols, found, total = embedding_graph.range_search(v, nodes, 0.98)
+    assert total == len(rows) == int((v @ nodes.T >= 0.98).sum()) >= 140 and found >= 0.9 * total
+
+
 def brute_pipeline(docs):
     """Stages 1 to 4 on one machine: id -> text."""
     from evalspark.llm import quality
