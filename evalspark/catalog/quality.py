@@ -153,9 +153,9 @@ def _(spark, d):
 
 
 # ---- streaming: the stream over the event files equals the batch result ----
-def _stream(spark, d):
+def _stream(spark, d, per_trigger=None):
     fx.table(spark, d, "events")
-    return fx.attempts_of(ST.stream_table(spark, d, "events"))
+    return fx.attempts_of(ST.stream_table(spark, d, "events", per_trigger))
 
 
 @query("st1_stream_attempts", "SELECT attempt_id, student_id, question_id, status FROM attempts", "attempts")
@@ -177,7 +177,7 @@ def _(spark, d):
 
 @query("st4_stream_expiry")
 def _(spark, d):
-    e = ST.stream_table(spark, d, "events").select((F.col("user_id") * 1000 + F.floor(F.col("value"))).alias("session_id"), F.col("ts").alias("at"),
+    e = ST.stream_table(spark, d, "events", None).select((F.col("user_id") * 1000 + F.floor(F.col("value"))).alias("session_id"), F.col("ts").alias("at"),
                                                    F.when(F.col("event_type") == "purchase", "SUBMITTED").otherwise("IN_PROGRESS").alias("state"))
     return ST.run_available(ST.stream_expiry(e, 3600), "expiry").select("session_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "outcome")
 
@@ -187,7 +187,7 @@ def _(spark, d):
     s = ST.stream_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("position"), F.col("l_shipdate").alias("saved_at"), F.col("l_partkey").alias("answer_id"))
     root = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
     ST.stream_answers(s, root).start().awaitTermination()
-    return spark.read.parquet(f"{root}/latest/v=0").select("session_id", "position", F.col("saved_at").cast("timestamp_ntz").alias("saved_at"))
+    return ST.last_version(spark, f"{root}/latest").select("session_id", "position", F.col("saved_at").cast("timestamp_ntz").alias("saved_at"))
 
 
 @query("st6_activity_windows", """SELECT time_bucket(INTERVAL 1 DAY, created_at) AS start, time_bucket(INTERVAL 1 DAY, created_at) + INTERVAL 1 DAY AS "end", count(*) AS events, count(signal) AS graded FROM attempts GROUP BY 1, 2""", "attempts")
@@ -215,7 +215,7 @@ def _(spark, d):
 def _(spark, d):
     root = f"{shared_dir(spark)}/errors-{uuid.uuid4().hex}"
     keep = lambda b, i: b.write.mode("overwrite").parquet(f"{root}/v={i}")
-    q = (ST.stream_error_memory(_stream(spark, d)).writeStream.outputMode("complete").foreachBatch(keep)
+    q = (ST.stream_error_memory(_stream(spark, d, 1)).writeStream.outputMode("complete").foreachBatch(keep)
          .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/v=0").select("student_id", "error_type", "n", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")])
+    return ST.last_version(spark, root).select("student_id", "error_type", "n", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")])

@@ -22,13 +22,32 @@ EVENT = ("student_id long, unit_id string, attempt_id long, created_at timestamp
          "status_after string, n long, interval_days long, next_review timestamp")
 
 
-def stream_table(spark: SparkSession, d: str, name: str, per_trigger: int = 1) -> DataFrame:
-    """One table of a folder as a file stream (time stamps without zone become UTC time stamps)."""
+def _hadoop_path(spark: SparkSession, path: str):
+    """A path and its store, whichever Spark can read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stream_table(spark: SparkSession, d: str, name: str, per_trigger: int | None = 1) -> DataFrame:
+    """One table of a folder, a file or itself a folder of files, as a file stream (time stamps without zone become UTC time stamps).
+
+    The files of a table are in no order of time: what depends on that order takes all in one micro-batch (``per_trigger`` None).
+    """
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    s = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", per_trigger).parquet(d))
+    path, store = _hadoop_path(spark, f"{d}/{name}.parquet")
+    s = spark.readStream.schema(schema)
+    s = s if per_trigger is None else s.option("maxFilesPerTrigger", per_trigger)
+    s = s.parquet(f"{d}/{name}.parquet") if store.getFileStatus(path).isDirectory() else s.option("pathGlobFilter", f"{name}.parquet").parquet(d)
     return s.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in s.dtypes])
 
 
+def last_version(spark: SparkSession, root: str) -> DataFrame:
+    """The table of the last micro-batch among the folders v=0, v=1, ... of ``root``."""
+    path, store = _hadoop_path(spark, root)
+    names = [f.getPath().getName() for f in store.listStatus(path)]
+    return spark.read.parquet(f"{root}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there now into the shared folder and read the result (append only)."""
     import uuid

@@ -70,3 +70,21 @@ def test_no_window_over_a_whole_unit(spark):
     for line in plan.splitlines():
         if "hashpartitioning" in line:
             assert "_blk" in line
+
+
+@pytest.fixture(scope="module")
+def in_parts(spark, tmp_path_factory):
+    """Tables stored as folders of three files, whose rows are in no order of time."""
+    d = str(tmp_path_factory.mktemp("parts"))
+    for name in ("events", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["st1_stream_attempts", "st2_stream_mastery", "st3_stream_spacing", "st4_stream_expiry", "st5_stream_answers", "st8_stream_error_memory"])
+def test_streams_of_several_files(spark, in_parts, name):
+    from evalspark.catalog import load_all
+    run = load_all()[0][name]
+    rows = lambda d: sorted(map(repr, run(spark, d).collect()))
+    want = rows("/root/testdata/sf0.001")
+    assert want and rows(in_parts) == want
