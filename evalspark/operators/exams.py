@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from evalspark.functions import labels as LB
 from evalspark.functions.columns import codes, first_true, lookup
 from evalspark.functions.units import available_thousandths, percent_hundredths, thousandths
-from evalspark.operators.upserts import top_rows
 from evalspark.policies import DIFFICULTY, TRANSITIONS
 
 
@@ -41,23 +40,26 @@ def session_numbers(sessions: DataFrame) -> DataFrame:
     return s.withColumn("session_key", content_id("ses-", F.col("exam_id"), F.col("student_id"), F.col("n")))
 
 
-def session_fold(events: DataFrame, longest: int = 6) -> DataFrame:
+def session_fold(events: DataFrame) -> DataFrame:
     """Final state of each session, and every step checked against the allowed moves.
 
-    The moves have no cycle, so a valid session has at most five changes. Counting is an aggregate,
-    only the first ``longest`` changes are lined up (pruned before the shuffle), and a session with
-    more than that is invalid whatever they are; ``violations`` names the bad steps among them.
+    Each change is compared with the one before it, row by row, so a session of any length is read
+    whole; ``violations`` names its distinct bad steps by first occurrence. Only these are collected:
+    there are no more of them than pairs of states.
     """
-    all_ = events.groupBy("session_id").agg(F.count(F.lit(1)).alias("changes"), F.max(F.struct("at", "seq", "state")).alias("_last"))
-    head = top_rows(events.select("session_id", "at", "seq", "state"), ["session_id"], [F.asc("at"), F.asc("seq")], longest)
-    e = head.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "state"))).alias("ev"))
-    allowed = F.array(*[F.lit(f"{a}>{b}") for a, bs in TRANSITIONS.items() for b in bs])
-    steps = F.zip_with(F.slice("ev", 1, F.size("ev") - 1), F.slice("ev", 2, F.size("ev")),
-                       lambda a, b: F.concat(a["state"], F.lit(">"), b["state"]))
-    bad = F.array_except(steps, allowed)
-    ok = (F.size(bad) == 0) & (F.col("ev")[0]["state"] == "CREATED") & (F.col("changes") < longest)
-    return all_.join(e, "session_id").select("session_id", F.col("_last.state").alias("state"), "changes", ok.alias("valid"),
-                                             F.array_join(bad, ",").alias("violations"))
+    w = Window.partitionBy("session_id").orderBy("at", "seq")
+    e = events.select("session_id", "at", "seq", "state", F.lag(F.struct("state")).over(w).alias("_p"))
+    allowed = [f"{a}>{b}" for a, bs in TRANSITIONS.items() for b in bs]
+    e = e.withColumn("step", F.when(F.col("_p").isNotNull(), F.struct(F.concat("_p.state", F.lit(">"), "state").alias("s"))))
+    bad = F.col("step").isNotNull() & ~F.coalesce(F.col("step.s").isin(*allowed), F.lit(False))
+    steps = e.groupBy("session_id", F.when(bad, F.col("step")).alias("bad")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "seq")).alias("first"), F.max(F.struct("at", "seq", "state")).alias("last"),
+        F.min(F.struct("at", "seq", "state")).alias("start"))
+    r = steps.groupBy("session_id").agg(F.sum("n").alias("changes"), F.max("last").alias("last"), F.min("start").alias("start"),
+                                        F.array_sort(F.collect_list(F.when(F.col("bad").isNotNull(), F.struct("first", "bad")))).alias("bad"))
+    ok = (F.size("bad") == 0) & (F.col("start.state") == "CREATED")
+    return r.select("session_id", F.col("last.state").alias("state"), "changes", ok.alias("valid"),
+                    F.array_join(F.transform("bad", lambda x: x["bad"]["s"]), ",").alias("violations"))
 
 
 def expire(sessions: DataFrame, now: Column, duration_seconds: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,14 @@ def test_dense_search_in_blocks(spark):
     want = {(j, int(i)) for j in range(9) for i in np.argsort(-s[:, j])[:3]}
     assert {(r.label, r.vec_id) for r in S.dense_search(vectors, queries, 3, block=2).collect()} == want
     assert S.dense_search(vectors, queries.limit(0), 3).count() == 0
+
+
+def test_sessions_of_many_changes(spark):
+    from evalspark.operators.exams import session_fold
+    good = ["CREATED", "READY", "IN_PROGRESS", "SUBMITTED", "GRADED"]
+    states = {1: good, 2: [*good, "CREATED", "READY", "GRADED", "CREATED", "SUBMITTED"], 3: ["READY", "IN_PROGRESS"], 4: ["CREATED"], 5: [*good, "READY"] * 40}
+    rows = [(k, n // 3, n, x) for k, xs in states.items() for n, x in enumerate(xs)]
+    random.Random(1).shuffle(rows)
+    got = {r.session_id: (r.state, r.changes, r.valid, r.violations) for r in session_fold(spark.createDataFrame(rows, "session_id long, at int, seq int, state string")).collect()}
+    assert got == {1: ("GRADED", 5, True, ""), 2: ("SUBMITTED", 10, False, "GRADED>CREATED,READY>GRADED,CREATED>SUBMITTED"), 3: ("IN_PROGRESS", 2, False, ""),
+                   4: ("CREATED", 1, True, ""), 5: ("READY", 240, False, "GRADED>READY,READY>CREATED")}
