@@ -57,3 +57,46 @@ reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept, CASE WHEN n_links > 0 THEN 1.0 END AS audited_recall
 FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a) USING (vec_id)
 JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) USING (vec_id)"""
+
+ORACLES["op11_hard_negatives"] = r"""
+WITH fine AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 3"""
+
+
+def _digest(*columns: str) -> str:
+    """The digest of a row: each value as ``-`` if null, else its length in bytes, ``:`` and itself."""
+    parts = [f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: crc32 of a decimal id, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda s, c: list_reduce(list_prepend(xor(s, c), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda t, z: xor(t >> 1, 3988292384 * (t & 1)))))"""
+
+ORACLES["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE docs AS (SELECT *, CASE WHEN {CRC} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS touched FROM documents),
+leaves AS (SELECT doc_id, lang, {_digest("doc_id", "source", "lang", "n_chars", "text")} AS leaf, {_digest("doc_id", "source", "lang", "touched", "text")} AS other,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM docs),
+tree AS (SELECT lang, 0 AS lvl, pos, n, leaf AS digest FROM leaves
+  UNION ALL SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY lang, lvl, n, pos // 2),
+subroots AS (SELECT lang, digest, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lvl, pos, n, digest FROM subroots
+  UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, n, pos // 2),
+low_fold AS (SELECT doc_id, lang, 0 AS lvl, pos, n, other AS folded, '' AS proof FROM leaves
+  UNION ALL SELECT f.doc_id, f.lang, f.lvl + 1, f.pos // 2, (f.n + 1) // 2, CASE WHEN s.digest IS NULL THEN sha256(f.folded) WHEN f.pos % 2 = 0 THEN sha256(f.folded || s.digest)
+    ELSE sha256(s.digest || f.folded) END, f.proof || coalesce(s.digest, '')
+  FROM low_fold f LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM f.lang AND s.lvl = f.lvl AND s.pos = xor(f.pos, 1) WHERE f.n > 1),
+high_fold AS (SELECT doc_id, r.digest AS subroot, 0 AS lvl, r.pos, r.n, folded, proof FROM low_fold f JOIN subroots r ON r.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+  UNION ALL SELECT f.doc_id, f.subroot, f.lvl + 1, f.pos // 2, (f.n + 1) // 2, CASE WHEN s.digest IS NULL THEN sha256(f.folded) WHEN f.pos % 2 = 0 THEN sha256(f.folded || s.digest)
+    ELSE sha256(s.digest || f.folded) END, f.proof || coalesce(s.digest, '')
+  FROM high_fold f LEFT JOIN top s ON s.lvl = f.lvl AND s.pos = xor(f.pos, 1) WHERE f.n > 1)
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.digest AS verified
+FROM high_fold JOIN leaves USING (doc_id) JOIN (SELECT digest FROM top WHERE n = 1) t ON TRUE WHERE high_fold.n = 1"""

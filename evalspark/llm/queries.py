@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import byte_bpe, embedding_graph, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, token_count, toxicity
+from evalspark.llm import (byte_bpe, embedding_graph, hard_negatives, jaccard_join, language_crf, line_dedup, merkle, packing, quality, secret_scan, substring_dedup, token_count,
+                           toxicity)
 from evalspark.llm.common import sha_hex, table, text_of
 from evalspark.llm.oracles import ORACLES
 from evalspark.session import materialize
@@ -75,5 +76,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                        joined(F.col("found")).alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seventh = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, seventh)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    out = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": touched})
+    return out.select("doc_id", "leaf", "subroot", "root", sha_hex(F.lower(F.hex("proof"))).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = language_crf.train(docs)
+    out = docs.select("doc_id", language_crf.held_out(F.col("doc_id")).alias("held_out"), language_crf.language(F.col("text"), model, docs).alias("out"))
+    return out.select("doc_id", "held_out", F.col("out.lang").alias("lang_pred"), F.col("out.score").alias("score"), F.col("out.n_words").alias("n_words"),
+                      F.col("out.n_switches").alias("n_switches"))
+
+
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_toxicity, op6_embedding_dedup, op7_best_fit_packing,
-                                  op8_substring_dedup, op9_ngram_jaccard, op10_secret_scan)}
+                                  op8_substring_dedup, op9_ngram_jaccard, op10_secret_scan, op11_hard_negatives, op12_merkle_manifest, op13_language_id)}
