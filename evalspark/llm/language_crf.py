@@ -38,6 +38,8 @@ from evalspark.llm.packed import mix
 PER_LANGUAGE, SPAN = 500, 64
 #: Buckets of hashed features, words of a language's lexicon, least number of occurrences there.
 BUCKETS, LEXICON, SEEN = 1 << 16, 1000, 3
+#: Parts in which a language's rows are sorted for the sample.
+RANGES = 64
 #: Words of a segment of a chain, and words that are worked on together.
 SEGMENT, TOGETHER = 64, 200_000
 UNKNOWN = "und"
@@ -323,13 +325,18 @@ def held_out(doc_id: Column, parts: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == 0, F.lit(False))
 
 
+def _least(rows: DataFrame, k: int, *order: str) -> DataFrame:
+    """The first ``k`` rows of each language: first of a range of hashes, as one language may hold most rows, then of these."""
+    ranges = Window.partitionBy("lang", F.pmod("_hash", F.lit(RANGES))).orderBy(*order)
+    first = rows.withColumn("_k", F.row_number().over(ranges)).where(F.col("_k") <= k).drop("_k")
+    return first.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+
+
 def windows_of(docs: DataFrame, per_language: int = PER_LANGUAGE, span: int = SPAN) -> DataFrame:
     """(lang, words): the bounded sample that the model is fitted on."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    least = Window.partitionBy("lang").orderBy("_hash", "doc_id")
     rows = known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("_hash"))
-    chosen = rows.withColumn("_k", F.row_number().over(least)).where(F.col("_k") <= per_language).select(
-        F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_hash").distinct()
+    chosen = _least(rows, per_language, "_hash", "doc_id").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_hash").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,8 +351,7 @@ def windows_of(docs: DataFrame, per_language: int = PER_LANGUAGE, span: int = SP
     texts = known.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "_hash", "text")
     cuts = texts.mapInArrow(cut, "lang string, _hash long, words string")
     # ids that repeat bring more rows than were chosen
-    best = Window.partitionBy("lang").orderBy("_hash", "words")
-    return cuts.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= per_language).select("lang", "words")
+    return _least(cuts, per_language, "_hash", "words").select("lang", "words")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, span: int = SPAN) -> Model:

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from evalspark.session import materialize
 
-#: Children of a node, and levels of a task's run (1024 nodes).
-FANOUT, HEIGHT = 2, 10
+#: Children of a node, levels of a run (4096 nodes), and runs of a task.
+FANOUT, HEIGHT, RUNS = 2, 12, 4
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -234,6 +234,12 @@ def _levels(n: Column, fanout: int, height: int) -> Column:
     return need
 
 
+def _dealt(nodes: DataFrame, of: DataFrame, group: str, fanout: int, height: int) -> DataFrame:
+    """``nodes``, made from the stored table ``of``, with ``RUNS`` runs a task: the work goes by rows, not by bytes."""
+    runs = of.count() // fanout**height
+    return nodes.repartition(max(1, runs // RUNS, min(runs, 4 * of.sparkSession.sparkContext.defaultParallelism)), group, "_run")
+
+
 def _raise_tier(nodes: DataFrame, group: str, fanout: int, height: int) -> DataFrame:
     """(group, pos, n, digest) of the runs of ``nodes``."""
     size = fanout**height
@@ -248,7 +254,7 @@ def _raise_tier(nodes: DataFrame, group: str, fanout: int, height: int) -> DataF
 
     runs = nodes.withColumn("_run", F.expr(f"pos div {size}")).withColumn("_levels", _levels(F.col("n"), fanout, height))
     kind = nodes.schema[group].dataType.simpleString()
-    return runs.groupBy(group, "_run").applyInArrow(up, f"`{group}` {kind}, pos long, n long, digest binary")
+    return _dealt(runs, nodes, group, fanout, height).groupBy(group, "_run").applyInArrow(up, f"`{group}` {kind}, pos long, n long, digest binary")
 
 
 def _lower_tier(nodes: DataFrame, above: DataFrame, group: str, fanout: int, height: int) -> DataFrame:
@@ -259,7 +265,7 @@ def _lower_tier(nodes: DataFrame, above: DataFrame, group: str, fanout: int, hei
         return pa.table({group: batch[group], "pos": batch["pos"], "path": pa.array([a + b for a, b in zip(own, batch["path"].to_pylist())], pa.binary())})
 
     kind = nodes.schema[group].dataType.simpleString()
-    return _with_path(nodes, above, group, fanout, height).groupBy(group, "_run").applyInArrow(down, f"`{group}` {kind}, pos long, path binary")
+    return _dealt(_with_path(nodes, above, group, fanout, height), nodes, group, fanout, height).groupBy(group, "_run").applyInArrow(down, f"`{group}` {kind}, pos long, path binary")
 
 
 def _with_path(nodes: DataFrame, above: DataFrame, group: str, fanout: int, height: int) -> DataFrame:
@@ -339,5 +345,5 @@ def _fold_leaves(leaves: DataFrame, above: DataFrame, fanout: int, height: int)
                          "folded": pa.array([x.tobytes() for x in _to_bytes(node)], pa.binary())})
 
     kinds = {c: leaves.schema[c].dataType.simpleString() for c in ("id", "grp")}
-    return _with_path(leaves, above, "grp", fanout, height).groupBy("grp", "_run").applyInArrow(
+    return _dealt(_with_path(leaves, above, "grp", fanout, height), leaves, "grp", fanout, height).groupBy("grp", "_run").applyInArrow(
         down, f"id {kinds['id']}, grp {kinds['grp']}, digest binary, proof binary, folded binary")

@@ -14,35 +14,93 @@ through; an empty table gives no piece.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+import string
+import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import Memo
-from evalspark.llm.word_bpe import WordRules, rules
+from evalspark.llm.word_bpe import LATIN, WordRules, rules
 from evalspark.session import materialize
 
 
+#: Bytes of text whose words are looked up together.
+SLICE = 4 << 20
+
+
+class AgingMemo(Memo):
+    """A memory of two generations: at half the limit the young become old and the old go, so that words in use stay."""
+
+    def __init__(self, make: Callable, limit: int = 500_000, longest: int = 48):
+        super().__init__(make, limit, longest)
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordIds:
     """Ids of words by the library's model, as little-endian 32-bit bytes."""
 
     def __init__(self, words: WordRules):
         self.words, self.model = words, words.tokenizer.model
-        self.pieces = Memo(lambda p: np.array([t.id for t in self.model.tokenize(p)], "<u4").tobytes())
-        self.memo = Memo(self.word)
+        self.pieces = AgingMemo(self.piece)
+        self.memo = AgingMemo(self.word)
+
+    def piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: str) -> bytes:
+        # Latin letters with ASCII signs after them: the signs are one piece
+        letters = word.rstrip(string.punctuation)
+        if letters.isalpha() and max(letters) < LATIN and "\u0130" not in letters:
+            head = self.pieces[letters.translate(self.words.latin)]
+            return head + self.pieces[word[len(letters):]] if len(letters) < len(word) else head
         return b"".join([p.to_bytes(4, "little") if isinstance(p, int) else self.pieces[p] for p in self.words.pieces(word)])
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.words.words(text)))
 
 
+    def column(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """The ids of each text and ``end``. Each distinct word is looked up once; Arrow puts the texts together again. Other
+        white space than ASCII's stays in a word, which the library's rules then split."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        known = pa.array([*map(self.memo.__getitem__, words.dictionary.to_pylist()), end], pa.binary())
+        ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        order = np.insert(words.indices.to_numpy(), ends, len(known) - 1)
+        ids = known.take(pa.array(order))
+        bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.frombuffer(ids.buffers()[1], np.int32)[bounds].tobytes()), ids.buffers()[2]])
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some ``SLICE`` bytes, or of one longer text."""
+    if not len(texts):
+        return
+    at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+    yield from zip(cuts[:-1], cuts[1:])
+
+
 @lru_cache(4)
 def word_ids(path: str) -> WordIds:
     return WordIds(rules(path))
@@ -54,7 +112,8 @@ def token_bytes(text: Column, path: str, end_id: int = 0) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, end = word_ids(path), end_id.to_bytes(4, "little")
         for texts in batches:
-            yield pa.array([w.ids(t or "") + end for t in texts.to_pylist()], pa.binary())
+            parts = [w.column(texts.slice(a, b - a), end) for a, b in _slices(texts)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
     return run(text)
 
 
