@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("learner", "adaptive", "text", "retrieval", "exams", "knowledge", "quality")
+AREAS = ("learner", "adaptive", "text", "retrieval", "exams", "knowledge", "quality", "evidence")
 
 
 def load_all() -> tuple[dict, dict]:

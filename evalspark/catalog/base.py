@@ -134,6 +134,14 @@ cte("formulas", f"""SELECT 'eq-' || p_partkey AS equation_id, '$' || {_letter('p
   p_brand AS source FROM part""")
 cte("formula_queries", f"""SELECT s_suppkey AS query_id, 'calcula ' || {_letter('s_suppkey')} || '_' || (s_suppkey % 10) || ' amb ' ||
   {_letter('s_suppkey // 3')} || '_' || (s_suppkey % 4) || ' small ring' AS query FROM supplier""")
+cte("mixed_formulas", "SELECT * REPLACE (CASE WHEN part % 2 = 1 THEN lower(expression) ELSE expression END AS expression) FROM formulas", "formulas")
+cte("formula_links", "SELECT DISTINCT equation_id, chunk_id FROM formulas JOIN corpus ON chunk_id IN (part, 2 * part)", "formulas", "corpus")
+cte("content_types", f"SELECT chunk_id, {sql_case('chunk_id % 4', fx.CONTENT_TYPES)} AS content_type FROM corpus", "corpus")
+cte("evidence_queries", f"""SELECT CAST(query_id AS BIGINT) AS query_id, query FROM queries UNION ALL SELECT CAST(n_nationkey + 1000000 AS BIGINT), CASE n_nationkey % 5
+  WHEN 0 THEN 'calcula the ' || lower({_letter('n_nationkey')}) || '_' || (n_nationkey % 4) || ' and ' || lower({_letter('n_nationkey // 7')}) || '_' || (n_nationkey % 4)
+  WHEN 1 THEN '= ' || {_letter('n_nationkey // 7')} || '_' || (n_nationkey % 4) WHEN 2 THEN 'que significa ' || {_letter('n_nationkey')} || '_' || (n_nationkey % 4) || ' small ring'
+  WHEN 3 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'unitats the ' ELSE 'unitats tema ' || (n_nationkey % 12) || ' small ' END || {_letter('n_nationkey')} || '_' || (n_nationkey % 4)
+  ELSE 'the small ring that with ' || lower(n_name) END FROM nation""", "queries")
 cte("notes", f"""SELECT 'n-' || p_partkey AS note_id, p_size % 10 + 1 AS topic, p_name AS section, 'La magnitud ' || p_name || ' es mesura, on ' ||
   {_letter('p_partkey')} || '_' || (p_size % 10) || ' és la sortida ' || lower(p_type) || ' de ' || p_brand || '. Sempre que ' || p_name ||
   ' sigui estable, el valor val. ' || {_letter('p_partkey')} || '_' || (p_size % 10) || ': valor ' || p_size || ' unitats.' AS text FROM part""")

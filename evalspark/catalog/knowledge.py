@@ -27,7 +27,7 @@ def _(spark, d):
 @query("j7_symbol_lookup", """SELECT query_id, equation_id, coverage, overlap, round(coverage * 0.7 + overlap * 0.3, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, overlap DESC, equation_id) AS rank FROM (SELECT h.query_id, h.equation_id,
    round((ex + 0.6 * bo) / nq, 4) AS coverage, COALESCE(round(o.overlap, 4), 0.0) AS overlap FROM fhit h LEFT JOIN fov o ON o.query_id = h.query_id AND o.section = h.section) WHERE coverage > 0) WHERE rank <= 20""", "fhit", "fov")
 def _(spark, d):
-    return FO.symbol_lookup(fx.formula_queries(spark, d), fx.formulas(spark, d))
+    return FO.symbol_lookup(fx.formula_queries(spark, d), fx.formulas(spark, d)).drop("covers")
 
 
 @query("j8_covers", "SELECT query_id, equation_id FROM fhit WHERE cov", "fhit")

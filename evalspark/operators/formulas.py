@@ -1,63 +1,126 @@
 """Formula search, lookup, coverage, checks, chains and distractors."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.functions import formula as FM, text as T
 from evalspark.operators.upserts import top_rows
+from evalspark.session import materialize
 
 
-def _symbols(df: DataFrame, key: str, col: str) -> DataFrame:
+def _with_symbols(df: DataFrame, key: str, col: str, *more: str) -> DataFrame:
     s = FM.symbols_of(F.col(col))
-    return df.select(key, s.alias("syms"), FM.symbol_bases(s).alias("bases"), FM.symbol_keys(s).alias("keys"))
+    return df.select(key, *more, s.alias("syms")).withColumns({"bases": FM.symbol_bases(F.col("syms")), "keys": FM.symbol_keys(F.col("syms"))})
 
 
-def _overlap(queries: DataFrame, formulas: DataFrame, minimum: int = 0) -> DataFrame:
-    """Share of a query's words found in a formula's section name."""
-    w = F.array_distinct(F.filter(T.query_terms(F.col("query")), lambda t: F.length(t) >= minimum))
+def _overlap(queries: DataFrame, sections: DataFrame, minimum: int = 0, directives: bool = True) -> DataFrame:
+    """Share of a query's words found in a section name."""
+    words = T.query_terms(F.col("query"))
+    words = words if directives else F.array_except(words, T.directive_spans(F.col("query")))
+    w = F.array_distinct(F.filter(words, lambda t: F.length(t) >= minimum))
     q = queries.select("query_id", F.explode(w).alias("w"), F.size(w).alias("qn"))
-    sec = formulas.select("section").distinct().select("section", F.explode(F.array_distinct(T.query_terms(F.col("section")))).alias("w"))
+    sec = sections.select("section").distinct().select("section", F.explode(F.array_distinct(T.query_terms(F.col("section")))).alias("w"))
     return q.join(sec, "w").groupBy("query_id", "section", "qn").agg(F.count(F.lit(1)).alias("shared")).withColumn(
         "overlap", F.col("shared") / F.col("qn"))
 
 
-def symbol_hits(queries: DataFrame, formulas: DataFrame) -> DataFrame:
-    """Exact and base-only symbol matches of every (query, formula) that shares a base symbol."""
-    q, f = _symbols(queries, "query_id", "query"), _symbols(formulas, "equation_id", "expression")
-    pair = (q.select("query_id", F.explode("bases").alias("b")).join(f.select("equation_id", F.explode("bases").alias("b")), "b")
-            .groupBy("query_id", "equation_id").agg(F.collect_set("b").alias("common")))  # a query's few symbols
+@dataclass
+class FormulaIndex:
+    """Formulas by classes of equal (symbols, section), which all score alike, and by the pieces of their normal form."""
+    classes: DataFrame    # class_id (its least equation_id), section, syms, bases, keys
+    members: DataFrame    # class_id, equation_id, norm
+    grams: DataFrame      # gram, equation_id, norm: pieces of two and three letters
+    gram_sizes: DataFrame  # gram, n
+
+
+def index_formulas(formulas: DataFrame, store: bool = False) -> FormulaIndex:
+    keep = materialize if store else (lambda df, name: df)
+    f = formulas.select("equation_id", "section", FM.symbols_of(F.col("expression")).alias("syms"), FM.normalize_latex(F.col("expression")).alias("norm"))
+    f = keep(f, "formulas")
+    least = f.groupBy("section", "syms").agg(F.min("equation_id").alias("class_id"))
+    classes = least.withColumns({"bases": FM.symbol_bases(F.col("syms")), "keys": FM.symbol_keys(F.col("syms"))})
+    members = f.join(least, f["section"].eqNullSafe(least["section"]) & (f["syms"] == least["syms"])).select("class_id", "equation_id", "norm")
+    grams = keep(f.select("equation_id", "norm", F.explode(_grams(F.col("norm"))).alias("gram")), "formula-grams")
+    return FormulaIndex(keep(classes, "formula-classes"), keep(members, "formula-members"), grams, keep(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "formula-gram-sizes"))
+
+
+def _grams(norm: Column) -> Column:
+    """Distinct pieces of two and of three letters."""
+    def cut(size: int) -> Column:
+        places = F.when(F.length(norm) >= size, F.sequence(F.lit(1), F.length(norm) - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: norm.substr(i, F.lit(size)))
+    return F.array_distinct(F.concat(cut(2), cut(3)))
+
+
+def containing(queries: DataFrame, index: FormulaIndex, minimum: int) -> DataFrame:
+    """(query_id, equation_id, length) where the query's normal form, of ``minimum`` letters or more, stands in the formula's.
+
+    A formula that holds it holds all of its pieces, so each query reads the list of its rarest piece alone; a query with a
+    piece that no formula has reads none."""
+    core = FM.normalize_latex(F.col("query"))
+    q = queries.select("query_id", core.alias("core")).filter(F.length("core") >= max(minimum, 2))
+    pieces = F.filter(_grams(F.col("core")), lambda g: F.length(g) == F.least(F.length("core"), F.lit(3)))
+    g = q.select("query_id", F.explode(pieces).alias("gram")).join(index.gram_sizes, "gram", "left")
+    rarest = g.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("query_id", "r.gram")
+    hits = rarest.join(index.grams, "gram").join(q, "query_id").filter(F.col("norm").contains(F.col("core")))
+    return hits.select("query_id", "equation_id", F.length("core").alias("length"))
+
+
+def symbol_hits(queries: DataFrame, formulas: DataFrame, key: str = "equation_id") -> DataFrame:
+    """Exact and base-only symbol matches of every (query, formula or class) that shares a base symbol. ``formulas`` has syms,
+    bases and keys beside ``key``."""
+    q, f = _with_symbols(queries, "query_id", "query"), formulas
+    pair = (q.select("query_id", F.explode("bases").alias("b")).join(f.select(key, F.explode("bases").alias("b")), "b")
+            .groupBy("query_id", key).agg(F.collect_set("b").alias("common")))  # a query's few symbols
     j = pair.join(q.select("query_id", F.col("syms").alias("qs"), F.col("bases").alias("qb"), F.col("keys").alias("qk")), "query_id").join(
-        f.select("equation_id", F.col("syms").alias("fs"), F.col("keys").alias("fk")), "equation_id")
+        f.select(key, F.col("syms").alias("fs"), F.col("keys").alias("fk")), key)
     exact = F.array_intersect("qs", "fs")
-    return j.select("query_id", "equation_id", F.size(exact).alias("exact"), F.size("qs").alias("nq"), F.size("fs").alias("nf"), F.size("qb").alias("nqb"),
+    return j.select("query_id", key, F.size(exact).alias("exact"), F.size("qs").alias("nq"), F.size("fs").alias("nf"), F.size("qb").alias("nqb"),
                     F.size(F.array_except("common", F.transform(exact, FM.base_symbol))).alias("base_only"),
                     (F.size(F.array_except("qk", "fk")) == 0).alias("covers"))
 
 
-def formula_search(queries: DataFrame, formulas: DataFrame, k: int = 20) -> DataFrame:
+def _best(scored: DataFrame, index: FormulaIndex, k: int, order: list[Column]) -> DataFrame:
+    """The first k formulas per query of scored classes. Any formula among them is one of the first k of one of the first k
+    classes, as a class comes with its least id."""
+    top = top_rows(scored, ["query_id"], [*order, F.asc("class_id")], k).drop("rank")
+    first = top_rows(index.members.select("class_id", "equation_id"), ["class_id"], [F.asc("equation_id")], k).drop("rank")
+    return top.join(first, "class_id")
+
+
+def formula_search(queries: DataFrame, formulas: DataFrame | FormulaIndex, k: int = 20) -> DataFrame:
     """Symbol, LaTeX-substring and section evidence combined; top k per query."""
-    one = F.lit(1)
-    h = symbol_hits(queries, formulas).withColumn("sym", F.when(F.col("exact") > 0, 0.7 * F.col("exact") / F.greatest("nq", one)
+    index = formulas if isinstance(formulas, FormulaIndex) else index_formulas(formulas)
+    one, none = F.lit(1), F.lit(0.0)
+    h = symbol_hits(queries, index.classes, "class_id").withColumn("sym", F.when(F.col("exact") > 0, 0.7 * F.col("exact") / F.greatest("nq", one)
         + 0.3 * F.col("exact") / F.greatest("nf", one)).otherwise(0.0) + F.when(F.col("base_only") > 0, 0.5 * F.col("base_only") / F.greatest("nqb", one)).otherwise(0.0))
-    ov = _overlap(queries, formulas).join(formulas.select("equation_id", "section"), "section").select("query_id", "equation_id", "overlap")
-    j = h.select("query_id", "equation_id", "sym").join(ov, ["query_id", "equation_id"], "full")
-    score = F.round(F.coalesce("sym", F.lit(0.0)) + 0.15 * F.coalesce("overlap", F.lit(0.0)), 4)
-    return top_rows(j.select("query_id", "equation_id", score.alias("score")).filter("score > 0"), ["query_id"],
-                    [F.desc("score"), F.asc("equation_id")], k)
+    ov = _overlap(queries, index.classes).join(index.classes.select("class_id", "section"), "section").select("query_id", "class_id", "overlap")
+    parts = h.select("query_id", "class_id", "sym").join(ov, ["query_id", "class_id"], "full")
+    score = lambda piece: F.round(F.coalesce("sym", none) + piece + 0.15 * F.coalesce("overlap", none), 4)
+    by_class = _best(parts.withColumn("score", score(none)).filter("score > 0"), index, k, [F.desc("score")])
+    held = containing(queries, index, 3).join(index.members.select("equation_id", "class_id"), "equation_id").join(
+        parts, ["query_id", "class_id"], "left").withColumn("score", score(F.lit(0.5)))
+    both = by_class.select("query_id", "equation_id", "score").unionByName(held.select("query_id", "equation_id", "score"))
+    return top_rows(both.groupBy("query_id", "equation_id").agg(F.max("score").alias("score")), ["query_id"], [F.desc("score"), F.asc("equation_id")], k)
 
 
-def symbol_lookup(queries: DataFrame, formulas: DataFrame, k: int = 20) -> DataFrame:
+def symbol_lookup(queries: DataFrame, formulas: DataFrame | FormulaIndex, k: int = 20, directives: bool = True) -> DataFrame:
     """Coverage of the queried symbols, then overlap with the section name."""
-    h = symbol_hits(queries, formulas).withColumn("coverage", F.round((F.col("exact") + 0.6 * F.col("base_only")) / F.greatest("nq", F.lit(1)), 4))
-    ov = _overlap(queries, formulas).select("query_id", "section", F.round("overlap", 4).alias("overlap"))
-    j = h.join(formulas.select("equation_id", "section"), "equation_id").join(ov, ["query_id", "section"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
-    j = j.select("query_id", "equation_id", "coverage", "overlap", F.round(F.col("coverage") * 0.7 + F.col("overlap") * 0.3, 4).alias("score"))
-    return top_rows(j.filter("coverage > 0"), ["query_id"], [F.desc("coverage"), F.desc("overlap"), F.asc("equation_id")], k)
+    index = formulas if isinstance(formulas, FormulaIndex) else index_formulas(formulas)
+    h = symbol_hits(queries, index.classes, "class_id").withColumn("coverage", F.round((F.col("exact") + 0.6 * F.col("base_only")) / F.greatest("nq", F.lit(1)), 4))
+    ov = _overlap(queries, index.classes, directives=directives).select("query_id", "section", F.round("overlap", 4).alias("overlap"))
+    j = h.join(index.classes.select("class_id", "section"), "class_id").join(ov, ["query_id", "section"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    j = j.select("query_id", "class_id", "coverage", "overlap", "covers", F.round(F.col("coverage") * 0.7 + F.col("overlap") * 0.3, 4).alias("score"))
+    order = [F.desc("coverage"), F.desc("overlap")]
+    best = _best(j.filter("coverage > 0"), index, k, order).select("query_id", "equation_id", "coverage", "overlap", "score", "covers")
+    return top_rows(best, ["query_id"], [*order, F.asc("equation_id")], k)
 
 
 def covers(queries: DataFrame, formulas: DataFrame) -> DataFrame:
     """Formulas that have every queried symbol (folded keys)."""
-    return symbol_hits(queries, formulas).filter("covers").select("query_id", "equation_id")
+    return symbol_hits(queries, _with_symbols(formulas, "equation_id", "expression")).filter("covers").select("query_id", "equation_id")
 
 
 def check_formula(claims: DataFrame, formulas: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def with_headings(corpus: DataFrame) -> DataFrame:
     """Chunk rows as indexed: h1 = source, h2 = the chunk's first six words."""
     return corpus.select(
         "chunk_id", "topic", "source_type", F.col("source").alias("h1"),
-        F.array_join(F.slice(F.split(F.substring_index("text", "\n", 1), " "), 1, 6), " ").alias("h2"), "text")
+        F.array_join(F.slice(F.split(F.substring_index("text", "\n", 1), " "), 1, 6), " ").alias("h2"), "text",
+        *(["content_type"] if "content_type" in corpus.columns else []))
 
 
 def tfidf(chunks: DataFrame, keep=lambda df, name: df) -> tuple[DataFrame, DataFrame, DataFrame]:

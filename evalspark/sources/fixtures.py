@@ -143,6 +143,7 @@ def dialogues(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- derived knowledge tables
 
 SYMBOL_LETTERS = "UIRPVCL"
+CONTENT_TYPES = {0: "definition", 1: "table", 2: "explanation", 3: "concept"}
 OPERATORS = {0: " * ", 1: " + ", 2: " / "}
 
 
@@ -175,6 +176,37 @@ def formula_queries(spark: SparkSession, d: str) -> DataFrame:
             _letter("s_suppkey div 3"), F.lit("_"), (k % 4).cast("string"), F.lit(" small ring")).alias("query"))
 
 
+def mixed_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """The formulas, those of odd parts in small letters."""
+    f = formulas(spark, d)
+    return f.withColumn("expression", F.when(F.col("part") % 2 == 1, F.lower("expression")).otherwise(F.col("expression")))
+
+
+def formula_links(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that hold a formula: those numbered as its part, and as twice its part."""
+    f = formulas(spark, d).select("equation_id", F.explode(F.array("part", F.col("part") * 2)).alias("chunk_id"))
+    return f.join(corpus(spark, d).select("chunk_id"), "chunk_id", "left_semi").select("equation_id", "chunk_id").distinct()
+
+
+def typed_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus with a content type per chunk."""
+    return corpus(spark, d).withColumn("content_type", lookup(F.col("chunk_id") % 4, CONTENT_TYPES))
+
+
+def evidence_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The search queries, and one question per nation that speaks of symbols, a piece of a formula, a unit or a topic."""
+    k = F.col("n_nationkey")
+    low, up, right = F.lower(_letter("n_nationkey")), _letter("n_nationkey"), _letter("n_nationkey div 7")
+    num = (k % 4).cast("string")
+    text = (F.when(k % 5 == 0, F.concat(F.lit("calcula the "), low, F.lit("_"), num, F.lit(" and "), F.lower(right), F.lit("_"), num))
+            .when(k % 5 == 1, F.concat(F.lit("= "), right, F.lit("_"), num)).when(k % 5 == 2, F.concat(F.lit("que significa "), up, F.lit("_"), num, F.lit(" small ring")))
+            .when((k % 5 == 3) & (k % 2 == 0), F.concat(F.lit("unitats the "), up, F.lit("_"), num))
+            .when(k % 5 == 3, F.concat(F.lit("unitats tema "), (k % 12).cast("string"), F.lit(" small "), up, F.lit("_"), num))
+            .otherwise(F.concat(F.lit("the small ring that with "), F.lower("n_name"))))
+    asked = table(spark, d, "nation").select((k + 1_000_000).cast("long").alias("query_id"), text.alias("query"))
+    return queries(spark, d).select(F.col("query_id").cast("long").alias("query_id"), "query").unionByName(asked)
+
+
 def notes(spark: SparkSession, d: str) -> DataFrame:
     """One explanatory note per part, with a definition, a condition and a value."""
     p = table(spark, d, "part")
