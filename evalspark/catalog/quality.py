@@ -152,30 +152,41 @@ def _(spark, d):
     return M.stratified_split(fx.table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "lang", "row_no", "split")
 
 
-# ---- streaming: the stream over the event files equals the batch result ----
-def _stream(spark, d, per_trigger=None):
+# ---- streaming: events dealt into several files out of order, one file per micro-batch, equal the batch result ----
+def _stream(spark, d, per_trigger=1):
     fx.table(spark, d, "events")
-    return fx.attempts_of(ST.stream_table(spark, d, "events", per_trigger))
+    return fx.attempts_of(ST.stream_table(spark, ST.dealt_table(spark, d, "events"), "events", per_trigger))
 
 
 @query("st1_stream_attempts", "SELECT attempt_id, student_id, question_id, status FROM attempts", "attempts")
 def _(spark, d):
-    return ST.run_available(ST.stream_attempts(_stream(spark, d)).select("attempt_id", "student_id", "question_id", "status"), "attempts")
+    return ST.run_available(ST.stream_attempts(_stream(spark, d), "400 days").select("attempt_id", "student_id", "question_id", "status"), "attempts")
 
 
 @query("st2_stream_mastery", "SELECT student_id, unit_id, attempt_id, score AS new_score, confidence AS new_confidence, status_after, n FROM mastery_run", "mastery_run")
 def _(spark, d):
-    return ST.run_available(ST.stream_mastery(fx.unit_events_of(_stream(spark, d))), "mastery").select(
+    return ST.last_revisions(ST.run_available(ST.stream_mastery(fx.unit_events_of(_stream(spark, d)), "400 days"), "mastery")).select(
         "student_id", "unit_id", "attempt_id", "new_score", "new_confidence", "status_after", "n")
 
 
 @query("st3_stream_spacing", "SELECT student_id, unit_id, attempt_id, interval_days, next_review FROM mastery_run", "mastery_run")
 def _(spark, d):
-    return ST.run_available(ST.stream_mastery(fx.unit_events_of(_stream(spark, d))), "spacing").select(
+    return ST.last_revisions(ST.run_available(ST.stream_mastery(fx.unit_events_of(_stream(spark, d)), "400 days"), "spacing")).select(
         "student_id", "unit_id", "attempt_id", "interval_days", F.col("next_review").cast("timestamp_ntz").alias("next_review"))
 
 
-@query("st4_stream_expiry")
+cte("sitting_events", """SELECT session_id, moment, state, row_number() OVER (PARTITION BY session_id ORDER BY moment, state) AS i FROM (SELECT user_id * 1000 + CAST(floor(value) AS BIGINT) AS session_id, ts AS moment,
+  CASE WHEN event_type = 'purchase' THEN 'SUBMITTED' ELSE 'IN_PROGRESS' END AS state FROM events)""")
+_OPEN = "opened IS NOT NULL AND e.moment < opened + INTERVAL 1 HOUR"
+
+
+cte("steps", f"""WITH RECURSIVE s AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS opened, CAST(NULL AS TIMESTAMP) AS ended, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT session_id FROM sitting_events)
+  UNION ALL SELECT e.session_id, e.i, CASE WHEN {_OPEN} THEN CASE WHEN e.state = 'SUBMITTED' THEN NULL ELSE opened END WHEN e.state = 'IN_PROGRESS' THEN e.moment END, CASE WHEN opened IS NOT NULL AND (e.state = 'SUBMITTED' OR NOT ({_OPEN})) THEN opened END,
+   CASE WHEN opened IS NOT NULL AND NOT ({_OPEN}) THEN 'EXPIRED' WHEN opened IS NOT NULL AND e.state = 'SUBMITTED' THEN 'SUBMITTED' END FROM s JOIN sitting_events e ON e.session_id = s.session_id AND e.i = s.i + 1) SELECT * FROM s""", "sitting_events")
+
+
+@query("st4_stream_expiry", f"""SELECT session_id, ended AS started_at, outcome FROM steps WHERE outcome IS NOT NULL
+  UNION ALL SELECT session_id, opened, 'EXPIRED' FROM (SELECT session_id, opened, i, max(i) OVER (PARTITION BY session_id) AS last FROM steps) WHERE i = last AND epoch_ms(opened) + 3600000 < epoch_ms((SELECT max(moment) FROM sitting_events)) - 3600000""", "steps")
 def _(spark, d):
     e = ST.stream_table(spark, d, "events", None).select((F.col("user_id") * 1000 + F.floor(F.col("value"))).alias("session_id"), F.col("ts").alias("at"),
                                                    F.when(F.col("event_type") == "purchase", "SUBMITTED").otherwise("IN_PROGRESS").alias("state"))
@@ -184,10 +195,10 @@ def _(spark, d):
 
 @query("st5_stream_answers", "SELECT session_id, position, max(saved_at) AS saved_at FROM exam_rows_raw GROUP BY 1, 2", "exam_rows_raw")
 def _(spark, d):
-    s = ST.stream_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("position"), F.col("l_shipdate").alias("saved_at"), F.col("l_partkey").alias("answer_id"))
+    s = ST.stream_table(spark, ST.dealt_table(spark, d, "lineitem"), "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("position"), F.col("l_shipdate").alias("saved_at"), F.col("l_partkey").alias("answer_id"))
     root = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
-    ST.stream_answers(s, root).start().awaitTermination()
-    return ST.last_version(spark, f"{root}/latest").select("session_id", "position", F.col("saved_at").cast("timestamp_ntz").alias("saved_at"))
+    ST.stream_answers(s, root, every=2).start().awaitTermination()
+    return ST.latest(spark, root).select("session_id", "position", F.col("saved_at").cast("timestamp_ntz").alias("saved_at"))
 
 
 @query("st6_activity_windows", """SELECT time_bucket(INTERVAL 1 DAY, created_at) AS start, time_bucket(INTERVAL 1 DAY, created_at) + INTERVAL 1 DAY AS "end", count(*) AS events, count(signal) AS graded FROM attempts GROUP BY 1, 2""", "attempts")
@@ -214,8 +225,5 @@ def _(spark, d):
 @query("st8_stream_error_memory", "SELECT student_id, error_type, n, first_seen, last_seen FROM error_memory", "error_memory")
 def _(spark, d):
     root = f"{shared_dir(spark)}/errors-{uuid.uuid4().hex}"
-    keep = lambda b, i: b.write.mode("overwrite").parquet(f"{root}/v={i}")
-    q = (ST.stream_error_memory(_stream(spark, d, 1)).writeStream.outputMode("complete").foreachBatch(keep)
-         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return ST.last_version(spark, root).select("student_id", "error_type", "n", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")])
+    ST.keep_error_memory(ST.stream_error_memory(_stream(spark, d)), root, every=2).start().awaitTermination()
+    return ST.error_memory(root).read(spark).select("student_id", "error_type", "n", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")])

@@ -1,6 +1,7 @@
 """Streaming counterparts of the stateful learner and exam operators.
 
-Events later than the watermark are dropped here; the batch job over the full log recomputes.
+Files come in no order of time. Mastery keeps a unit's recent events, so that a late one takes its place and what follows it is
+given out again; what is older than that is quarantined. Expiry and ingest drop events later than their watermark.
 """
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 M, R = MASTERY.parameters, REVIEW.parameters
 EVENT = ("student_id long, unit_id string, attempt_id long, created_at timestamp, new_score double, new_confidence double, "
-         "status_after string, n long, interval_days long, next_review timestamp")
+         "status_after string, n long, interval_days long, next_review timestamp, revision long, late boolean")
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -41,11 +42,13 @@ def stream_table(spark: SparkSession, d: str, name: str, per_trigger: int | None
     return s.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in s.dtypes])
 
 
-def last_version(spark: SparkSession, root: str) -> DataFrame:
-    """The table of the last micro-batch among the folders v=0, v=1, ... of ``root``."""
-    path, store = _hadoop_path(spark, root)
-    names = [f.getPath().getName() for f in store.listStatus(path)]
-    return spark.read.parquet(f"{root}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+def dealt_table(spark: SparkSession, d: str, name: str, files: int = 4) -> str:
+    """A folder with a table dealt into files that each span its whole time, as arrivals out of order are."""
+    import uuid
+    root = f"{shared_dir(spark)}/dealt-{uuid.uuid4().hex}"
+    t = spark.read.parquet(f"{d}/{name}.parquet")
+    t.repartition(files, F.xxhash64(*t.columns)).write.parquet(f"{root}/{name}.parquet")
+    return root
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -100,29 +103,71 @@ def next_interval(prev: int | None, status: str) -> int:
     return min(prev * R["growth"], R["cap"]) if status == "CORRECT" else prev
 
 
-def fold_events(key, frames, state: GroupState):
-    """Constant-size state per (student, unit): counts, weighted sums, last seven signals, interval."""
-    n, g, s, si, correct, tail, interval = json.loads(state.get[0]) if state.exists else (0, 0, 0.0, 0.0, 0, [], None)
-    pdf = pd.concat(list(frames)).sort_values(["created_at", "attempt_id"])
-    out = []
-    for aid, at, sig, st in zip(pdf.attempt_id, pdf.created_at, pdf.signal, pdf.status):
-        n += 1
-        if not pd.isna(sig):
-            s, si, g = s + sig, si + sig * g, g + 1
-            correct += sig >= 0.5
-            tail = (tail + [float(sig)])[-M["variance_window"]:]
-        interval = next_interval(interval, st)
-        sc = score_of(g, s, si)
-        out.append((key[0], key[1], aid, at, sc, confidence_of(g, tail), status_of(sc, n, correct, tail), n, interval,
-                    at + pd.Timedelta(days=interval)))
-    state.update((json.dumps([n, g, s, si, int(correct), tail, interval]),))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
-
-
-def stream_mastery(unit_events: DataFrame) -> DataFrame:
-    """Score, confidence, status and review interval after every unit event."""
+def _folded(at: list, event: list) -> tuple[list, tuple]:
+    """The state after one more event (signal and status), and what is given out for it."""
+    n, g, s, si, correct, tail, interval = at
+    _, _, signal, status = event
+    if signal is not None:
+        s, si, g = s + signal, si + signal * g, g + 1
+        correct += signal >= 0.5
+        tail = (tail + [signal])[-M["variance_window"]:]
+    interval = next_interval(interval, status)
+    score = score_of(g, s, si)
+    return [n + 1, g, s, si, int(correct), tail, interval], (score, confidence_of(g, tail), status_of(score, n + 1, correct, tail), n + 1, interval)
+
+
+def stream_mastery(unit_events: DataFrame, late: str = "30 days") -> DataFrame:
+    """Score, confidence, status and review interval after every unit event.
+
+    The state of a (student, unit) is a folded past and its events of the last ``late`` before its newest one. An event among
+    those takes its place in time, and every event from there on is given out again with a higher ``revision``
+    (``last_revisions`` keeps the valid rows). An event older than the folded past is given out as ``late`` and changes nothing;
+    an attempt that is still held is not taken twice.
+    """
+    span = int(pd.Timedelta(late).value // 1000)
+
+    def fold(key, frames, state: GroupState):
+        past, edge, held, revision = json.loads(state.get[0]) if state.exists else ([0, 0, 0.0, 0.0, 0, [], None], None, [], 0)
+        pdf = pd.concat(list(frames))
+        times = pdf.created_at.astype("datetime64[us]").astype("int64")
+        new = sorted([int(t), int(a), None if pd.isna(x) else float(x), st] for t, a, x, st in zip(times, pdf.attempt_id, pdf.signal, pdf.status))
+        known, out, taken = {(t, a) for t, a, _, _ in held}, [], []
+        for e in new:
+            if edge is not None and e[:2] <= edge:
+                out.append((key[0], key[1], e[1], pd.Timestamp(e[0], unit="us"), None, None, None, None, None, None, revision, True))
+            elif (e[0], e[1]) not in known:
+                known.add((e[0], e[1]))
+                taken.append(e)
+        if taken:
+            held = sorted(held + taken, key=lambda e: e[:2])
+            at, keep_from = past, held[-1][0] - span
+            for i, e in enumerate(held):
+                at, (score, confidence, status, n, days) = _folded(at, e)
+                when = pd.Timestamp(e[0], unit="us")
+                if e[:2] >= taken[0][:2]:
+                    out.append((key[0], key[1], e[1], when, score, confidence, status, n, days, when + pd.Timedelta(days=days), revision, False))
+                if e[0] < keep_from:
+                    past, edge = at, e[:2]
+            held = [e for e in held if e[0] >= keep_from]
+        state.update((json.dumps([past, edge, held, revision + 1]),))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")]).astype({"n": "Int64", "interval_days": "Int64"})
+
     return unit_events.groupBy("student_id", "unit_id").applyInPandasWithState(
-        fold_events, EVENT, "folded string", "append", GroupStateTimeout.NoTimeout)
+        fold, EVENT, "folded string", "append", GroupStateTimeout.NoTimeout)
+
+
+def last_revisions(events: DataFrame) -> DataFrame:
+    """The valid row of every event: a late event gave some of them out again. Quarantined rows are not among them."""
+    keys = ["student_id", "unit_id", "attempt_id"]
+    rest = [c for c in events.columns if c not in [*keys, "late"]]
+    best = events.filter("NOT late").groupBy(*keys).agg(F.max(F.struct("revision", *[c for c in rest if c != "revision"])).alias("r"))
+    return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest if c != "revision"])
+
+
+def quarantined(events: DataFrame) -> DataFrame:
+    """Events that came too late to take their place."""
+    return events.filter("late").select("student_id", "unit_id", "attempt_id", "created_at")
 
 
 def stream_expiry(events: DataFrame, duration_seconds: int, late: str = "1 hour") -> DataFrame:
@@ -138,15 +183,18 @@ def stream_expiry(events: DataFrame, duration_seconds: int, late: str = "1 hour"
             state.remove()
             yield pd.DataFrame([(key[0], started, "EXPIRED")], columns=cols)
             return
-        pdf = pd.concat(list(frames)).sort_values("at", kind="stable")
+        pdf = pd.concat(list(frames)).sort_values(["at", "state"])
         start = pd.Timestamp(state.get[0], unit="us") if state.exists else None
         sittings = []
         for at, what in zip(pdf["at"], pdf["state"]):
+            if start is not None and (at - start).total_seconds() >= duration_seconds:
+                # as its timer would have ended it, had it fired between the two events
+                sittings.append((key[0], start, "EXPIRED"))
+                start = None
             if what == "IN_PROGRESS" and start is None:
                 start = at
             elif what == "SUBMITTED" and start is not None:
-                late_by = (at - start).total_seconds() >= duration_seconds
-                sittings.append((key[0], start, "EXPIRED" if late_by else "SUBMITTED"))
+                sittings.append((key[0], start, "SUBMITTED"))
                 start = None
         if start is not None:
             state.update((int(start.value // 1000),))
@@ -159,24 +207,79 @@ def stream_expiry(events: DataFrame, duration_seconds: int, late: str = "1 hour"
         step, "session_id long, started_at timestamp, outcome string", "started long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_answers(answers: DataFrame, root: str, keys=("session_id", "position"), order=("saved_at", "answer_id")):
-    """Append every save to a log and keep the latest save per position.
+class UpsertLog:
+    """A keyed table kept by micro-batches: each writes the newest row of its keys, dealt into ``buckets``, and nothing else.
 
-    Each micro-batch writes a new version of the latest table from the previous one; a replayed batch
-    overwrites its own version, so a lost executor or a restart changes nothing.
+    Every ``every`` batches the buckets that these touched are folded into a new base of those buckets. Readers take the newest
+    base of each bucket and the batches since. A replayed batch overwrites its own folder, so restarts change nothing.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
+
+    def __init__(self, root: str, keys: tuple[str, ...], order: tuple[str, ...], buckets: int = 64, every: int = 8):
+        self.root, self.keys, self.order, self.buckets, self.every = root, keys, order, buckets, every
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in self.keys and c not in self.order]
+        return rows.groupBy(*self.keys).agg(F.max(F.struct(*self.order, *rest)).alias("r")).select(*self.keys, "r.*")
+
+    def _batches(self, spark: SparkSession, folder: str) -> list[int]:
+        path, store = _hadoop_path(spark, f"{self.root}/{folder}")
+        return sorted(int(f.getPath().getName()[6:]) for f in store.listStatus(path) if f.getPath().getName().startswith("batch=")) if store.exists(path) else []
+
+    def _read(self, spark: SparkSession, folder: str, batches: list[int]) -> DataFrame | None:
+        return spark.read.option("basePath", f"{self.root}/{folder}").parquet(*[f"{self.root}/{folder}/batch={b}" for b in batches]) if batches else None
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        new = self._newest(batch).withColumn("bucket", bucket)
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/delta/batch={batch_id}")
+        if batch_id % self.every == self.every - 1:
+            self._fold(spark, batch_id)
+
+    def _fold(self, spark: SparkSession, batch_id: int) -> None:
+        bases = [b for b in self._batches(spark, "base") if b < batch_id]
+        since = [b for b in self._batches(spark, "delta") if (bases[-1] if bases else -1) < b <= batch_id]
+        deltas = self._read(spark, "delta", since)
+        touched = [r["bucket"] for r in deltas.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        rows = self.rows(spark, bases, since).where(F.col("bucket").isin(touched)).drop("batch")
+        folded = self._newest(rows.drop("bucket")).withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        folded.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/base/batch={batch_id}")
+
+    def rows(self, spark: SparkSession, bases: list[int], since: list[int]) -> DataFrame:
+        """The newest base of each bucket and the batches since the last folding, with ``batch`` and ``bucket``."""
+        parts = []
+        if bases:
+            base = self._read(spark, "base", bases)
+            newest = base.groupBy("bucket").agg(F.max("batch").alias("batch"))
+            parts.append(base.join(newest, ["bucket", "batch"], "left_semi"))
+        if since:
+            parts.append(self._read(spark, "delta", since))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The table as of the last micro-batch: the newest row of every key."""
+        bases = self._batches(spark, "base")
+        since = [b for b in self._batches(spark, "delta") if b > (bases[-1] if bases else -1)]
+        return self._newest(self.rows(spark, bases, since).drop("batch", "bucket"))
+
+
+def stream_answers(answers: DataFrame, root: str, keys=("session_id", "position"), order=("saved_at", "answer_id"), every: int = 8):
+    """Append every save to a log and keep the latest save per position (``latest`` reads it)."""
+    log = UpsertLog(f"{root}/latest", keys, order, every=every)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
-        new = spark.read.parquet(f"{root}/log/batch={batch_id}")
-        if batch_id > 0:
-            new = spark.read.parquet(f"{root}/latest/v={batch_id - 1}").unionByName(new.drop("batch"))
-        rest = [c for c in new.columns if c not in keys]
-        best = new.groupBy(*keys).agg(F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("r")).select(*keys, "r.*")
-        best.write.mode("overwrite").parquet(f"{root}/latest/v={batch_id}")
+        log.merge(batch.sparkSession.read.parquet(f"{root}/log/batch={batch_id}"), batch_id)
     return answers.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
 
 
+def latest(spark: SparkSession, root: str, keys=("session_id", "position"), order=("saved_at", "answer_id")) -> DataFrame:
+    return UpsertLog(f"{root}/latest", keys, order).read(spark)
+
+
 def activity_windows(events: DataFrame, size: str = "1 day", slide: str | None = None) -> DataFrame:
     """Events and distinct kinds per tumbling or sliding window (batch or stream)."""
     w = F.window("created_at", size, slide) if slide else F.window("created_at", size)
@@ -195,6 +298,17 @@ def due_alerts(states: DataFrame, now) -> DataFrame:
 
 
 def stream_error_memory(attempts: DataFrame) -> DataFrame:
-    """Running counts per (student, error type), for update mode and a foreachBatch upsert."""
+    """Running counts per (student, error type)."""
     return attempts.filter("error_type IS NOT NULL").groupBy("student_id", "error_type").agg(
         F.count(F.lit(1)).alias("n"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
+
+
+def keep_error_memory(memory: DataFrame, root: str, every: int = 8):
+    """Write the counts that a micro-batch changes (update mode) into an upsert log; counts only grow, so the largest is newest."""
+    log = error_memory(root, every)
+    return (memory.writeStream.outputMode("update").foreachBatch(log.merge).option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True))
+
+
+def error_memory(root: str, every: int = 8) -> UpsertLog:
+    return UpsertLog(f"{root}/memory", ("student_id", "error_type"), ("n",), every=every)
