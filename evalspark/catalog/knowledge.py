@@ -111,7 +111,7 @@ def _(spark, d):
     return GR.answer_verdict(_verified(spark, d).withColumn("answer_id", F.regexp_replace("claim_id", "-[0-9]+$", "")), "answer_id")
 
 
-cte("refs", "SELECT question_id AS item_id, topic, unnest([question_id % 1000, (question_id + topic) % 1000, topic + 20]) AS evidence_id FROM item_bank", "item_bank")
+cte("refs", "SELECT question_id AS item_id, topic, unnest([question_id % n, (question_id + topic) % n, CASE WHEN question_id % 17 = 2 THEN -1 ELSE topic + 20 END]) AS evidence_id FROM item_bank, (SELECT count(*) AS n FROM corpus) WHERE question_id % 13 <> 0", "item_bank", "corpus")
 
 
 @query("j20_topic_coherence", """SELECT item_id, count(*) AS evidence, CAST(sum(CASE WHEN c.topic <> r.topic THEN 1 ELSE 0 END) AS BIGINT) AS "foreign", sum(CASE WHEN c.topic <> r.topic THEN 1 ELSE 0 END) * 2 > count(*) AS mismatch FROM refs r JOIN corpus c ON c.chunk_id = r.evidence_id GROUP BY 1""", "refs", "corpus")
@@ -122,22 +122,53 @@ def _(spark, d):
 
 
 def _refs(spark, d):
-    b = fx.item_bank(spark, d)
-    return b.select(F.col("question_id").alias("item_id"), "topic", F.explode(F.array((F.col("question_id") % 1000), ((F.col("question_id") + F.col("topic")) % 1000),
-                                                                                     (F.col("topic") + 20).cast("long"))).alias("evidence_id"))
-
-
-@query("x5_validate_items", """SELECT i.item_id, array_to_string(list_sort(list_filter([CASE WHEN ne = 0 THEN 'NO_EVIDENCE' END, CASE WHEN nf < ne THEN 'PROVENANCE_INCOMPLETE' END, CASE WHEN COALESCE(m.mismatch, FALSE) THEN 'EVIDENCE_TOPIC_MISMATCH' END, CASE WHEN i.item_id % 10 = 3 THEN 'FORMULA_NOT_FOUND' END,
-   CASE WHEN i.item_id % 11 = 5 THEN 'UNSUPPORTED_CLAIM' END, CASE WHEN i.item_id % 6 = 1 AND i.item_id % 4 = 0 THEN 'AMBIGUOUS' END], lambda x: x IS NOT NULL)), ',') AS reasons, CASE WHEN ne = 0 OR nf < ne OR COALESCE(m.mismatch, FALSE) OR i.item_id % 10 = 3 OR i.item_id % 11 = 5 THEN 'INVALID' ELSE 'VALID' END AS status,
-   CASE WHEN ne = 0 THEN 'unsupported' WHEN nf = ne THEN 'fully_supported' ELSE 'partially_supported' END AS evidence_score FROM (SELECT r.item_id, count(*) AS ne, count(c.chunk_id) AS nf FROM refs r LEFT JOIN corpus c ON c.chunk_id = r.evidence_id GROUP BY 1) i
-  LEFT JOIN (SELECT item_id, sum(CASE WHEN c.topic <> r.topic THEN 1 ELSE 0 END) * 2 > count(*) AS mismatch FROM refs r JOIN corpus c ON c.chunk_id = r.evidence_id GROUP BY 1) m USING (item_id)""", "refs", "corpus")
-def _(spark, d):
-    refs, corpus = _refs(spark, d), fx.corpus(spark, d)
-    found = refs.join(corpus.select(F.col("chunk_id").alias("evidence_id"), F.lit(1).alias("_ok")), "evidence_id", "left")
-    k = F.col("item_id")
-    items = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_evidence"), F.count("_ok").alias("n_found")).withColumns({
-        "formula_id": F.when(k % 10 == 3, "eq-none").otherwise(F.concat(F.lit("eq-"), k.cast("string"))), "n_correct": F.lit(None).cast("int")})
-    claims = items.select("item_id", F.when(k % 11 == 5, "UNSUPPORTED").otherwise("SUPPORTED").alias("status"))
+    b = fx.item_bank(spark, d).filter(F.col("question_id") % 13 != 0)
+    k, n = F.col("question_id"), fx.corpus(spark, d).agg(F.count(F.lit(1))).scalar()
+    third = F.when(k % 17 == 2, F.lit(-1)).otherwise(F.col("topic") + 20).cast("long")
+    return b.select(k.alias("item_id"), "topic", F.explode(F.array(k % n, (k + F.col("topic")) % n, third)).alias("evidence_id"))
+
+
+cte("stated", f"""SELECT part AS claim_id, equation_id, CASE WHEN part % 7 = 0 THEN 'segons la formula citada' WHEN part % 5 = 0 THEN 'val ' || regexp_replace(expression, '^\\$(.*) = (.*) \\* (.*)\\$$', '$\\1 = \\3 * \\2$') WHEN part % 5 IN (1, 3) THEN 'val $Z_9 = Q_1$'
+  WHEN part % 5 = 2 THEN 'val ' || expression ELSE 'sense cap forma' END AS text, part % 7 = 0 OR part % 5 < 2 AS cites FROM formulas""", "formulas")
+cte("formula_keys", f"SELECT equation_id, c, {SQL_PROD.format('c')} AS p FROM (SELECT equation_id, {SQL_CANON.format('expression')} AS c FROM formulas)", "formulas")
+cte("judged_formulas", f"""SELECT claim_id, CASE WHEN cites AND c IS NULL THEN 'SUPPORTED' WHEN cites THEN CASE WHEN EXISTS (SELECT 1 FROM formula_keys f WHERE f.equation_id = s.equation_id AND (f.c = s.c OR f.p = s.p)) THEN 'SUPPORTED' ELSE 'CONTRADICTED' END
+  WHEN c IS NULL THEN 'UNSUPPORTED' WHEN known THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS status, NOT cites AND c IS NOT NULL AND NOT known AS mismatch FROM (SELECT *, c IN (SELECT c FROM formula_keys) OR p IN (SELECT p FROM formula_keys) AS known FROM (
+  SELECT *, {SQL_PROD.format('c')} AS p FROM (SELECT *, CASE WHEN contains(text, '$') THEN {SQL_CANON.format("regexp_extract(text, '[$].+?[$]')")} END AS c FROM stated))) s""", "stated", "formula_keys")
+
+
+def _formula_claims(spark, d):
+    f, k = fx.formulas(spark, d), F.col("part")
+    swapped = F.regexp_replace("expression", r"^\$(.*) = (.*) \* (.*)\$$", r"\$$1 = $3 * $2\$")
+    text = (F.when(k % 7 == 0, "segons la formula citada").when(k % 5 == 0, F.concat(F.lit("val "), swapped)).when((k % 5).isin(1, 3), "val $Z_9 = Q_1$")
+            .when(k % 5 == 2, F.concat(F.lit("val "), "expression")).otherwise("sense cap forma"))
+    cites = f.filter((k % 7 == 0) | (k % 5 < 2)).select(k.alias("claim_id"), F.col("equation_id").alias("evidence_id"))
+    return GR.verify_formula_claims(f.select(k.alias("claim_id"), text.alias("text")), cites, f)
+
+
+@query("j16_formula_claims", "SELECT * FROM judged_formulas", "judged_formulas")
+def _(spark, d):
+    return _formula_claims(spark, d)
+
+
+_REASONS = """list_sort(list_distinct(list_filter([CASE WHEN ne = 0 THEN 'NO_EVIDENCE' END, CASE WHEN nf < ne THEN 'PROVENANCE_INCOMPLETE' END, CASE WHEN COALESCE(m.mismatch, FALSE) THEN 'EVIDENCE_TOPIC_MISMATCH' END, CASE WHEN k % 10 = 3 THEN 'FORMULA_NOT_FOUND:eq-none' END,
+   CASE WHEN j.mismatch THEN 'FORMULA_MISMATCH' END, CASE WHEN j.status = 'UNSUPPORTED' THEN 'UNSUPPORTED_CLAIM' END, CASE WHEN j.status = 'CONTRADICTED' THEN 'CONTRADICTED_CLAIM' END, CASE WHEN k % 8 = 1 THEN 'CALCULATION_ERROR' END, CASE WHEN k % 19 = 4 THEN 'DIMENSION_ERROR' END,
+   CASE WHEN k % 19 = 4 THEN 'UNIT_UNSUPPORTED' END, CASE WHEN k % 12 = 7 THEN 'AMBIGUOUS' END, CASE WHEN k % 3 = 1 THEN 'STYLE_CHECK' END], lambda x: x IS NOT NULL)))"""
+
+
+@query("x5_validate_items", f"""SELECT item_id, array_to_string(r, ',') AS reasons, CASE WHEN len(list_filter(r, lambda x: x <> 'STYLE_CHECK')) > 0 THEN 'INVALID' WHEN len(r) > 0 THEN 'NEEDS_REVIEW' ELSE 'VALID' END AS status,
+   CASE WHEN ne = 0 THEN 'unsupported' WHEN nf = ne THEN 'fully_supported' ELSE 'partially_supported' END AS evidence_score FROM (SELECT k AS item_id, ne, nf, {_REASONS} AS r FROM (SELECT question_id AS k, count(r.item_id) AS ne, count(c.chunk_id) AS nf FROM item_bank b LEFT JOIN refs r ON r.item_id = b.question_id
+   LEFT JOIN corpus c ON c.chunk_id = r.evidence_id GROUP BY 1) i
+  LEFT JOIN (SELECT item_id, sum(CASE WHEN c.topic <> r.topic THEN 1 ELSE 0 END) * 2 > count(*) AS mismatch FROM refs r JOIN corpus c ON c.chunk_id = r.evidence_id GROUP BY 1) m ON m.item_id = k LEFT JOIN judged_formulas j ON j.claim_id = k)""", "refs", "corpus", "item_bank", "judged_formulas")
+def _(spark, d):
+    refs, corpus, k = _refs(spark, d), fx.corpus(spark, d), F.col("item_id")
+    found = refs.join(corpus.select(F.col("chunk_id").alias("evidence_id"), F.lit(1).alias("_ok")), "evidence_id", "left").groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("n_evidence"), F.count("_ok").alias("n_found"))
+    items = fx.item_bank(spark, d).select(F.col("question_id").alias("item_id")).join(found, "item_id", "left").withColumns({
+        "n_evidence": F.coalesce("n_evidence", F.lit(0)), "n_found": F.coalesce("n_found", F.lit(0)), "type": F.when(k % 6 == 1, "MULTIPLE_CHOICE").otherwise("NUMERICAL"),
+        "formula_ids": F.array(F.when(k % 10 == 3, "eq-none").otherwise(F.concat(F.lit("eq-"), k.cast("string")))), "n_correct": F.when(k % 12 == 7, 2).otherwise(1),
+        "calculation_verified": F.when(k % 4 == 1, k % 8 != 1), "dimension_ok": F.when(k % 2 == 0, F.lit(None).cast("boolean")).otherwise(F.lit(True)),
+        "other_reasons": F.when(k % 3 == 1, F.array(F.lit("STYLE_CHECK")))}).withColumn("dimension_ok", F.when(k % 19 == 4, F.lit(False)).otherwise(F.col("dimension_ok")))
+    claims = _formula_claims(spark, d).withColumnRenamed("claim_id", "item_id")
     return IT.validate_items(items, GR.topic_coherence(refs, corpus), fx.formulas(spark, d), claims)
 
 
@@ -148,7 +179,15 @@ def _(spark, d):
     return IT.sentence_candidates(fx.corpus(spark, d)).select("chunk_id", "pos", "sentence")
 
 
-@query("x1_generate_true_false")
+_LONG = r"""list_filter(list_transform(string_split(regexp_replace(trim(text, ' '), '([.!?…])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: length(s) > 40)"""
+cte("statements", rf"""SELECT chunk_id, pos, topic, sentence, terms[1] AS term, CAST('0x' || sha256('0|' || chunk_id || '|' || pos)[1:6] AS BIGINT) % 2 = 0 AS truth FROM (SELECT chunk_id, topic, pos - 1 AS pos, s[pos] AS sentence, list_filter(regexp_extract_all(s[pos], '[A-Za-zÀ-ÿ][a-zà-ÿ]{{4,}}'),
+  lambda w: lower(w) NOT IN ('aquest', 'aquesta', 'entre', 'sobre', 'mitjançant')) AS terms FROM (SELECT chunk_id, topic % 10 + 1 AS topic, s, unnest(range(1, least(len(s), 3) + 1)) AS pos FROM (SELECT chunk_id, topic, {_LONG} AS s FROM corpus WHERE length(text) > 200)))
+  WHERE len(list_distinct(list_transform(terms, lambda w: lower(w)))) >= 2""", "corpus")
+cte("swaps", """SELECT chunk_id, pos, min(c.term) AS swap FROM statements s JOIN (SELECT DISTINCT topic, prompt AS term FROM item_bank WHERE length(prompt) > 4) c ON c.topic <> s.topic AND NOT contains(lower(s.sentence), lower(c.term)) WHERE NOT truth GROUP BY 1, 2""", "statements", "item_bank")
+
+
+@query("x1_generate_true_false", """SELECT chunk_id, CAST(pos AS INTEGER) AS pos, topic, CASE WHEN truth THEN sentence ELSE substr(sentence, 1, strpos(sentence, term) - 1) || swap || substr(sentence, strpos(sentence, term) + length(term)) END AS statement, truth, CASE WHEN NOT truth THEN term END AS replaced,
+   CASE WHEN NOT truth THEN swap END AS replacement FROM statements LEFT JOIN swaps USING (chunk_id, pos) WHERE truth OR swap IS NOT NULL""", "statements", "swaps")
 def _(spark, d):
     c = fx.corpus(spark, d).withColumn("topic", F.col("topic") % 10 + 1)
     concepts = fx.item_bank(spark, d).select("topic", F.col("prompt").alias("term"))
@@ -240,11 +279,11 @@ def _(spark, d):
     return fx.formulas(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("part") % 3 == 0).alias("confirmed"), F.countDistinct("section").alias("sections"))
 
 
-@query("j18_unit_for", "SELECT name, arg_min(unit, (part, quantity)) AS unit, min(part) AS evidence FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) n JOIN (SELECT p_partkey AS part, p_name AS quantity, p_type AS unit FROM part) g ON contains(lower(g.quantity), lower(n.name)) AND list_contains(string_split(lower(g.quantity), ' '), lower(n.name)) GROUP BY 1")
+@query("j18_unit_for", "SELECT name, arg_min(unit, (part, quantity)) AS unit, min(part) AS evidence FROM (SELECT DISTINCT substr(p_name, p_partkey % 3 + 1, p_partkey % 6 + 1) AS name FROM part) n JOIN (SELECT p_partkey AS part, p_name AS quantity, p_type AS unit FROM part) g ON length(trim(n.name)) > 0 AND contains(lower(g.quantity), trim(lower(n.name))) GROUP BY 1")
 def _(spark, d):
     p = fx.table(spark, d, "part")
     g = p.select(F.col("p_name").alias("quantity"), F.col("p_type").alias("unit"), F.col("p_partkey").alias("evidence"))
-    return CU.unit_for(p.select(F.substring_index("p_name", " ", 1).alias("name")).distinct(), g)
+    return CU.unit_for(p.select(F.expr("substring(p_name, p_partkey % 3 + 1, p_partkey % 6 + 1)").alias("name")).distinct(), g)
 
 
 # ---- context ----
@@ -306,18 +345,36 @@ def _(spark, d):
     return C.section_neighbours(fx.sections(spark, d).select("chunk_id", "pos", "heading"), "chunk_id", "pos", "heading")
 
 
-@query("j19_locate_unit", "SELECT s.question_id, min(s2.question_id) AS located FROM item_bank s JOIN item_bank s2 ON s2.prompt = s.prompt AND s2.section = s.section GROUP BY 1", "item_bank")
+cte("asked_units", """SELECT DISTINCT unnest(['topic:T' || lpad(CAST(topic AS VARCHAR), 2, '0'), 'section:T' || lpad(CAST(topic AS VARCHAR), 2, '0') || ':' || substr(prompt || CASE question_id % 4 WHEN 0 THEN '' WHEN 1 THEN repeat(' ' || prompt, 3) ELSE ' / ' || prompt END, question_id % 2 * 3 + 1, 80),
+  'concept:' || CASE WHEN question_id % 3 = 0 THEN 'x ' ELSE '' END || prompt, 'formula:eq-' || (question_id * 2)]) AS unit_id FROM item_bank""", "item_bank")
+cte("headings", "SELECT question_id AS section_id, topic, prompt || CASE WHEN question_id % 5 = 0 THEN repeat(' ' || prompt, 4) ELSE '' END AS h2 FROM item_bank", "item_bank")
+
+
+@query("j19_locate_unit", """SELECT unit_id, kind, CASE kind WHEN 'topic' THEN t WHEN 'concept' THEN (SELECT min(topic) FROM item_bank b WHERE b.prompt = ref) WHEN 'formula' THEN (SELECT min(topic) FROM formulas f WHERE f.equation_id = ref) END AS topic,
+   CASE WHEN kind = 'section' THEN (SELECT min(section_id) FROM headings h WHERE h.topic = t AND contains(lower(h.h2), lower(substr(ref, instr(ref, ':') + 1, 30)))) END AS section_id, CASE WHEN kind = 'formula' AND ref IN (SELECT equation_id FROM formulas) THEN ref END AS equation_id
+  FROM (SELECT unit_id, split_part(unit_id, ':', 1) AS kind, substr(unit_id, instr(unit_id, ':') + 1) AS ref, TRY_CAST(regexp_extract(unit_id, '^(?:topic|section):T0*([0-9]+)', 1) AS INTEGER) AS t FROM asked_units)""", "asked_units", "headings", "formulas")
 def _(spark, d):
-    b = fx.item_bank(spark, d)
-    first = b.groupBy("prompt", "section").agg(F.min("question_id").alias("located"))
-    return b.join(first, ["prompt", "section"]).select("question_id", "located")
+    b, k = fx.item_bank(spark, d), F.col("question_id")
+    at = F.lpad(F.col("topic").cast("string"), 2, "0")
+    more = F.when(k % 4 == 0, "").when(k % 4 == 1, F.repeat(F.concat(F.lit(" "), "prompt"), F.lit(3))).otherwise(F.concat(F.lit(" / "), "prompt"))
+    name = F.concat("prompt", more).substr((k % 2 * 3 + 1).cast("int"), F.lit(80))
+    asked = F.array(F.concat(F.lit("topic:T"), at), F.concat(F.lit("section:T"), at, F.lit(":"), name),
+                    F.concat(F.lit("concept:"), F.when(k % 3 == 0, "x ").otherwise(""), "prompt"), F.concat(F.lit("formula:eq-"), (k * 2).cast("string")))
+    heads = b.select(k.alias("section_id"), "topic", F.concat("prompt", F.when(k % 5 == 0, F.repeat(F.concat(F.lit(" "), "prompt"), F.lit(4))).otherwise("")).alias("h2"))
+    return C.locate_units(b.select(F.explode(asked).alias("unit_id")), heads, b.select(F.col("prompt").alias("term"), "topic"), fx.formulas(spark, d))
+
+
+cte("term_sets", f"SELECT p_partkey AS set_id, p_partkey % 20 AS topic, list_distinct([substr(string_split(p_name, ' ')[1], 1, 2), substr(string_split(p_name, ' ')[2], 1, p_partkey % 3 + 2), ['the', 'ing', 'que', 'en'][p_partkey % 4 + 1]]) AS terms FROM part")
 
 
-@query("j21_chunks_mentioning_all", f"""SELECT set_id, chunk_id, rank FROM (SELECT t.set_id, c.chunk_id, row_number() OVER (PARTITION BY t.set_id ORDER BY c.chunk_id) AS rank FROM (SELECT item_id AS set_id, item_id % 20 AS topic, list_distinct(regexp_extract_all(lower(text), '{q(T.MATCH_TOKEN)}')) AS terms FROM benchmark) t JOIN (SELECT chunk_id, topic,
-   list_distinct(regexp_extract_all(lower(text), '{q(T.MATCH_TOKEN)}')) AS w FROM corpus) c ON c.topic = t.topic AND list_has_all(c.w, t.terms)) WHERE rank <= 10""", "corpus")
+@query("j21_chunks_mentioning_all", f"""SELECT set_id, chunk_id, rank FROM (SELECT t.set_id, c.chunk_id, row_number() OVER (PARTITION BY t.set_id ORDER BY c.chunk_id) AS rank FROM term_sets t JOIN (SELECT chunk_id, topic, array_to_string(list_distinct(regexp_extract_all(lower(text), '{q(T.MATCH_TOKEN)}')), ' ') AS w FROM corpus) c
+   ON c.topic = t.topic AND len(list_filter(t.terms, lambda x: contains(c.w, x))) = len(t.terms)) WHERE rank <= 10""", "term_sets", "corpus")
 def _(spark, d):
-    terms = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("set_id"), (F.col("item_id") % 20).cast("int").alias("topic"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(T.MATCH_TOKEN), F.lit(0))).alias("terms"))
-    return C.chunks_mentioning_all(terms, fx.corpus(spark, d), 10)
+    k, word = F.col("p_partkey"), F.split("p_name", " ")
+    last = F.element_at(F.array(*map(F.lit, ("the", "ing", "que", "en"))), (k % 4 + 1).cast("int"))
+    terms = F.array(F.substring(word[0], 1, 2), word[1].substr(F.lit(1), (k % 3 + 2).cast("int")), last)
+    sets = fx.table(spark, d, "part").select(k.alias("set_id"), (k % 20).cast("int").alias("topic"), F.array_distinct(terms).alias("terms"))
+    return C.chunks_mentioning_all(sets, fx.corpus(spark, d), 10)
 
 
 @query("j23_section_content", """SELECT section_id, 0 AS kind_order, 'text' AS kind, CAST(chunk_id AS VARCHAR) AS block_id FROM secchunks UNION ALL SELECT (topic || ':' || 0), 1, 'table', note_id FROM notes UNION ALL SELECT (topic || ':' || 1), 2, 'formula', equation_id FROM formulas""", "secchunks", "notes", "formulas")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from evalspark.operators.containment import contained
 from evalspark.operators.upserts import top_rows
 
 
@@ -102,9 +103,36 @@ def catalog(chunks: DataFrame, formulas: DataFrame, concepts: DataFrame) -> Data
 
 
 def chunks_mentioning_all(terms: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """First ``k`` chunks of a topic whose words include every term (terms are single words)."""
+    """First ``k`` chunks of a topic that contain every term (single words), within words too: a term is looked up in the
+    vocabulary, and the words that contain it in the chunks."""
     from evalspark.functions import text as T
-    t = terms.select("set_id", "topic", F.explode(F.array_distinct("terms")).alias("w"), F.size(F.array_distinct("terms")).alias("n"))
+    t = terms.select("set_id", "topic", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("n"))
     w = chunks.select("topic", "chunk_id", F.explode(F.array_distinct(T.match_tokens(F.col("text")))).alias("w"))
-    hit = w.join(t, ["topic", "w"]).groupBy("set_id", "chunk_id").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).filter("m = n")
+    words = contained(t.select("term").distinct(), w.select("w").distinct(), "term", "w")
+    hit = w.join(t.join(words, "term"), ["topic", "w"]).groupBy("set_id", "chunk_id").agg(F.countDistinct("term").alias("m"), F.max("n").alias("n")).filter("m = n")
     return top_rows(hit.select("set_id", "chunk_id"), ["set_id"], [F.asc("chunk_id")], k)
+
+
+def locate_units(units: DataFrame, sections: DataFrame, concepts: DataFrame, formulas: DataFrame) -> DataFrame:
+    """(unit_id, kind, topic, section_id, equation_id) of learning units; nulls where nothing is found.
+
+    units: unit_id (topic:T01, section:T01:name, concept:term, formula:id); sections: section_id, topic, h2; concepts: term,
+    topic; formulas: equation_id, topic. A section is the first one (by id) of its topic with that heading, or one that contains
+    its first thirty letters; a name is cut to eighty letters in its unit, so the beginning has to do.
+    """
+    kind = F.substring_index("unit_id", ":", 1)
+    ref = F.expr("substring(unit_id, instr(unit_id, ':') + 1)")
+    number = F.regexp_extract("unit_id", r"^(?:topic|section):T0*([0-9]+)", 1).try_cast("int")
+    u = units.select("unit_id").distinct().select("unit_id", kind.alias("kind"), ref.alias("ref"), number.alias("_topic"))
+    named = u.filter("kind = 'section' AND _topic IS NOT NULL").select("unit_id", "_topic", F.lower(F.substring(F.expr("substring(ref, instr(ref, ':') + 1)"), 1, 30)).alias("_h"))
+    heads = sections.select("section_id", "topic", F.lower("h2").alias("_low"))
+    # headings repeat: each is looked into once, with its first section
+    heads = heads.groupBy("topic", "_low").agg(F.min("section_id").alias("section_id"))
+    at = contained(named, heads, "_h", "_low").filter("topic = _topic").groupBy("unit_id").agg(F.min("section_id").alias("section_id"))
+    c = concepts.groupBy("term").agg(F.min("topic").alias("_ct")).withColumnRenamed("term", "ref")
+    f = formulas.groupBy("equation_id").agg(F.min("topic").alias("_ft")).withColumnRenamed("equation_id", "ref")
+    j = u.join(at, "unit_id", "left").join(c, "ref", "left").join(f, "ref", "left")
+    topic = F.when(F.col("kind") == "topic", F.col("_topic")).when(F.col("kind") == "concept", F.col("_ct")).when(F.col("kind") == "formula", F.col("_ft"))
+    return j.filter(F.col("kind").isin("section", "concept", "formula") | ((F.col("kind") == "topic") & F.col("_topic").isNotNull())).select(
+        "unit_id", "kind", topic.cast("int").alias("topic"), F.when(F.col("kind") == "section", F.col("section_id")).alias("section_id"),
+        F.when((F.col("kind") == "formula") & F.col("_ft").isNotNull(), F.col("ref")).alias("equation_id"))

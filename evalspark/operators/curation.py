@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from evalspark.operators.containment import contained
+
 DEFINITIONS = (
     r"(?:^|[^\p{L}\p{N}_])on\s+\$?([A-Za-z][A-Za-z0-9_]*)\$?\s+(?:és|es|denota|representa|indica)\s+([^.;]{3,160})",
     r"(?:^|[^\p{L}\p{N}_])amb\s+\$?([A-Za-z][A-Za-z0-9_]*)\$?\s+(?:el|la|com)\s+([^.;]{3,160})",
@@ -71,14 +73,12 @@ def unit_glossary(lines: DataFrame) -> DataFrame:
 
 
 def unit_for(quantities: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Glossary entry of a quantity: the first one (in table order) whose words contain the quantity's.
-
-    The quantity's first word finds the entries; containment is verified on those.
-    """
-    words = lambda c: F.split(F.lower(c), " ")
-    g = glossary.select("quantity", "unit", "evidence", F.explode(F.array_distinct(words(F.col("quantity")))).alias("w"))
-    j = quantities.select("name", words(F.col("name"))[0].alias("w")).join(g, "w").filter(F.lower("quantity").contains(F.lower("name")))
-    return j.groupBy("name").agg(F.min(F.struct("evidence", "quantity", "unit")).alias("m")).select("name", F.col("m.unit").alias("unit"), F.col("m.evidence").alias("evidence"))
+    """Glossary entry of a quantity: the first one (in table order) that contains it, case and white space aside, within words too."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    q = quantities.select("name", plain(F.col("name")).alias("_want"))
+    g = glossary.select("quantity", "unit", "evidence", plain(F.col("quantity")).alias("_in"))
+    return contained(q, g, "_want", "_in").groupBy("name").agg(F.min(F.struct("evidence", "quantity", "unit")).alias("m")).select(
+        "name", F.col("m.unit").alias("unit"), F.col("m.evidence").alias("evidence"))
 
 
 def apply_overrides(overrides: DataFrame, order: str = "seq") -> DataFrame:

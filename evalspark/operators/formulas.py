@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.functions import formula as FM, text as T
+from evalspark.operators.containment import pieces
 from evalspark.operators.upserts import top_rows
 from evalspark.session import materialize
 
@@ -42,18 +43,10 @@ def index_formulas(formulas: DataFrame, store: bool = False) -> FormulaIndex:
     least = f.groupBy("section", "syms").agg(F.min("equation_id").alias("class_id"))
     classes = least.withColumns({"bases": FM.symbol_bases(F.col("syms")), "keys": FM.symbol_keys(F.col("syms"))})
     members = f.join(least, f["section"].eqNullSafe(least["section"]) & (f["syms"] == least["syms"])).select("class_id", "equation_id", "norm")
-    grams = keep(f.select("equation_id", "norm", F.explode(_grams(F.col("norm"))).alias("gram")), "formula-grams")
+    grams = keep(f.select("equation_id", "norm", F.explode(pieces(F.col("norm"), 2, 3)).alias("gram")), "formula-grams")
     return FormulaIndex(keep(classes, "formula-classes"), keep(members, "formula-members"), grams, keep(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "formula-gram-sizes"))
 
 
-def _grams(norm: Column) -> Column:
-    """Distinct pieces of two and of three letters."""
-    def cut(size: int) -> Column:
-        places = F.when(F.length(norm) >= size, F.sequence(F.lit(1), F.length(norm) - (size - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: norm.substr(i, F.lit(size)))
-    return F.array_distinct(F.concat(cut(2), cut(3)))
-
-
 def containing(queries: DataFrame, index: FormulaIndex, minimum: int) -> DataFrame:
     """(query_id, equation_id, length) where the query's normal form, of ``minimum`` letters or more, stands in the formula's.
 
@@ -61,8 +54,8 @@ def containing(queries: DataFrame, index: FormulaIndex, minimum: int) -> DataFra
     piece that no formula has reads none."""
     core = FM.normalize_latex(F.col("query"))
     q = queries.select("query_id", core.alias("core")).filter(F.length("core") >= max(minimum, 2))
-    pieces = F.filter(_grams(F.col("core")), lambda g: F.length(g) == F.least(F.length("core"), F.lit(3)))
-    g = q.select("query_id", F.explode(pieces).alias("gram")).join(index.gram_sizes, "gram", "left")
+    own = F.filter(pieces(F.col("core"), 2, 3), lambda g: F.length(g) == F.least(F.length("core"), F.lit(3)))
+    g = q.select("query_id", F.explode(own).alias("gram")).join(index.gram_sizes, "gram", "left")
     rarest = g.groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("query_id", "r.gram")
     hits = rarest.join(index.grams, "gram").join(q, "query_id").filter(F.col("norm").contains(F.col("core")))
     return hits.select("query_id", "equation_id", F.length("core").alias("length"))

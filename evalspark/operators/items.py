@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from evalspark.functions import text as T
 from evalspark.functions.columns import codes
+from evalspark.operators.containment import contained
 from evalspark.operators.upserts import top_rows
+from evalspark.session import materialize
 
 
 def sentence_candidates(chunks: DataFrame, sentences: int = 3, min_chars: int = 200) -> DataFrame:
@@ -14,27 +16,37 @@ def sentence_candidates(chunks: DataFrame, sentences: int = 3, min_chars: int =
     return s.withColumn("terms", T.key_terms(F.col("sentence"))).filter(F.size("terms") >= 2)
 
 
-def generate_true_false(candidates: DataFrame, concepts: DataFrame, seed: int = 0, pool: int = 25) -> DataFrame:
-    """One statement per candidate: literal, or with a term replaced by a concept of another topic.
+def generate_true_false(candidates: DataFrame, concepts: DataFrame, seed: int = 0) -> DataFrame:
+    """One statement per candidate: literal, or with a term replaced by the first concept of another topic (in order) that the
+    sentence does not contain. Truth is the parity of a content hash; a sentence that contains all of them gives no statement.
 
-    Truth is the parity of a content hash. Per topic only the first ``pool`` foreign concepts are
-    offered (a fixed array), which is enough to find one the sentence does not contain.
+    Only the contained concepts are joined to a sentence. They are looked up among the first foreign concepts of its topic, one
+    more than any sentence contains, and the first that is missing is the replacement.
     """
     h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("chunk_id").cast("string"), F.col("pos").cast("string")), 256), 1, 6), 16, 10).cast("long")
-    c = candidates.withColumn("truth", h % 2 == 0)
-    per = top_rows(concepts.filter(F.length("term") > 4).select("topic", "term").distinct(), ["topic"], [F.asc("term")], pool, "_r")
-    lists = per.groupBy("topic").agg(F.array_sort(F.collect_list("term")).alias("own"))
-    # the foreign pool of a topic: the first terms of the next topic in a ring
-    n = F.lit(10)
-    ring = lists.select((F.col("topic") % n + 1).alias("topic"), F.col("own").alias("foreign"))
-    j = c.join(ring, "topic", "left")
-    low = F.lower("sentence")
-    swap = F.try_element_at(F.filter("foreign", lambda t: ~low.contains(F.lower(t))), F.lit(1))
-    term = F.col("terms")[0]
-    at = F.expr("locate(terms[0], sentence)")
-    false = F.concat(F.col("sentence").substr(F.lit(1), at - 1), swap, F.col("sentence").substr(at + F.length(term), F.length("sentence")))
+    c = materialize(candidates.withColumn("truth", h % 2 == 0), "statements")
+    known = concepts.filter(F.length("term") > 4).select("topic", "term").distinct()
+    terms = known.select("term").distinct().withColumn("_low", F.lower("term"))
+    inside = contained(terms, c.filter("NOT truth").select("chunk_id", "pos", "topic", F.lower("sentence").alias("_s")), "_low", "_s").select("chunk_id", "pos", "topic", "term")
+    inside = materialize(inside, "concepts-inside")
+    most = inside.groupBy("chunk_id", "pos").count().agg(F.max("count")).first()[0] or 0
+    foreign = materialize(_foreign(known, c.select("topic").distinct(), most + 1), "foreign-concepts")
+    # the lowest place that no contained concept takes
+    taken = inside.join(foreign, ["topic", "term"]).groupBy("chunk_id", "pos").agg(F.array_sort(F.collect_set("place")).alias("_p"))
+    gap = F.size(F.filter("_p", lambda x, i: x == i + 1)) + 1
+    j = c.join(taken.select("chunk_id", "pos", gap.alias("_gap")), ["chunk_id", "pos"], "left").withColumn("place", F.coalesce("_gap", F.lit(1)))
+    j = j.join(foreign.withColumnRenamed("term", "swap"), ["topic", "place"], "left")
+    term, at = F.col("terms")[0], F.expr("locate(terms[0], sentence)")
+    false = F.concat(F.col("sentence").substr(F.lit(1), at - 1), F.col("swap"), F.col("sentence").substr(at + F.length(term), F.length("sentence")))
     j = j.withColumn("statement", F.when(F.col("truth"), F.col("sentence")).otherwise(false)).filter("statement IS NOT NULL")
-    return j.select("chunk_id", "pos", "topic", "statement", "truth", F.when(~F.col("truth"), term).alias("replaced"), F.when(~F.col("truth"), swap).alias("replacement"))
+    return j.select("chunk_id", "pos", "topic", "statement", "truth", F.when(~F.col("truth"), term).alias("replaced"), F.when(~F.col("truth"), F.col("swap")).alias("replacement"))
+
+
+def _foreign(known: DataFrame, topics: DataFrame, k: int) -> DataFrame:
+    """(topic, term, place): the first ``k`` concepts of other topics. They are among the first ``k`` of each other topic."""
+    own = top_rows(known, ["topic"], [F.asc("term")], k, "_r").select(F.col("topic").alias("_of"), "term")
+    others = topics.join(F.broadcast(own.select("_of").distinct()), F.col("topic") != F.col("_of")).join(own, "_of").select("topic", "term").distinct()
+    return top_rows(others, ["topic"], [F.asc("term")], k, "place")
 
 
 def generate_short_answer(chunks: DataFrame, seed: int = 0) -> DataFrame:
@@ -54,25 +66,36 @@ def theory_items(chunks: DataFrame, section: str) -> DataFrame:
                          F.array_join(terms, ",").alias("concepts"))
 
 
-FATAL = ("NO_EVIDENCE", "PROVENANCE_INCOMPLETE", "EVIDENCE_TOPIC_MISMATCH", "FORMULA_NOT_FOUND", "UNSUPPORTED_CLAIM", "CONTRADICTED_CLAIM", "AMBIGUOUS")
+#: Reasons that make an item invalid; any other one asks for a review.
+FATAL = ("NO_EVIDENCE", "PROVENANCE_INCOMPLETE", "EVIDENCE_TOPIC_MISMATCH", "FORMULA_NOT_FOUND", "FORMULA_MISMATCH", "UNSUPPORTED_CLAIM",
+         "CONTRADICTED_CLAIM", "CALCULATION_ERROR", "DIMENSION_ERROR", "UNIT_UNSUPPORTED", "AMBIGUOUS")
 
 
 def validate_items(items: DataFrame, coherence: DataFrame, formulas: DataFrame, claims: DataFrame) -> DataFrame:
     """Reasons against an item, its status and evidence score.
 
-    items: item_id, n_evidence, n_found, formula_id, n_correct; coherence: item_id, mismatch;
-    claims: item_id, status.
+    items: item_id, type, n_evidence, n_found, formula_ids, n_correct, calculation_verified (null without a calculation),
+    dimension_ok (null where units are unknown), other_reasons; coherence: item_id, mismatch; claims: item_id, status, and
+    mismatch where a formula without citation is not known.
     """
-    bad = claims.groupBy("item_id").agg(F.max(F.col("status") == "UNSUPPORTED").alias("_u"), F.max(F.col("status") == "CONTRADICTED").alias("_c"))
-    f = formulas.select(F.col("equation_id").alias("formula_id"), F.lit(True).alias("_f"))
-    j = items.join(coherence.select("item_id", "mismatch"), "item_id", "left").join(bad, "item_id", "left").join(f, "formula_id", "left")
+    bad = claims.groupBy("item_id").agg(F.max(F.col("status") == "UNSUPPORTED").alias("_u"), F.max(F.col("status") == "CONTRADICTED").alias("_c"),
+                                        F.max(F.coalesce("mismatch", F.lit(False))).alias("_m"))
+    named = items.select("item_id", F.explode("formula_ids").alias("equation_id")).distinct()
+    absent = named.join(formulas.select("equation_id"), "equation_id", "left_anti").groupBy("item_id").agg(
+        F.array_sort(F.collect_set(F.concat(F.lit("FORMULA_NOT_FOUND:"), "equation_id"))).alias("_f"))  # an item names a few
+    j = items.join(coherence.select("item_id", F.col("mismatch").alias("_t")), "item_id", "left").join(bad, "item_id", "left").join(absent, "item_id", "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    reasons = F.array_sort(codes([
-        (F.col("n_evidence") == 0, "NO_EVIDENCE"), (F.col("n_found") < F.col("n_evidence"), "PROVENANCE_INCOMPLETE"), (no("mismatch"), "EVIDENCE_TOPIC_MISMATCH"),
-        (F.col("formula_id").isNotNull() & ~no("_f"), "FORMULA_NOT_FOUND"), (no("_u"), "UNSUPPORTED_CLAIM"), (no("_c"), "CONTRADICTED_CLAIM"),
-        (F.col("n_correct").isNotNull() & (F.col("n_correct") != 1), "AMBIGUOUS")]))
+    wrong = ~F.coalesce("dimension_ok", F.lit(True))
+    reasons = F.concat(codes([
+        (F.col("n_evidence") == 0, "NO_EVIDENCE"), (F.col("n_found") < F.col("n_evidence"), "PROVENANCE_INCOMPLETE"), (no("_t"), "EVIDENCE_TOPIC_MISMATCH"),
+        (no("_m"), "FORMULA_MISMATCH"), (no("_u"), "UNSUPPORTED_CLAIM"), (no("_c"), "CONTRADICTED_CLAIM"), (~F.coalesce("calculation_verified", F.lit(True)), "CALCULATION_ERROR"),
+        (wrong, "DIMENSION_ERROR"), (wrong, "UNIT_UNSUPPORTED"), ((F.col("type") == "MULTIPLE_CHOICE") & (F.coalesce("n_correct", F.lit(0)) != 1), "AMBIGUOUS")]),
+        F.coalesce("_f", F.array().cast("array<string>")), F.coalesce("other_reasons", F.array().cast("array<string>")))
+    j = j.withColumn("_reasons", F.array_sort(F.array_distinct(reasons)))
+    fatal = F.exists("_reasons", lambda r: F.substring_index(r, ":", 1).isin(*FATAL))
+    status = F.when(fatal, "INVALID").when(F.size("_reasons") > 0, "NEEDS_REVIEW").otherwise("VALID")
     score = F.when(F.col("n_evidence") == 0, "unsupported").when(F.col("n_found") == F.col("n_evidence"), "fully_supported").otherwise("partially_supported")
-    return j.select("item_id", F.array_join(reasons, ",").alias("reasons"), F.when(F.size(reasons) > 0, "INVALID").otherwise("VALID").alias("status"), score.alias("evidence_score"))
+    return j.select("item_id", F.array_join("_reasons", ",").alias("reasons"), status.alias("status"), score.alias("evidence_score"))
 
 
 def dedupe_items(items: DataFrame) -> DataFrame:
