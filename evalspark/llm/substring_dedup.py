@@ -136,9 +136,16 @@ def removal(text: str, later: list[tuple[int, int]], min_words: int) -> tuple[li
 
 
 def drop_repeats(docs: DataFrame, min_words: int = 30) -> DataFrame:
-    """``docs`` (doc_id, text and others) with ``text`` rewritten, ``removed`` (ranges) and ``n_removed_words``."""
+    """``docs`` (doc_id, text and others) with ``text`` rewritten, ``removed`` (ranges) and ``n_removed_words``.
+
+    Of different texts that share an id, the one with the least hash takes part; the others stay whole."""
+    body = docs.select(row_without(docs, "text").alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).withColumn("_tag", F.xxhash64("_text"))
+    odd = body.groupBy("_doc").agg(F.min("_tag").alias("_least"), F.max("_tag").alias("_most")).where("_least <> _most")
+    odd = materialize(odd.select(F.col("_doc").alias("_odd"), "_least"), "shared-ids")
+    body = body.join(odd, F.col("_doc") == F.col("_odd"), "left").withColumn("_in", F.col("_odd").isNull() | (F.col("_tag") == F.col("_least")))
     # the map side may settle a unit that the bucket settles again: distinct by the set
-    spans = later_occurrences(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_later"))
+    spans = later_occurrences(body.where("_in").select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text"))).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("_later"))
     spans = spans.withColumnRenamed("doc_id", "_id")
 
     @F.arrow_udf("struct<text: string, removed: array<struct<start: int, end: int>>, n_removed_words: bigint>")
@@ -153,8 +160,7 @@ def drop_repeats(docs: DataFrame, min_words: int = 30) -> DataFrame:
             out.append({"text": "".join(kept) + text[at:] if ranges else text, "removed": [{"start": a, "end": b} for a, b in ranges], "n_removed_words": n})
         return pa.array(out, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("n_removed_words", pa.int64())]))
 
-    body = docs.select(row_without(docs, "text").alias("_row"), F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    joined = body.join(spans, F.col("_doc") == F.col("_id"), "left").withColumn("_cut", cut("_text", "_later"))
+    joined = body.join(spans, (F.col("_doc") == F.col("_id")) & F.col("_in"), "left").withColumn("_cut", cut("_text", "_later"))
     new = {c: F.col("_cut").getField(c) for c in ("text", "removed", "n_removed_words")}
     rest = [new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns]
     return joined.select(*rest, *[v.alias(c) for c, v in new.items() if c not in docs.columns])

@@ -213,3 +213,13 @@ def test_toxicity_edges(spark):
     odd = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, None, None), (None, 0, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     assert toxicity.labelled_sample(docs, odd).count() == 2
     toxicity.train(docs, odd)
+
+
+def test_texts_that_share_an_id(spark):
+    """Nothing unique goes where an id stands for two texts."""
+    passage_, unique = " ".join(f"shared{i}" for i in range(60)), " ".join(f"unique{i}" for i in range(200))
+    rows = [(1, passage_), (2, "before " + passage_), (2, unique), (None, unique + " tail"), (2, unique)]
+    out = substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_tag": F.lit(1), "_in": F.lit("x")})).collect()
+    texts = [r.text for r in out]
+    assert len(out) == 5 and sum(t.count("unique199") for t in texts) == 3 and all("unique0 unique1" in t for t in texts if "unique199" in t)
+    assert sum("shared59" in t for t in texts) in (1, 2) and passage_ in texts

@@ -232,5 +232,15 @@ def test_pipeline_stages_on_odd_rows(spark):
 def test_queries_are_registered():
     import __spark_entry__
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {q[:q.index("_") + 1] for q in names if q.startswith("op") and q in queries.QUERIES} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {q[:q.index("_") + 1] for q in names if q.startswith("op") and q in queries.QUERIES} and "pipeline" in names
     assert line_dedup and names["pipeline"] is corpus_pipeline.run
+
+
+def test_near_copies_of_texts_that_share_an_id(spark):
+    rnd = random.Random(11)
+    one, other, third = (" ".join(f"{p}{rnd.randint(0, 10**6)}" for _ in range(80)) for p in "abc")
+    rows = [(1, one), (2, one), (2, other), (None, third), (None, third), (3, third + " more"), (4, ""), (5, ""), (6, None), (7, other), (7, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_node", F.lit("clash"))
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, one), (2, other), (3, third + " more"), (4, ""), (5, ""), (6, None)], key=str)
