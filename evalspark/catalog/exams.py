@@ -217,7 +217,8 @@ def _(spark, d):
 
 @query("x7_assemble_exam")
 def _(spark, d):
-    return E.assemble_exam(fx.item_bank(spark, d), fx.blueprints(spark, d))
+    from evalspark.operators.assembly import assemble_exam
+    return assemble_exam(fx.demanded_bank(spark, d), fx.demanding_blueprints(spark, d))
 
 
 @query("x9_quality_gate", """SELECT exam_id, array_to_string(list_filter([CASE WHEN COALESCE(n, 0) < 6 THEN 'shortfall' END, CASE WHEN nq < n THEN 'duplicates' END, CASE WHEN COALESCE(have <> list_sort(topics), TRUE) THEN 'topic_coverage' END,

@@ -127,8 +127,7 @@ def seeded_order(seed: Column, item: Column) -> Column:
 def assemble_by_type(bank: DataFrame, bp: DataFrame) -> DataFrame:
     """First ``quota`` items per requested type, in seeded order, one per fingerprint.
 
-    Items are looked up by (topic, type). Per exam and type only the quota survives the partial
-    top-k, so a large bank never piles up in one task.
+    Items are looked up by (topic, type), so an exam meets all items of its topics and types; ``assembly`` draws them by number.
     """
     want = bp.select("exam_id", "seed", "topics", F.explode("types").alias("type", "quota")).filter("quota > 0").select(
         "exam_id", "seed", "type", "quota", F.explode("topics").alias("topic"))
@@ -141,51 +140,6 @@ def assemble_by_type(bank: DataFrame, bp: DataFrame) -> DataFrame:
             .select("exam_id", "type", "slot", "question_id"))
 
 
-def assemble_exam(bank: DataFrame, bp: DataFrame) -> DataFrame:
-    """Joint type and difficulty quotas, then a fill inside the requested types.
-
-    The greedy walk needs, per exam, at most question_count items of every (type, difficulty) cell
-    in seeded order: the walk never takes more from one cell. Those are cut out by a partial top-k
-    first, so the group handed to Python is bounded by the blueprint, not by the bank.
-    """
-    want = bp.select("exam_id", "seed", F.col("types").alias("type_map"), F.explode("topics").alias("topic"))
-    one = bank.groupBy("topic", "fingerprint").agg(F.min(F.struct("question_id", "type", "difficulty")).alias("i")).select(
-        "topic", "fingerprint", "i.*")
-    c = want.join(one, "topic").filter((F.size("type_map") == 0) | F.array_contains(F.map_keys("type_map"), F.col("type")))
-    c = c.withColumn("_o", seeded_order(F.col("seed"), F.col("question_id")))
-    c = c.groupBy("exam_id", "fingerprint").agg(F.min(F.struct(
-        "_o", "question_id", "type", "difficulty")).alias("c")).select("exam_id", "c.*")
-    c = c.join(bp.select("exam_id", "question_count", F.col("types").alias("type_map"), F.col("difficulty").alias("diff_map")), "exam_id")
-    w = Window.partitionBy("exam_id", "type", "difficulty").orderBy("_o")
-    c = c.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("question_count"))
-
-    def walk(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("_o")
-        n = int(pdf.question_count.iloc[0])
-        quota = {k: int(v) for k, v in dict(pdf.type_map.iloc[0] or {}).items() if v > 0}
-        share = dict(pdf.diff_map.iloc[0] or {})
-        levels = {}
-        if share and abs(sum(share.values()) - 1.0) <= 0.02:
-            *head, last = sorted(share)
-            levels = {k: round(share[k] * n) for k in head}
-            levels[last] = n - sum(levels.values())
-        used_t, used_d, taken = {}, {}, []
-        for q, t, lv in zip(pdf.question_id, pdf.type, pdf.difficulty):
-            full = (quota and used_t.get(t, 0) >= quota.get(t, 0)) or (levels and used_d.get(lv, 0) >= levels.get(lv, 0))
-            if len(taken) < n and not full:
-                taken.append((q, t, lv, "quota"))
-                used_t[t], used_d[lv] = used_t.get(t, 0) + 1, used_d.get(lv, 0) + 1
-        have = {q for q, *_ in taken}
-        for q, t, lv in zip(pdf.question_id, pdf.type, pdf.difficulty):
-            if len(taken) < n and q not in have:
-                taken.append((q, t, lv, "fill"))
-        return pd.DataFrame([(pdf.exam_id.iloc[0], i + 1, *x, n - len(taken)) for i, x in enumerate(taken)],
-                            columns=["exam_id", "position", "question_id", "type", "difficulty", "source", "shortfall"])
-    return c.drop("_r").groupBy("exam_id").applyInPandas(
-        walk, "exam_id long, position int, question_id long, type string, difficulty string, source string, shortfall int")
-
-
 def quality_gate(exams: DataFrame, bp: DataFrame, bank: DataFrame) -> DataFrame:
     """Violations of an assembled exam against its blueprint (few questions per exam)."""
     x = exams.join(bank.select("question_id", "topic", F.col("type").alias("_t"), F.col("difficulty").alias("_d"), "fingerprint"), "question_id", "left")

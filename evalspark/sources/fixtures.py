@@ -249,6 +249,25 @@ def blueprints(spark: SparkSession, d: str) -> DataFrame:
         "map('NUMERICAL', 2D, 'FORMULA', 1.5D) AS points_by_type")
 
 
+def demanded_bank(spark: SparkSession, d: str) -> DataFrame:
+    """The item bank with statuses, formulas and concepts."""
+    k = F.col("question_id")
+    return item_bank(spark, d).withColumns({
+        "status": F.when(k % 9 == 0, "DRAFT").otherwise("VALID"), "formula_ids": F.array(F.concat(F.lit("eq-"), (k % 50).cast("string"))),
+        "concept_terms": F.slice(F.split("prompt", " "), 1, 2)})
+
+
+def demanding_blueprints(spark: SparkSession, d: str) -> DataFrame:
+    """The blueprints; some name sections, formulas, concepts or the order of the blueprint."""
+    k = F.col("exam_id")
+    sections = F.map_from_entries(F.transform("topics", lambda t: F.struct(t, F.array(F.lit("Brand#1"), F.lit("Brand#3")))))
+    none = F.array().cast("array<string>")
+    return blueprints(spark, d).withColumns({
+        "ordering": F.when(k % 3 == 0, "blueprint_order").otherwise(F.col("ordering")), "sections": F.when(k % 4 == 1, sections),
+        "formula_ids": F.when(k % 5 == 0, F.array(F.concat(F.lit("eq-"), (k % 50).cast("string")), F.lit("eq-7"))).otherwise(none),
+        "concept_terms": F.when(k % 6 == 2, F.array(F.lit("small"), F.lit("large"))).otherwise(none)})
+
+
 def answers(spark: SparkSession, d: str) -> DataFrame:
     """A written answer and its question's expectations for every exam position."""
     r = exam_rows(spark, d).select("session_id", "position", "question_id", "points", "required", "blank")
