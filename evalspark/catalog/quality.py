@@ -45,11 +45,24 @@ def _(spark, d):
     return b.select("page_id", "title", "h1", "section_no", "h2", "pos", "kind", "box", "text", F.array_join("latex", " ").alias("latex"))
 
 
-@query("s4_page_titles", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g'), ' ') AS title FROM pages WHERE NOT regexp_matches(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&[a-z#]+[^a-z;]|&(lt|gt|quot|#)|<')""")
+@query("s4_parse_blocks")
 def _(spark, d):
-    p = fx.table(spark, d, "pages")
-    plain = ~F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).rlike(r"&[a-z#]+[^a-z;]|&(lt|gt|quot|#)|<")
-    return H.parse_pages(p).select("page_id", "title").distinct().join(p.filter(plain).select("page_id"), "page_id", "left_semi")
+    """The table function in SQL."""
+    H.register(spark)
+    fx.table(spark, d, "pages").createOrReplaceTempView("pages_of_blocks")
+    return spark.sql("SELECT page_id, title, h1, section_no, h2, pos, kind, box, text, array_join(latex, ' ') AS latex FROM pages_of_blocks, LATERAL parse_blocks(html)")
+
+
+_NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+for _entity, _letter in _NAMED:
+    _TITLE = f"replace({_TITLE}, '{_entity}', '{_letter}')"
+
+
+@query("s4_page_titles", rf"""SELECT page_id, trim(regexp_replace({_TITLE}, '[ \t\n\r]+', ' ', 'g'), ' ') AS title FROM pages""")
+def _(spark, d):
+    p = fx.table(spark, d, "pages").select("page_id", "html")
+    return p.select("page_id").join(H.parse_pages(p).select("page_id", "title").distinct(), "page_id", "left").select("page_id", F.coalesce("title", F.lit("")).alias("title"))
 
 
 @query("s5_reading_order", """SELECT topic, name, COALESCE(pos, 90 + rn) AS doc_order FROM (SELECT topic, name, row_number() OVER (PARTITION BY topic ORDER BY name) - 1 AS rn FROM (SELECT DISTINCT page_id % 10 AS topic, unnest(regexp_extract_all(html, 'href="/?([^"]+)"', 1)) AS name FROM pages))
