@@ -310,7 +310,38 @@ def _(spark, d):
     return unseen_items(fx.item_bank(spark, d), fx.attempts(spark, d), 3)
 
 
-@query("j14_has_seen", """SELECT DISTINCT student_id, question_id FROM attempts WHERE question_id IN (SELECT question_id FROM item_bank)""",
+_NUMBERED = "SELECT question_id, topic, row_number() OVER (PARTITION BY topic ORDER BY question_id) - 1 AS pos, count(*) OVER (PARTITION BY topic) AS n FROM item_bank"
+_WANTS = f"""SELECT DISTINCT a.student_id, a.question_id AS want_id, CASE WHEN a.question_id % 7 = 0 THEN NULL WHEN a.question_id % 11 = 0 THEN 99 ELSE b.topic END AS topic,
+   b.pos AS seed, a.question_id % 3 + 1 AS attempts FROM attempts a JOIN ({_NUMBERED}) b USING (question_id)"""
+
+
+@query("j14_first_novel", f"""SELECT w.want_id, w.student_id, w.topic, f.q AS question_id, CAST(f.i AS INTEGER) AS attempt, CASE WHEN w.topic IS NULL THEN 'no_recommendation' WHEN w.topic = 99 THEN 'no_question'
+   WHEN f.q IS NOT NULL THEN 'novel' ELSE 'no_novel_question_available' END AS verdict FROM ({_WANTS}) w LEFT JOIN (SELECT want_id, student_id, min(i) AS i, arg_min(question_id, i) AS q FROM (
+   SELECT w.want_id, w.student_id, i, b.question_id FROM (SELECT *, unnest(range(1, attempts + 1)) AS i FROM ({_WANTS})) w JOIN ({_NUMBERED}) b ON b.topic = w.topic AND b.pos = (w.seed + i - 1) % b.n
+   WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.student_id = w.student_id AND a.question_id = b.question_id)) GROUP BY 1, 2) f ON f.want_id = w.want_id AND f.student_id = w.student_id""", "attempts", "item_bank")
+def _(spark, d):
+    from evalspark.operators.novelty import first_novel
+    from evalspark.operators.ordered import row_numbers
+    a, bank = fx.attempts(spark, d).select("student_id", "question_id").distinct(), fx.item_bank(spark, d).select("question_id", "topic")
+    k = F.col("question_id")
+    w = a.join(row_numbers(bank, ["topic"], "question_id", name="pos"), "question_id").select(
+        "student_id", k.alias("want_id"), F.when(k % 7 == 0, None).when(k % 11 == 0, 99).otherwise(F.col("topic")).alias("topic"),
+        (F.col("pos") - 1).alias("seed"), (k % 3 + 1).alias("attempts"))
+    return first_novel(w, bank, a)
+
+
+@query("j14_exploration_pool", """SELECT student_id, unit_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY topic, eq) AS rank FROM (
+   SELECT student_id, 'topic:T' || lpad(CAST(t AS VARCHAR), 2, '0') AS unit_id, 0 AS topic, lpad(CAST(t AS VARCHAR), 2, '0') AS eq FROM (SELECT c_custkey AS student_id, unnest(range(1, 11)) AS t FROM customer)
+   UNION ALL SELECT s.student_id, 'formula:' || f.equation_id, f.topic, f.equation_id FROM (SELECT c_custkey AS student_id, COALESCE(topic, 1) AS topic FROM customer LEFT JOIN (SELECT DISTINCT student_id, topic FROM attempts) a ON a.student_id = c_custkey) s
+   JOIN formulas f USING (topic)) p WHERE NOT EXISTS (SELECT 1 FROM unit_events u WHERE u.student_id = p.student_id AND u.unit_id = p.unit_id AND (u.unit_kind = 'formula' OR u.status = 'INCORRECT'))) WHERE rank <= 25""", "attempts", "unit_events", "formulas")
+def _(spark, d):
+    from evalspark.operators.novelty import exploration_pool
+    ev = fx.unit_events(spark, d).select("student_id", "unit_id", "unit_kind", "status", "topic")
+    who = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("student_id"))
+    return exploration_pool(who, ev.select("student_id", "topic"), ev.filter("unit_kind = 'formula'"), ev.filter("status = 'INCORRECT'"), fx.formulas(spark, d), 25)
+
+
+@query("j14_has_seen","""SELECT DISTINCT student_id, question_id FROM attempts WHERE question_id IN (SELECT question_id FROM item_bank)""",
        "attempts", "item_bank")
 def _(spark, d):
     a = fx.attempts(spark, d).select("student_id", "question_id").distinct()

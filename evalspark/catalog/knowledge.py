@@ -35,10 +35,11 @@ def _(spark, d):
     return FO.covers(fx.formula_queries(spark, d), fx.formulas(spark, d))
 
 
-@query("j11_formulas_in_section", "SELECT DISTINCT section, equation_id FROM formulas", "formulas")
+@query("j11_formulas_in_section", """SELECT DISTINCT c.section, l.equation_id, f.expression FROM formula_links l JOIN corpus c USING (chunk_id) JOIN formulas f ON f.equation_id = l.equation_id""",
+       "formula_links", "corpus", "formulas")
 def _(spark, d):
-    f = fx.formulas(spark, d).select("section", F.array("equation_id", "equation_id").alias("formula_ids"))
-    return f.select("section", F.explode("formula_ids").alias("equation_id")).dropDuplicates()
+    ids = fx.formula_links(spark, d).groupBy("chunk_id").agg(F.collect_list("equation_id").alias("formula_ids"))  # a chunk holds two at most
+    return FO.formulas_in_section(fx.corpus(spark, d).join(ids, "chunk_id"), fx.formulas(spark, d))
 
 
 @query("j13_formula_chains", f"""SELECT topic, first, second, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY first, second) AS rank FROM (SELECT DISTINCT a.topic, a.equation_id AS first, b.equation_id AS second FROM formulas a JOIN formulas b ON a.topic = b.topic AND a.equation_id <> b.equation_id

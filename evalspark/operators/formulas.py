@@ -116,6 +116,13 @@ def covers(queries: DataFrame, formulas: DataFrame) -> DataFrame:
     return symbol_hits(queries, _with_symbols(formulas, "equation_id", "expression")).filter("covers").select("query_id", "equation_id")
 
 
+def formulas_in_section(chunks: DataFrame, formulas: DataFrame) -> DataFrame:
+    """Each formula that a section's chunks name (section, formula_ids), once, with its expression; ids that no formula
+    has give nothing. Named pairs are made distinct before they meet the formulas."""
+    named = chunks.select("section", F.explode("formula_ids").alias("equation_id")).distinct()
+    return named.join(formulas.select("equation_id", "expression"), "equation_id").select("section", "equation_id", "expression")
+
+
 def check_formula(claims: DataFrame, formulas: DataFrame) -> DataFrame:
     """EXACT, else EQUIVALENT, else MISSING; two equality joins on canonical and equivalence keys."""
     def keyed(df, key, col):

@@ -49,15 +49,31 @@ def grade_choice(df: DataFrame) -> dict[str, Column]:
     return {"TRUE_FALSE": (crit("TRUE_FALSE", tf_ok), tf_err), "MULTIPLE_CHOICE": (crit("MULTIPLE_CHOICE", mc_ok), mc_err)}
 
 
-def _formula_matches(i: int) -> Column:
-    """Whether the answer's formula number ``i`` is the expected one, exactly or equivalently."""
-    given, want = FM.canonical_formula(F.try_element_at("formulas", F.lit(i))), FM.canonical_formula(F.col("expected_formula"))
-    return F.coalesce((given == want) | (FM.product_key(given) == FM.product_key(want)) | (FM.member_key(given) == FM.member_key(want)), F.lit(False))
+SHOWN = ("FORMULA", "NUMERICAL", "MULTI_STEP")
+
+
+def with_formula_matches(a: DataFrame) -> DataFrame:
+    """``formula_ok``: for each of an answer's first three formulas, whether it is the expected one, exactly or equivalently.
+
+    Keys are computed once per formula, and only for the types whose rubric looks at formulas; an exact match needs no keys.
+    """
+    shown = F.col("type").isin(*SHOWN) & (F.size("formulas") > 0)
+    given = F.transform(F.slice("formulas", 1, 3), FM.canonical_formula)
+    a = a.withColumn("_given", F.when(shown, given)).withColumn("_want", F.when(shown, FM.canonical_formula(F.col("expected_formula"))))
+    # the expected formula's keys are needed only where some formula shown differs from it
+    differs = F.exists("_given", lambda g: ~F.coalesce(g == F.col("_want"), F.lit(False)))
+    a = a.withColumn("_keys", F.when(differs, F.transform(F.array("_want"), FM.equivalence_keys)[0]))
+
+    def matches(g: Column) -> Column:
+        same = lambda k: (k["product"] == F.col("_keys.product")) | (k["member"] == F.col("_keys.member"))
+        return F.when(g == F.col("_want"), True).otherwise(F.coalesce(F.exists(F.array(FM.equivalence_keys(g)), same), F.lit(False)))
+    ok = F.when(shown, F.transform("_given", matches)).otherwise(F.array().cast("array<boolean>"))
+    return a.withColumn("formula_ok", ok).drop("_given", "_want", "_keys")
 
 
 def grade_formula(df: DataFrame) -> tuple[Column, Column]:
     """Exact or equivalent to the question's canonical formula."""
-    ok, none, zero = _formula_matches(1), F.size("formulas") == 0, F.lit(0.0)
+    ok, none, zero = F.coalesce(F.try_element_at("formula_ok", F.lit(1)), F.lit(False)), F.size("formulas") == 0, F.lit(0.0)
     crit = _criteria("FORMULA", [("formula", F.when(ok, 1.0).otherwise(0.0)), ("variables", zero), ("conditions", zero)], False)
     return crit, codes([(none, "INCOMPLETE_ANSWER"), (~none & ~ok, "FORMULA_ERROR")])
 
@@ -77,7 +93,7 @@ def grade_numeric(df: DataFrame, compat: bool) -> tuple[Column, Column]:
     unit_bad = (exp != "") & ~unit_ok
     u = first_true([(exp == "", 0.5), (unit_ok, 1.0)], 0.0)
     # a formula is optional; of the first three, one that is right is enough
-    shown, right = F.size("formulas") > 0, _formula_matches(1) | _formula_matches(2) | _formula_matches(3)
+    shown, right = F.size("formulas") > 0, F.exists("formula_ok", lambda ok: ok)
     formula = F.when(~shown, 0.5).when(right, 1.0).otherwise(0.0)
     crit = _criteria("NUMERICAL", [
         ("formula", formula), ("variables", F.lit(0.5)), ("calculation", val(1.0, 0.2, 0.8, 0.0)),
@@ -105,6 +121,7 @@ def grade_answers(answers: DataFrame, compat: bool = False) -> DataFrame:
     expected_unit and required_concepts beside the answer's own key columns.
     """
     a = U.split_units(U.split_units(T.analyze_answer(answers, "answer"), "unit", "unit_"), "expected_unit", "expected_")
+    a = with_formula_matches(a)
     by_type = {**grade_choice(a), "FORMULA": grade_formula(a), "NUMERICAL": grade_numeric(a, compat)}
     by_type["MULTI_STEP"] = by_type["NUMERICAL"]
     other = grade_open(a, compat)
