@@ -38,7 +38,7 @@ SLICE = 4 << 20
 class AgingMemo(Memo):
     """A memory of two generations: at half the limit the young become old and the old go, so that words in use stay."""
 
-    def __init__(self, make: Callable, limit: int = 500_000, longest: int = 48):
+    def __init__(self, make: Callable, limit: int = 120_000, longest: int = 48):
         super().__init__(make, limit, longest)
         self.old: dict = {}
 
