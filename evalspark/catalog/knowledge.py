@@ -71,11 +71,30 @@ def _(spark, d):
     return FO.formula_recall(fx.formulas(spark, d))
 
 
-@query("a13_examinability", "SELECT topic, 'numerical' AS eligible, count(*) AS n, 1.0 AS share FROM formulas GROUP BY 1", "formulas")
+cte("assessable", r"""SELECT equation_id, topic, CASE part % 8 WHEN 0 THEN '$)$' WHEN 1 THEN '$R_a$' WHEN 2 THEN '$R_b$' WHEN 3 THEN '$y = \int ' || symbol || '$' ELSE expression END AS expression,
+  CASE WHEN part % 8 = 2 THEN '' WHEN part % 8 = 6 THEN NULL ELSE section END AS section, CASE WHEN part % 3 = 0 THEN [] ELSE [symbol] END AS variables FROM formulas""", "formulas")
+cte("assessed", r"""SELECT *, regexp_matches(regexp_replace(expression, '\\[a-zA-Z]+', 'X', 'g'), '[a-zA-Z0-9]') AS filled, regexp_matches(expression, '=.*[-+*/]') AND NOT contains(expression, '\int') AS num,
+  contains(expression, '=') AS eq, COALESCE(section, '') <> '' AS sec FROM assessable""", "assessable")
+
+
+def _assessable(spark, d):
+    k = F.col("part") % 8
+    odd = F.when(k == 0, "$)$").when(k == 1, "$R_a$").when(k == 2, "$R_b$").when(k == 3, F.concat(F.lit("$y = \\int "), "symbol", F.lit("$"))).otherwise(F.col("expression"))
+    return fx.formulas(spark, d).select("equation_id", "topic", odd.alias("expression"), F.when(k == 2, "").when(k != 6, F.col("section")).alias("section"),
+                                        F.when(F.col("part") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("symbol")).alias("variables"))
+
+
+@query("a13_examinability", """SELECT equation_id, CASE WHEN NOT filled THEN NULL WHEN num THEN 'numerical' WHEN eq THEN 'formula-mcq' WHEN sec THEN 'true-false' END AS eligible,
+   CASE WHEN NOT filled THEN 'degenerate_expression' WHEN NOT num AND NOT eq AND NOT sec THEN 'no_section_context' END AS reason FROM assessed""", "assessed")
+def _(spark, d):
+    return IT.examinability(_assessable(spark, d)).select("equation_id", "eligible", "reason")
+
+
+@query("a13_completeness", """SELECT *, round(eligible / total, 4) AS coverage, round(with_variables / total, 4) AS variables_pct, round(with_section / total, 4) AS context_pct FROM (
+   SELECT topic, count(*) AS total, count(*) FILTER (filled AND (num OR eq OR sec)) AS eligible, count(*) FILTER (NOT filled) AS degenerate_expression, count(*) FILTER (filled AND NOT num AND NOT eq AND NOT sec) AS no_section_context,
+   count(*) FILTER (len(variables) > 0) AS with_variables, count(*) FILTER (sec) AS with_section FROM assessed GROUP BY topic)""", "assessed")
 def _(spark, d):
-    e = IT.examinability(fx.formulas(spark, d))
-    total = e.groupBy("topic").agg(F.count(F.lit(1)).alias("t"))
-    return e.groupBy("topic", "eligible").agg(F.count(F.lit(1)).alias("n")).join(total, "topic").select("topic", "eligible", "n", F.round(F.col("n") / F.col("t"), 4).alias("share"))
+    return IT.examinability_report(IT.examinability(_assessable(spark, d)), "topic")
 
 
 # ---- grounding: claims of assistant turns against the user turns of the same conversation ----

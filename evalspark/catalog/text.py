@@ -55,6 +55,33 @@ def _(spark, d):
     return c.select("chunk_id", F.posexplode(T.pack_chunks(F.col("b"))).alias("pos", "text"))
 
 
+_JOINED = _PACK.replace("' '", "chr(3)")  # blocks of a piece stay apart
+cte("typed_lines", """SELECT chunk_id AS doc_id, pos // 40 AS section, pos, text, CASE (chunk_id + pos) % 6 WHEN 0 THEN 'table' WHEN 3 THEN 'box' WHEN 4 THEN 'list' ELSE 'paragraph' END AS kind FROM sections""", "sections")
+cte("typed_runs", "SELECT *, kind IN ('table', 'box') AS typed, count(*) FILTER (kind IN ('table', 'box')) OVER (PARTITION BY doc_id, section ORDER BY pos) AS run FROM typed_lines", "typed_lines")
+cte("typed_groups", f"""SELECT doc_id, section, kind, pos, [pos] AS held, text FROM typed_runs WHERE typed
+  UNION ALL SELECT doc_id, section, 'paragraph', ps[start + 1], ps[start + 1:start + n], replace(piece, chr(3), ' ') FROM (SELECT *, COALESCE(sum(n) OVER (PARTITION BY doc_id, section, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+   FROM (SELECT doc_id, section, run, ps, k, pieces[k] AS piece, len(string_split(pieces[k], chr(3))) AS n FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS k FROM (
+    SELECT doc_id, section, run, list(pos ORDER BY pos) AS ps, {_JOINED.format('list(text ORDER BY pos)')} AS pieces FROM typed_runs WHERE NOT typed GROUP BY 1, 2, 3))))""", "typed_runs")
+cte("typed_pieces", f"""SELECT doc_id, section, kind, pos, held, i, ps[i] AS text, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos, i) - 1 AS chunk_no FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (
+  SELECT *, CASE WHEN kind = 'paragraph' AND length(text) > 1500 THEN {_PACK.format(_SENT.format('text'))} ELSE [text] END AS ps FROM typed_groups))""", "typed_groups")
+
+
+@query("t3_typed_chunks", """SELECT doc_id, section, CAST(chunk_no AS INTEGER) AS chunk_no, CASE kind WHEN 'table' THEN 'table' WHEN 'box' THEN 'definition' ELSE 'explanation' END AS content_type,
+  text || CASE kind WHEN 'table' THEN '' WHEN 'box' THEN array_to_string(list_transform(own, lambda p: chr(10) || '$x_' || p || '$'), '') ELSE array_to_string(list_transform(loose, lambda p: chr(10) || '$s_' || p || '$')
+   || list_transform(own, lambda p: chr(10) || '$x_' || p || '$'), '') END AS text, array_to_string(list_transform(loose, lambda p: 'st-' || p) || list_transform(own, lambda p: 'eq-' || p), ',') AS formula_ids
+  FROM (SELECT *, CASE WHEN i = 1 THEN list_filter(held, lambda p: p % 5 = 1) ELSE [] END AS own, CASE WHEN chunk_no = 0 AND section % 2 = 0 THEN [section] ELSE [] END AS loose FROM typed_pieces)""", "typed_pieces")
+def _(spark, d):
+    from evalspark.operators.chunks import FORMULAS, pack_typed
+    at = F.pmod(F.col("chunk_id") + F.col("pos"), F.lit(6))
+    one = lambda mark, sign, n: F.array(F.struct(F.concat(F.lit(mark), n.cast("string")).alias("id"), F.concat(F.lit(sign), n.cast("string"), F.lit("$")).alias("expression")))
+    b = fx.sections(spark, d).select(
+        F.col("chunk_id").alias("doc_id"), F.expr("pos div 40").cast("int").alias("section"), "pos", fx.lookup(at, {0: "table", 3: "box", 4: "list"}, "paragraph").alias("kind"),
+        fx.lookup(at, {0: "table", 3: "definition"}, "explanation").alias("content_type"), "text",
+        F.when(F.col("pos") % 5 == 1, one("eq-", "$x_", F.col("pos"))).otherwise(F.array().cast(FORMULAS)).alias("formulas"))
+    loose = b.select("doc_id", "section").distinct().filter("section % 2 = 0").withColumn("formulas", one("st-", "$s_", F.col("section")))
+    return pack_typed(b, loose).withColumn("formula_ids", F.array_join("formula_ids", ","))
+
+
 @query("t4_block_content_type", f"""SELECT page_id, kind, box, count(*) AS n, CASE WHEN kind = 'box' THEN COALESCE({sql_case('box', X.BOX_TYPES)}, 'explanation')
    WHEN kind = 'table' THEN 'table' WHEN kind = 'figure' THEN 'image_context' WHEN kind = 'code' THEN 'example' WHEN kind = 'heading3' THEN 'concept' ELSE 'explanation' END AS content_type
   FROM (SELECT page_id, CASE tag WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'list' WHEN 'h1' THEN 'heading3' WHEN 'div' THEN 'box' WHEN 'nav' THEN 'figure' WHEN 'article' THEN 'code'

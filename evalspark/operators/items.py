@@ -1,7 +1,7 @@
 """Item generation, validation and de-duplication."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.functions import text as T
 from evalspark.functions.columns import codes
@@ -104,8 +104,52 @@ def dedupe_items(items: DataFrame) -> DataFrame:
     return first_wins(items, ["fingerprint"], "question_id")
 
 
+#: Functions that a calculation may use, commands that only set type, and constructions that give no number.
+FUNCTIONS = ("sqrt", "log", "ln", "exp", "sin", "cos", "tan", "abs", "pi")
+TYPESET = ("mathrm", "text", "mathbf")
+NOT_NUMERIC = ("int", "sum", "prod", "lim", "infty", "partial", "approx", "pm", "mp", "leq", "geq", "neq")
+
+
+def _computable(body: Column) -> Column:
+    """Whether the right side can be computed: known functions, isolated symbols (no bare e), and at least one operation."""
+    t = F.regexp_replace(body, r"\\cdot|\\times|\\,", "*")
+    t = F.regexp_replace(t, r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "($1)/($2)")
+    t = F.regexp_replace(F.regexp_replace(t, r"\\sqrt(?:\[\d+\])?\{([^{}]+)\}", "sqrt($1)"), r"\\(?:left|right)\b", "")
+    t = F.regexp_replace(t, rf"\\(?:{'|'.join(TYPESET)})\{{([^{{}}]+)\}}", "$1")
+    right = F.regexp_replace(t, r"^[^=]*=", "")
+    rest = F.regexp_replace(right, rf"\\?\b(?:{'|'.join(FUNCTIONS)})\b", "()")
+    rest = F.regexp_replace(rest, r"[A-Za-z]_(?:\{[^}]*\}|[A-Za-z0-9])", "1")
+    rest = F.regexp_replace(rest, r"\^\{([^{}]*)\}", "*($1)")
+    known = ~rest.rlike(r"[A-Za-z]{2,}|[\\{}=]") & ~rest.rlike(r"(?<![A-Za-z0-9_])e(?![A-Za-z0-9_(])")
+    return ~t.rlike(rf"\\(?:{'|'.join(NOT_NUMERIC)})") & known & rest.rlike(r"[-+*/%()^]")
+
+
+def _has_variants(body: Column) -> Column:
+    """Whether a wrong variant can be made: of an equation, by two symbols that change places, or by a numbered subscript."""
+    symbols = F.array_distinct(F.regexp_extract_all(body, F.lit(r"[A-Za-z](?:_\{[^}]*\}|_[A-Za-z0-9])?"), F.lit(0)))
+    return body.contains("=") | (F.size(symbols) >= 2) | F.exists(symbols, lambda s: s.rlike(r"_(?:\{\d+\}|\d)$"))
+
+
 def examinability(formulas: DataFrame) -> DataFrame:
-    """Which kind of item a formula allows, or why none."""
-    body = F.regexp_replace(F.trim("expression"), r"^\$(.*)\$$", "$1")
-    one = F.size(F.split(body, "=")) == 2
-    return formulas.select("equation_id", "topic", F.when(~one, "no_equation").when(body.rlike("[-+*/]"), "numerical").otherwise("no_operation").alias("eligible"))
+    """Which kind of item a formula allows (numerical, formula-mcq, true-false), or the reason why none.
+
+    formulas: equation_id, expression, section, variables and any other columns, which pass through. A null or empty expression
+    and one of signs alone are degenerate; a symbol alone is no calculation; without a section there is nothing to state.
+    """
+    body = F.regexp_replace(F.trim(F.coalesce("expression", F.lit(""))), r"^\$(.*)\$$", "$1")
+    bare = ~F.regexp_replace(body, r"\\[a-zA-Z]+", "X").rlike(r"[\p{L}\p{Nd}]")
+    section = F.coalesce(F.trim("section") != "", F.lit(False))
+    kind = F.when(bare, None).when(_computable(body), "numerical").when(_has_variants(body), "formula-mcq").when(section, "true-false")
+    reason = F.when(bare, "degenerate_expression").otherwise("no_section_context")
+    return formulas.withColumn("eligible", kind).withColumn("reason", F.when(F.col("eligible").isNull(), reason))
+
+
+def examinability_report(assessed: DataFrame, *keys: str) -> DataFrame:
+    """Totals per ``keys``: formulas, eligible ones and their share, blocked ones by reason, and how many know their variables
+    and section. Sums only, so a frequent key is reduced before the shuffle."""
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    out = assessed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"), yes(F.col("eligible").isNotNull()).alias("eligible"), yes(F.col("reason") == "degenerate_expression").alias("degenerate_expression"),
+        yes(F.col("reason") == "no_section_context").alias("no_section_context"), yes(F.size("variables") > 0).alias("with_variables"), yes(F.trim("section") != "").alias("with_section"))
+    share = lambda c: F.coalesce(F.round(F.col(c) / F.nullif("total", F.lit(0)), 4), F.lit(0.0))
+    return out.withColumns({"coverage": share("eligible"), "variables_pct": share("with_variables"), "context_pct": share("with_section")})
