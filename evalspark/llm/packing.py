@@ -38,7 +38,7 @@ SLICE = 4 << 20
 class AgingMemo(Memo):
     """A memory of two generations: at half the limit the young become old and the old go, so that words in use stay."""
 
-    def __init__(self, make: Callable, limit: int = 500_000, longest: int = 48):
+    def __init__(self, make: Callable, limit: int = 300_000, longest: int = 48):
         super().__init__(make, limit, longest)
         self.old: dict = {}
 
@@ -61,7 +61,6 @@ class WordIds:
     def __init__(self, words: WordRules):
         self.words, self.model = words, words.tokenizer.model
         self.pieces = AgingMemo(self.piece)
-        self.memo = AgingMemo(self.word)
 
     def piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece)]
@@ -76,15 +75,14 @@ class WordIds:
         return b"".join([p.to_bytes(4, "little") if isinstance(p, int) else self.pieces[p] for p in self.words.pieces(word)])
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.words.words(text)))
-
+        return b"".join(map(self.word, self.words.words(text)))
 
     def column(self, texts: pa.Array, end: bytes) -> pa.Array:
         """The ids of each text and ``end``. Each distinct word is looked up once; Arrow puts the texts together again. Other
         white space than ASCII's stays in a word, which the library's rules then split."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         words = split.flatten().dictionary_encode()
-        known = pa.array([*map(self.memo.__getitem__, words.dictionary.to_pylist()), end], pa.binary())
+        known = pa.array([*map(self.word, words.dictionary.to_pylist()), end], pa.binary())
         ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
         order = np.insert(words.indices.to_numpy(), ends, len(known) - 1)
         ids = known.take(pa.array(order))
@@ -114,6 +112,8 @@ def token_bytes(text: Column, path: str, end_id: int = 0) -> Column:
         for texts in batches:
             parts = [w.column(texts.slice(a, b - a), end) for a, b in _slices(texts)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+            # a worker that waits for its next task holds no freed memory
+            pa.default_memory_pool().release_unused()
     return run(text)
 
 
