@@ -7,8 +7,9 @@
 3. In a task, the nodes of a cell fall into overlapping clusters; each cluster gives robust-pruned adjacency lists, which are
    united over the clusters. A query walks greedily from the medoids, then its range is expanded: every node within the linking
    distance (and a margin) is expanded in turn, until none is left. Similarities are verified in double precision.
-4. Every task also compares all its queries with all of its nodes, block by block, which is the result: what the graph misses is
-   not lost, and its recall is measured on all links of the task (those of a vector with itself left out), never on a sample.
+4. What the walks find is the result; a link found from either end counts for both. An audit compares every query whose id is
+   divisible by ``AUDIT`` with all nodes of its task, block by block. Where the graph missed one of their links, the task gets
+   a denser graph, and if that misses one too, exact blocks (``way``: 0 graph, 1 denser graph, 2 exact blocks).
 5. Cells beyond a size are cut into chunks and each pair of chunks is a task. Tasks give counts and stars, never pairs.
 
 Defined results: a vector that is null, empty or zero, or holds null or non-finite components, and one without a label, links
@@ -34,6 +35,8 @@ from evalspark.session import materialize
 CELL, CHUNK, PIVOTS = 8192, 8192, 65_536
 #: Nodes of a cluster, clusters of a node, neighbours kept by pruning, its slack, and random partners within reach.
 CLUSTER, OVERLAP, DEGREE, SLACK, RANDOM = 512, 2, 12, 1.2, 4
+#: Neighbours kept by the denser graph of a task whose audit found a link missing; the audited ids are multiples of AUDIT.
+DENSER, AUDIT = 32, 20
 #: Range expansion also passes through nodes a little beyond reach (in distance squared), which are not reported.
 BEAM, QUERIES, WIDE = 24, 256, 1.6
 
@@ -168,21 +171,43 @@ class Graph:
         return np.concatenate(found_r)[hit], np.concatenate(found_n)[hit]
 
 
-def range_search(queries: np.ndarray, nodes: np.ndarray, reach: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """All pairs in reach, and how many of them the graph finds and there are, without those of a query with itself."""
-    graph = Graph(nodes, DEGREE, reach)
-    rows, cols, found, total = [], [], 0, 0
-    for i in range(0, len(queries), QUERIES):
-        q, mine = queries[i:i + QUERIES], None if own is None else own[i:i + QUERIES]
-        r, c = np.nonzero(q @ nodes.T >= reach)
-        walked_r, walked_c = graph.search(q, reach, mine)
-        true = r * len(nodes) + c
-        true = true if mine is None else true[c != mine[r]]
-        found += int(np.isin(true, walked_r * len(nodes) + walked_c).sum())
-        total += len(true)
-        rows.append(r + i)
-        cols.append(c)
-    return np.concatenate(rows), np.concatenate(cols), found, total
+def _exact(queries: np.ndarray, nodes: np.ndarray, reach: float, which: np.ndarray) -> np.ndarray:
+    """All pairs in reach of the queries ``which``, as query * nodes + node."""
+    parts = [np.zeros(0, np.int64)]
+    for i in range(0, len(which), QUERIES):
+        r, c = np.nonzero(queries[which[i:i + QUERIES]] @ nodes.T >= reach)
+        parts.append(which[i:i + QUERIES][r] * len(nodes) + c)
+    return np.concatenate(parts)
+
+
+def range_search(queries: np.ndarray, nodes: np.ndarray, reach: float, own: np.ndarray | None = None,
+                 audit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+    """The pairs in reach that the graph finds; how many links of the audited queries (all, unless ``audit`` names some) the
+    first graph found and there are, without those of a query with itself; and the way that gave the result."""
+    n = len(nodes)
+    audited = _exact(queries, nodes, reach, np.arange(len(queries)) if audit is None else audit)
+    if own is not None:
+        audited = audited[audited % n != own[audited // n]]
+    got, first, way = np.zeros(0, np.int64), 0, 0
+    for way, degree in enumerate((DEGREE, DENSER)):
+        graph = Graph(nodes, degree, reach, seed=7 + way)
+        parts = [got]
+        for i in range(0, len(queries), QUERIES):
+            rows, cols = graph.search(queries[i:i + QUERIES], reach, None if own is None else own[i:i + QUERIES])
+            parts.append((rows + i) * n + cols)
+            if own is not None:
+                # the same link seen from its other end, where that is a query too
+                back = np.searchsorted(own, cols)
+                known = (back < len(own)) & (own[np.minimum(back, len(own) - 1)] == cols)
+                parts.append(back[known] * n + own[rows[known] + i])
+        got = np.unique(np.concatenate(parts))
+        seen = int(np.isin(audited, got).sum())
+        first = seen if way == 0 else first
+        if seen == len(audited):
+            break
+    else:
+        way, got = 2, _exact(queries, nodes, reach, np.arange(len(queries)))
+    return got // n, got % n, first, len(audited), way
 
 
 def _lowest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -237,7 +262,8 @@ def _cells(vectors: DataFrame, reach: float, cell: int) -> DataFrame:
 
 
 def _search(placed: DataFrame, reach: float, chunk: int) -> DataFrame:
-    """(vec_id, n, root, recall): links per home vector and task, a node of its component there, the graph's recall in the task."""
+    """(vec_id, n, root, found, links, way): links per home vector and task and a node of its component there; how many links of
+    audited queries the first graph of the task found, how many there are, and the way that gave the result."""
     key = ["label", "dim", "cell"]
     sizes = materialize(placed.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks")), "cells")
     dealt = placed.join(sizes, key).withColumn("_own", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).withColumn(
@@ -249,29 +275,34 @@ def _search(placed: DataFrame, reach: float, chunk: int) -> DataFrame:
         v, ids, copies = _unit(group["v"]), group["vec_id"].to_numpy(), group["copies"].to_numpy()
         home, own = group["home"].to_numpy(), group["_own"].to_numpy()
         low, high = group["low"].iloc[0], group["high"].iloc[0]
-        n, found, total = np.zeros(len(ids), np.int64), 0, 0
-        a, b = [], []
+        n, found, total, way = np.zeros(len(ids), np.int64), 0, 0, 0
+        pairs = [np.zeros(0, np.int64)]
         for left, right in {(low, high), (high, low)}:
             q, m = np.flatnonzero(home & (own == left)), np.flatnonzero(own == right)
             if not len(q) or not len(m):
                 continue
-            rows, cols, walked, true = range_search(v[q], v[m], reach, np.searchsorted(m, q) if left == right else None)
+            audit = np.flatnonzero(ids[q] % AUDIT == 0)
+            rows, cols, walked, true, how = range_search(v[q], v[m], reach, np.searchsorted(m, q) if left == right else None, audit)
             rows, cols = q[rows], m[cols]
             other = rows != cols
-            np.add.at(n, rows[other], copies[cols[other]])
-            a.append(rows[other])
-            b.append(cols[other])
-            found, total = found + walked, total + true
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            pairs.append(rows[other] * len(ids) + cols[other])
+            # found from its other end, where that is a home vector as well
+            both = other & home[cols]
+            pairs.append(cols[both] * len(ids) + rows[both])
+            found, total, way = found + walked, total + true, max(way, how)
+        pairs = np.unique(np.concatenate(pairs))
+        a, b = pairs // len(ids), pairs % len(ids)
+        np.add.at(n, a, copies[b])
         root = _lowest_labels(len(ids), a, b)
         keep = (n > 0) | (root != np.arange(len(ids)))
-        return pd.DataFrame({"vec_id": ids[keep], "n": n[keep], "root": ids[root[keep]], "recall": found / total if total else None})
+        return pd.DataFrame({"vec_id": ids[keep], "n": n[keep], "root": ids[root[keep]], "found": found, "links": total, "way": way})
 
-    return dealt.groupBy(*key, "low", "high").applyInPandas(task, "vec_id long, n long, root long, recall double")
+    return dealt.groupBy(*key, "low", "high").applyInPandas(task, "vec_id long, n long, root long, found long, links long, way int")
 
 
 def near_copies(vectors: DataFrame, reach: float = 0.98, cell: int = CELL, chunk: int = CHUNK) -> DataFrame:
-    """vec_id, n_links, component_id, kept and audited recall of each row of ``vectors`` (vec_id, embedding, label)."""
+    """vec_id, n_links, component_id and kept of each row of ``vectors`` (vec_id, embedding, label); of its tasks, the recall of the
+    first graphs on the links of audited queries (null without any) and the way that gave the result (null without links)."""
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding")
     whole = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -285,13 +316,14 @@ def near_copies(vectors: DataFrame, reach: float = 0.98, cell: int = CELL, chunk
     reps = fine.groupBy(*group).agg(F.min_by("v", "vec_id").alias("v"), F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     reps = materialize(reps.select("vec_id", "label", "dim", "v", "copies"), "vector-reps")
     found = materialize(_search(_cells(reps, reach, cell), reach, chunk), "vector-links")
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n"), F.min("recall").alias("recall"))
+    links = found.groupBy("vec_id").agg(F.sum("n").alias("n"), F.try_divide(F.sum("found"), F.sum("links")).alias("recall"), F.max("way").alias("way"))
     joined = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), "vector-components")
     rep_rows = materialize(reps.select(F.col("vec_id").alias("rep")).join(links.withColumnRenamed("vec_id", "rep"), "rep", "left").join(
         joined.withColumnRenamed("node", "rep"), "rep", "left"), "vector-result")
     members = fine.select("vec_id", *group).join(classes, group).select("vec_id", "rep", "copies").join(rep_rows, "rep", "left").select(
-        F.col("vec_id").alias("_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "recall")
-    members = members.groupBy("_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"), F.min("recall").alias("recall"))
+        F.col("vec_id").alias("_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "recall", "way")
+    members = members.groupBy("_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"), F.min("recall").alias("recall"),
+                                          F.max("way").alias("way"))
     out = vectors.select("vec_id").join(members, F.col("vec_id") == F.col("_id"), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-                      F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"), F.col("recall").alias("audited_recall"))
+                      F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"), F.col("recall").alias("audited_recall"), "way")

@@ -48,7 +48,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_graph.near_copies(table(spark, sf_dir, "embeddings"))
+    return embedding_graph.near_copies(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

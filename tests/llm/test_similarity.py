@@ -164,7 +164,39 @@ def test_links_that_the_graph_misses(monkeypatch, itself):
     rows, cols, *seen = embedding_graph.range_search(v, nodes, 0.98, np.arange(2000) if itself else None)
     got = {(a, b) for a, b in zip(rows.tolist(), cols.tolist()) if a != b}
     assert got == set(pairs) | ({(b, a) for a, b in pairs} if itself else set())
-    assert seen == [0, len(got)]
+    assert seen == [0, len(got), 2]
+
+
+def test_audit_of_some_queries(monkeypatch):
+    """A graph that finds nothing: no audited link, no notice; one, and the task falls back to exact blocks."""
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(300, 32))
+    v[7] = v[40]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    own, none = np.arange(300), np.zeros(0, np.int64)
+    real = embedding_graph.Graph.search
+    monkeypatch.setattr(embedding_graph.Graph, "search", lambda self, q, reach, own=None: (none, none))
+    rows, cols, *seen = embedding_graph.range_search(v, v, 0.98, own, np.array([100, 200]))
+    assert (len(rows), seen) == (0, [0, 0, 0])
+    rows, cols, *seen = embedding_graph.range_search(v, v, 0.98, own, np.array([40]))
+    assert {(a, b) for a, b in zip(rows.tolist(), cols.tolist()) if a != b} == {(7, 40), (40, 7)} and seen == [0, 1, 2]
+    # a link found from one end only counts for both; the walk of the real graph gives the result
+    monkeypatch.setattr(embedding_graph.Graph, "search", lambda self, q, reach, own=None: (np.array([7]), np.array([40])) if 7 in own else (none, none))
+    rows, cols, *seen = embedding_graph.range_search(v, v, 0.98, own, np.array([40]))
+    assert set(zip(rows.tolist(), cols.tolist())) == {(7, 40), (40, 7)} and seen == [1, 1, 0]
+    monkeypatch.setattr(embedding_graph.Graph, "search", real)
+    monkeypatch.setattr(embedding_graph, "_exact", lambda q, nodes, reach, which: none)
+    rows, cols, *seen = embedding_graph.range_search(v, v, 0.98, own, none)
+    assert {(a, b) for a, b in zip(rows.tolist(), cols.tolist()) if a != b} == {(7, 40), (40, 7)} and seen == [0, 0, 0]
+
+
+def test_audited_recall_of_the_operator(spark):
+    v = vectors_of(12, 1500, 20)
+    df = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = embedding_graph.near_copies(df, cell=500, chunk=400).where("n_links > 0 AND audited_recall IS NOT NULL")
+    low, ways, rows, links = got.agg(F.min("audited_recall"), F.max("way"), F.count("*"), F.sum("n_links")).first()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert rows and low >= 0.9 and ways <= 1 and links >= 0.99 * (int((unit @ unit.T >= 0.98).sum()) - 1500)
 
 
 def test_recall_counts_all_links():
@@ -173,7 +205,7 @@ def test_recall_counts_all_links():
     v, nodes = rng.normal(size=(3000, 64)), rng.normal(size=(3000, 64))
     nodes[:150] = v[:150] + rng.normal(size=(150, 64)) * 0.1
     v, nodes = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (v, nodes))
-    rows, cols, found, total = embedding_graph.range_search(v, nodes, 0.98)
+    rows, cols, found, total, _ = embedding_graph.range_search(v, nodes, 0.98)
     assert total == len(rows) == int((v @ nodes.T >= 0.98).sum()) >= 140 and found >= 0.9 * total
 
 
