@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from evalspark.catalog.base import TOKEN, cte, query
 from evalspark.catalog.text import SQL_NORM, SQL_STEMS, SQL_STOP, SQL_TERMS, q
 from evalspark.functions import lexicon as X, text as T
-from evalspark.operators import dedup as D, index as I, metrics as M, ranking as R, search as S
+from evalspark.operators import dedup as D, embedding as EM, index as I, metrics as M, ranking as R, search as S
 from evalspark.plans import retrieval as PL
 from evalspark.sources import fixtures as fx
 
@@ -192,6 +192,41 @@ def _(spark, d):
     return S.dense_search(v, S.centroids(v), 20)
 
 
+def _words(key, text, source):
+    return f"SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '{TOKEN}')) AS term FROM {source}"
+
+
+def _weights(key, text, source):
+    return f"SELECT id, term, round((1.0 + ln(c)) * idf, 6) AS x FROM (SELECT id, term, count(*) AS c FROM ({_words(key, text, source)}) GROUP BY 1, 2) JOIN ix_terms USING (term)"
+
+
+def _places(key, text, source):
+    return f"""SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS term, CAST(sum(1 - 2 * (CAST('0x' || substr(md5(term), 9, 1) AS BIGINT) % 2)) AS DOUBLE) AS x
+  FROM ({_words(key, text, source)}) GROUP BY 1, 2"""
+
+
+for _name, _form in (("tfidf", _weights), ("hashed", _places)):
+    cte(f"em_{_name}_items", _form("chunk_id", "text", "chunks"), "chunks", "ix_terms")
+    cte(f"em_{_name}_queries", _form("query_id", "query", "queries"), "queries", "ix_terms")
+    # a dense vector is compared with all others, those without a common place included
+    cte(f"em_{_name}_norms", f"SELECT id, sqrt(sum(x * x)) AS n FROM em_{_name}_items GROUP BY 1 HAVING sum(x * x) > 0", f"em_{_name}_items")
+    cte(f"em_{_name}_qnorms", f"SELECT id, sqrt(sum(x * x)) AS n FROM em_{_name}_queries GROUP BY 1 HAVING sum(x * x) > 0", f"em_{_name}_queries")
+    cte(f"em_{_name}", f"""SELECT '{_name}' AS provider, query_id, item_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS rank FROM (
+  SELECT a.id AS query_id, b.id AS item_id, round(coalesce(dot, 0) / (a.n * b.n), 6) AS cosine FROM em_{_name}_qnorms a, em_{_name}_norms b
+  {'LEFT ' if _name == 'hashed' else ''}JOIN (SELECT q.id AS qid, i.id AS iid, sum(q.x * i.x) AS dot FROM em_{_name}_queries q JOIN em_{_name}_items i USING (term) GROUP BY 1, 2) ON qid = a.id AND iid = b.id)
+  QUALIFY rank <= 20""", f"em_{_name}_norms", f"em_{_name}_qnorms")
+
+
+@query("k2_embed_search", "SELECT * FROM em_tfidf UNION ALL SELECT * FROM em_hashed", "em_tfidf", "em_hashed")
+def _(spark, d):
+    ix, found = I.build_index(chunks(spark, d)), None
+    for provider in (EM.TfidfProvider(ix), EM.HashedProvider()):
+        items, asked = EM.embed(ix.chunks, provider, "chunk_id"), EM.embed(fx.queries(spark, d), provider, "query_id", "query")
+        part = EM.similar(items, asked, 20).select(F.lit(provider.name).alias("provider"), "query_id", "item_id", "cosine", "rank")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 cte("lex", _lex("q_texts"), "q_texts", "fx_fts", "fx_idf", "fx_avg", "chunks")
 cte("sem", _sem("q_texts"), "q_texts", "ix_postings", "ix_norms", "ix_terms")
 cte("fused", "SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS rrf FROM (SELECT query_id, chunk_id, rank FROM lex UNION ALL SELECT query_id, chunk_id, rank FROM sem) GROUP BY 1, 2", "lex", "sem")

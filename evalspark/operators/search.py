@@ -1,7 +1,10 @@
 """Query expansion and the search branches, for all queries at once."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as ST
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evalspark.functions import text as T
 from evalspark.operators.index import B, K1, Index
@@ -123,21 +126,49 @@ def centroids(vectors: DataFrame) -> DataFrame:
         "label", F.col("c.x").alias("center"))
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
+def _best_of_block(k: int):
+    def best(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        v = vectors.sort_by("vec_id")
+        keys, labels = v["vec_id"].combine_chunks(), queries["label"].combine_chunks()
+        unit = []
+        for t in (v["vec"], queries["center"]):
+            m = t.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+            unit.append(m / np.linalg.norm(m, axis=1, keepdims=True))
+        # equal cosines stay in the order of ids
+        cos = np.round(unit[1] @ unit[0].T, 6) + 0.0
+        order = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(labels)), order.shape[1])
+        return pa.table({"label": labels.take(pa.array(rows)), "vec_id": keys.take(pa.array(order.ravel())), "cosine": cos[rows, order.ravel()]})
+    return best
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512, chunk: int = 8192) -> DataFrame:
     """Exact cosine top-k of dense vectors (id, vec) for query vectors (label, center), however many.
 
-    Queries travel in blocks of ``block``: a row meets each block once and keeps the best k per query of its partition before
-    anything is shuffled.
+    Vectors are dealt into chunks and queries into blocks, by their content; a chunk meets a block in one task of bounded size, which
+    keeps the best k of each query. Vectors that are null, empty or zero, or hold null or non-finite components are not compared, nor
+    are vectors of unequal length.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                                   lambda s, x: s + x)
-    n = F.ceil(queries.agg(F.count(F.lit(1))).scalar() / block).cast("int")
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("label"), F.greatest(n, F.lit(1))))
-    blocks = dealt.groupBy("_block").agg(F.collect_list(F.struct("label", "center")).alias("qs")).select("qs")
-    v = vectors.select(F.col("id").alias("vec_id"), "vec").crossJoin(blocks).select("vec_id", "vec", F.explode("qs").alias("q"))
-    cos = F.round(dot("vec", "q.center") / F.sqrt(dot("vec", "vec") * dot("q.center", "q.center")), 6)
-    return top_rows(v.select(F.col("q.label").alias("label"), "vec_id", cos.alias("cosine")), ["label"],
-                    [F.desc("cosine"), F.asc("vec_id")], k)
+    def sound(df: DataFrame, key: str, vec: str, size: int, place: str) -> tuple[DataFrame, Column]:
+        rows = df.select(key, F.transform(vec, lambda x: x.cast("double")).alias(vec)).where(
+            F.exists(vec, lambda x: x != 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+        n = F.greatest(F.ceil(rows.agg(F.count(F.lit(1))).scalar() / size).cast("int"), F.lit(1))
+        return rows.withColumns({"dim": F.size(vec), place: F.pmod(F.xxhash64(key, vec), n).cast("int")}), n
+
+    v, chunks = sound(vectors.withColumnRenamed("id", "vec_id"), "vec_id", "vec", chunk, "chunk")
+    q, blocks = sound(queries, "label", "center", block, "block")
+    task = ["dim", "chunk", "block"]
+    v = v.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    q = q.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    out = ST.StructType([ST.StructField("label", queries.schema["label"].dataType), ST.StructField("vec_id", vectors.schema["id"].dataType), ST.StructField("cosine", ST.DoubleType())])
+    found = v.groupBy(*task).cogroup(q.groupBy(*task)).applyInArrow(_both(_best_of_block(k), out), out)
+    return top_rows(found, ["label"], [F.desc("cosine"), F.asc("vec_id")], k)
+
+
+def _both(score, out: ST.StructType):
+    """``score`` where both sides have rows, else nothing."""
+    shape = to_arrow_schema(out)
+    return lambda left, right: score(left, right).cast(shape) if len(left) and len(right) else shape.empty_table()
 
 
 def rrf_fuse(branches: list[DataFrame], k: int = P["rrf_k"]) -> DataFrame:
