@@ -1,6 +1,8 @@
 """Corpus, index and retrieval queries."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from evalspark.catalog.base import TOKEN, cte, query
@@ -8,6 +10,7 @@ from evalspark.catalog.text import SQL_NORM, SQL_STEMS, SQL_STOP, SQL_TERMS, q
 from evalspark.functions import lexicon as X, text as T
 from evalspark.operators import dedup as D, embedding as EM, index as I, metrics as M, ranking as R, search as S
 from evalspark.plans import retrieval as PL
+from evalspark.session import materialize
 from evalspark.sources import fixtures as fx
 
 
@@ -219,7 +222,8 @@ for _name, _form in (("tfidf", _weights), ("hashed", _places)):
 
 @query("k2_embed_search", "SELECT * FROM em_tfidf UNION ALL SELECT * FROM em_hashed", "em_tfidf", "em_hashed")
 def _(spark, d):
-    ix, found = I.build_index(chunks(spark, d)), None
+    ix, found = I.build_index(materialize(chunks(spark, d), "chunks")), None
+    ix = replace(ix, terms=materialize(ix.terms, "terms"))
     for provider in (EM.TfidfProvider(ix), EM.HashedProvider()):
         items, asked = EM.embed(ix.chunks, provider, "chunk_id"), EM.embed(fx.queries(spark, d), provider, "query_id", "query")
         part = EM.similar(items, asked, 20).select(F.lit(provider.name).alias("provider"), "query_id", "item_id", "cosine", "rank")
