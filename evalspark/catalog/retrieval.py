@@ -195,17 +195,17 @@ def _(spark, d):
     return S.dense_search(v, S.centroids(v), 20)
 
 
-def _words(key, text, source):
+def _tokens(key, text, source):
     return f"SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '{TOKEN}')) AS term FROM {source}"
 
 
 def _weights(key, text, source):
-    return f"SELECT id, term, round((1.0 + ln(c)) * idf, 6) AS x FROM (SELECT id, term, count(*) AS c FROM ({_words(key, text, source)}) GROUP BY 1, 2) JOIN ix_terms USING (term)"
+    return f"SELECT id, term, round((1.0 + ln(c)) * idf, 6) AS x FROM (SELECT id, term, count(*) AS c FROM ({_tokens(key, text, source)}) GROUP BY 1, 2) JOIN ix_terms USING (term)"
 
 
 def _places(key, text, source):
     return f"""SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS term, CAST(sum(1 - 2 * (CAST('0x' || substr(md5(term), 9, 1) AS BIGINT) % 2)) AS DOUBLE) AS x
-  FROM ({_words(key, text, source)}) GROUP BY 1, 2"""
+  FROM ({_tokens(key, text, source)}) GROUP BY 1, 2"""
 
 
 for _name, _form in (("tfidf", _weights), ("hashed", _places)):
