@@ -124,19 +124,31 @@ def seeded_order(seed: Column, item: Column) -> Column:
     return F.sha2(F.concat_ws("|", seed.cast("string"), item.cast("string")), 256)
 
 
-def assemble_by_type(bank: DataFrame, bp: DataFrame) -> DataFrame:
+def assemble_by_type(bank: DataFrame, bp: DataFrame, block: int = 256, deal: int = 8) -> DataFrame:
     """First ``quota`` items per requested type, in seeded order, one per fingerprint.
 
-    Items are looked up by (topic, type), so an exam meets all items of its topics and types; ``assembly`` draws them by number.
+    The order is a hash of seed and item, so an exam does meet all items of its topics and types; ``assembly`` draws them by number.
+    They meet as blocks of items, which give out the first ``quota`` of each block alone: the first items of an exam are first in their
+    blocks too, and a block holds a fingerprint once. Neither the pairs nor their hashes are shuffled.
     """
     want = bp.select("exam_id", "seed", "topics", F.explode("types").alias("type", "quota")).filter("quota > 0").select(
-        "exam_id", "seed", "type", "quota", F.explode("topics").alias("topic"))
+        "exam_id", "seed", "type", "quota", F.max("quota").over(Window.partitionBy("exam_id", "type")).alias("_most"), F.explode("topics").alias("topic"))
     one = bank.groupBy("topic", "type", "fingerprint").agg(F.min("question_id").alias("question_id"))
-    c = want.join(one, ["topic", "type"]).withColumn("_o", seeded_order(F.col("seed"), F.col("question_id")))
-    first = c.groupBy("exam_id", "type", "fingerprint").agg(F.min(F.struct("_o", "question_id", "quota")).alias("_c")).select(
+    cell = ["topic", "type"]
+    size = one.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = F.pmod(F.xxhash64("question_id", "fingerprint"), F.ceil(F.col("_n") / block).cast("long"))
+    blocks = (one.join(size, cell).withColumn("_b", dealt).groupBy(*cell, "_b")
+              .agg(F.collect_list(F.struct("question_id", "fingerprint")).alias("_items")))
+    # every part of the exams meets every block of its cells: a cell is as many keys as it has parts
+    parts = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+    met = want.withColumn("_part", F.pmod(F.xxhash64("exam_id", "seed"), F.lit(deal)).cast("int")).join(parts, [*cell, "_part"])
+    first = F.slice(F.array_sort(F.transform("_items", lambda x: F.struct(
+        seeded_order(F.col("seed"), x["question_id"]).alias("_o"), x["question_id"].alias("question_id"), x["fingerprint"].alias("fingerprint")))), 1, F.col("_most").cast("int"))
+    c = met.select("exam_id", "type", "quota", F.explode(first).alias("_c")).select("exam_id", "type", "quota", "_c.*")
+    one_each = c.groupBy("exam_id", "type", "fingerprint").agg(F.min(F.struct("_o", "question_id", "quota")).alias("_c")).select(
         "exam_id", "type", "_c.*")
     w = Window.partitionBy("exam_id", "type").orderBy("_o")
-    return (first.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= F.col("quota"))
+    return (one_each.withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= F.col("quota"))
             .select("exam_id", "type", "slot", "question_id"))
 
 

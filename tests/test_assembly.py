@@ -89,3 +89,15 @@ def test_plan_meets_no_bank(spark):
                      bp.select("exam_id", "seed", "question_count", "types", F.array().cast("array<string>").alias("demands"), F.lit(None).cast("map<int, array<string>>").alias("sections"), F.explode("topics").alias("topic")), A.CELL)
     assert drawn.count() <= exams * 2 * 3 * 4 * 12 and drawn.count() < exams * n / 10
     assert "CartesianProduct" not in drawn._jdf.queryExecution().toString() and "NestedLoop" not in drawn._jdf.queryExecution().toString()
+
+
+def test_by_type_gives_out_the_first_of_each_block(spark):
+    """Pairs of an exam and an item never leave the join as rows; blocks of any size give the same items."""
+    from evalspark.operators import exams as E
+    bank, bp = fx.item_bank(spark, SF), fx.blueprints(spark, SF)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(E.assemble_by_type(bank, bp))
+    assert want and all(rows(E.assemble_by_type(bank, bp, block, 3)) == want for block in (1, 7))
+    plan = E.assemble_by_type(bank, bp)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[:plan.rindex("Join Inner, ((") if "Join Inner, ((" in plan else 0]
+    assert "slice(array_sort(" in joined
