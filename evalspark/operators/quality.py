@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.functions import lexicon as X
 
@@ -46,3 +46,13 @@ def verify_gold(items: DataFrame, hits: DataFrame) -> DataFrame:
     j = items.join(h, "item_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return j.select("item_id", "abstain", "hits", F.when(F.col("abstain") & (F.col("hits") > 0), "PROBE_FOUND").when(
         ~F.col("abstain") & (F.col("hits") == 0), "GOLD_MISSING").otherwise("OK").alias("status"))
+
+
+def set_algebra(rows: DataFrame, in_first: Column, value: str) -> DataFrame:
+    """(set_name, n): sizes of intersection, union and difference (first without second) of the values of two sides.
+
+    A value's rows are reduced to its two sides before the shuffle, so what travels and what a task holds grows with distinct values.
+    """
+    sides = rows.groupBy(value).agg(F.max(in_first).alias("a"), F.max(~in_first).alias("b"))
+    n = sides.agg(F.count_if(F.col("a") & F.col("b")).alias("intersect"), F.count(F.lit(1)).alias("union"), F.count_if(F.col("a") & ~F.col("b")).alias("difference"))
+    return n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("set_name"), F.col(c).alias("n")) for c in ("intersect", "union", "difference")])))

@@ -207,3 +207,10 @@ def test_sessions_of_many_changes(spark):
     got = {r.session_id: (r.state, r.changes, r.valid, r.violations) for r in session_fold(spark.createDataFrame(rows, "session_id long, at int, seq int, state string")).collect()}
     assert got == {1: ("GRADED", 5, True, ""), 2: ("SUBMITTED", 10, False, "GRADED>CREATED,READY>GRADED,CREATED>SUBMITTED"), 3: ("IN_PROGRESS", 2, False, ""),
                    4: ("CREATED", 1, True, ""), 5: ("READY", 240, False, "GRADED>READY,READY>CREATED")}
+
+
+def test_set_algebra_by_sides(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("a", "y"), ("b", "z"), ("b", "z")], "side string, w string")
+    got = {r.set_name: r.n for r in Q.set_algebra(df, F.col("side") == "a", "w").collect()}
+    assert got == {"intersect": 1, "union": 3, "difference": 1}
+    assert all(r.n == 0 for r in Q.set_algebra(df.limit(0), F.col("side") == "a", "w").collect())
