@@ -42,6 +42,16 @@ def stream_table(spark: SparkSession, d: str, name: str, per_trigger: int | None
     return s.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in s.dtypes])
 
 
+#: Bytes of a table that one file of a dealt table holds at most, roughly.
+DEALT = 8 << 20
+
+
+def dealt_files(spark: SparkSession, d: str, name: str) -> int:
+    """Files per arrival of a dealt table: as many as keep each of them small."""
+    path, store = _hadoop_path(spark, f"{d}/{name}.parquet")
+    return max(1, -(-store.getContentSummary(path).getLength() // (4 * DEALT)))
+
+
 def dealt_table(spark: SparkSession, d: str, name: str, files: int = 4) -> str:
     """A folder with a table dealt into files that each span its whole time, as arrivals out of order are."""
     import uuid
