@@ -241,9 +241,8 @@ def instruction_flags(c: Column) -> Column:
 
 def units_in(c: Column) -> Column:
     """Known unit tokens in a text, sorted; one-letter units need non-letter neighbours."""
-    rules = [(c.rlike(rf"(?:^|[^A-Za-zμ]){u}(?:$|[^A-Za-z])") if u in X.LONE_UNITS else c.contains(u), u)
-             for u in X.UNIT_TOKENS]
-    return F.array_sort(codes(rules))
+    alone = lambda u: c.contains(u) & c.rlike(rf"(?:^|[^A-Za-zμ]){u}(?:$|[^A-Za-z])")  # most texts lack most letters
+    return codes([(alone(u) if u in X.LONE_UNITS else c.contains(u), u) for u in sorted(X.UNIT_TOKENS)])
 
 
 VALUE_UNIT = (r"(-?[0-9]+(?:[.,][0-9]+)?(?:\s*[eE]\s*-?[0-9]+)?)\s*(mV|V|mA|A|kΩ|Ω|Ohm[a-z]*|Hz|kHz|MHz|mW|W|J|C|F|H|s"
