@@ -200,15 +200,16 @@ def unseen_formulas(units: DataFrame, formulas: DataFrame, k: int) -> DataFrame:
     """Enough unseen formulas per (student, touched topic) to fill ``k`` slots.
 
     A student who knows m formulas of a topic finds k unseen ones among its first m + k. Only those
-    positions are generated and joined on (topic, position), so the work grows with what students
-    know, not with students times formulas.
+    positions, as far as the topic has them, are generated and joined on (topic, position), so the work
+    grows with what students know, not with students times formulas.
     """
     order = row_numbers(formulas.select("topic", "unit_ref"), ["topic"], "unit_ref", name="pos")
     touched = units.filter("unit_kind = 'topic'").select("student_id", "topic", F.col("score").alias("topic_score"))
     known = units.filter("unit_kind = 'formula'")
     counts = known.groupBy("student_id", "topic").agg(F.count(F.lit(1)).alias("m"))
-    want = (touched.join(counts, ["student_id", "topic"], "left")
-            .withColumn("pos", F.explode(F.sequence(F.lit(1), (F.coalesce("m", F.lit(0)) + k).cast("int")))))
+    sizes = order.groupBy("topic").agg(F.max("pos").alias("size"))
+    want = (touched.join(counts, ["student_id", "topic"], "left").join(sizes, "topic")
+            .withColumn("pos", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("m", F.lit(0)) + k, F.col("size")).cast("int")))))
     cand = want.join(order, ["topic", "pos"]).withColumn("unit_id", F.concat(F.lit("formula:"), "unit_ref"))
     return cand.join(known.select(*KEYS), KEYS, "left_anti").select(
         *KEYS, "unit_ref", "topic", "topic_score")
