@@ -282,7 +282,7 @@ def _(spark, d):
 def _(spark, d):
     w = World(spark, d)
     recs = AD.recommendations(w.units, AD.learning_path(w.units, w.formulas, 8), 5)
-    recs = recs.join(w.profile.select("student_id", "unit_id", "roots"), ["student_id", "unit_id"], "left")
+    recs = recs.join(w.units.select("student_id", "unit_id", "roots"), ["student_id", "unit_id"], "left")
     return AD.recommendation_to_spec(AD.question_strategy(recs))
 
 

@@ -13,6 +13,7 @@ from evalspark.operators.ordered import row_numbers
 from evalspark.operators.upserts import top_rows
 from evalspark.policies import (CATEGORIES, CURRICULUM, DIFFICULTY, NUMERICAL_ROOTS, PRIORITY,
                                 QUESTION_STRATEGY, RETENTION, SPACING)
+from evalspark.session import materialize
 
 KEYS = ["student_id", "unit_id"]
 P, S, D, RT, C = (x.parameters for x in (PRIORITY, SPACING, DIFFICULTY, RETENTION, CURRICULUM))
@@ -235,7 +236,7 @@ def learning_path(units: DataFrame, formulas: DataFrame, limit: int = 8) -> Data
     explore = limit // P["exploration_share"]
     n = limit - explore
     best = [F.desc("priority"), F.asc("unit_id")]
-    leaves = top_rows(units.filter(_leaf()).select(*ITEM), ["student_id"], best, n)
+    leaves = materialize(top_rows(units.filter(_leaf()).select(*ITEM), ["student_id"], best, n), "leaves")
     covered = leaves.select("student_id", "topic").distinct()
     used = leaves.groupBy("student_id").agg(F.count(F.lit(1)).alias("used"))
     parents = units.filter(~_leaf()).select(*ITEM).join(covered, ["student_id", "topic"], "left_anti")
@@ -254,8 +255,9 @@ def recommendations(units: DataFrame, path: DataFrame, limit: int | None = 5) ->
 
     A parent (section, topic) is dropped when an allowed leaf of its topic comes before it. Leaves
     are never dropped, so "an earlier leaf was kept" is the same as "an earlier leaf exists", and
-    the sequential rule becomes one aggregate and one join.
+    the sequential rule becomes one aggregate beside the rows. The path is read twice, so it is written once.
     """
+    path = materialize(path, "path")
     fill = units.select(*ITEM).join(path.select(*KEYS), KEYS, "left_anti").withColumns(
         {"explored": F.lit(False), "in_path": F.lit(False)})
     df = path.select(*ITEM, "explored").withColumn("in_path", F.lit(True)).unionByName(fill)
@@ -266,9 +268,8 @@ def recommendations(units: DataFrame, path: DataFrame, limit: int | None = 5) ->
     df = df.withColumns({"_visit": visit, "_cat": F.when(F.col("in_path"), F.col("category")).otherwise(0),
                          "_neg": -F.col("priority")})
     pos = F.struct("_visit", "_cat", "_neg", "unit_id")
-    lead = (df.filter(_leaf() & allow & F.col("topic").isNotNull()).groupBy("student_id", "topic")
-            .agg(F.min(pos).alias("_lead")))
-    df = df.join(lead, ["student_id", "topic"], "left")
+    lead = F.min(F.when(_leaf() & allow & F.col("topic").isNotNull(), pos))
+    df = df.withColumn("_lead", lead.over(Window.partitionBy("student_id", "topic")))
     covered = ~_leaf() & F.col("_lead").isNotNull() & (F.col("_lead") < pos)
     checked = allow | ~F.col("in_path")  # deferred path items are not checked
     df = df.filter(~(F.coalesce(covered, F.lit(False)) & checked))
@@ -316,8 +317,7 @@ def mode_filter(items: DataFrame, recurrent_units: DataFrame, mode: str) -> Data
     r = study_rank(F.col("retention")) if mode == "STUDY" else recovery_rank(F.col("retention"), rec)
     keep = (r < 4) if mode == "STUDY" else (r < 5)
     df = df.withColumns({"_m": r, "_keep": keep})
-    any_kept = df.groupBy("student_id").agg(F.max("_keep").alias("_any"))
-    df = df.join(any_kept, "student_id").filter(F.col("_keep") | ~F.col("_any"))
+    df = df.withColumn("_any", F.max("_keep").over(Window.partitionBy("student_id"))).filter(F.col("_keep") | ~F.col("_any"))
     w = Window.partitionBy("student_id").orderBy(
         F.when(F.col("_any"), F.col("_m")).otherwise(0), "rank")
     return df.withColumn("mode_rank", F.row_number().over(w)).drop("_m", "_keep", "_any", "_rec")
