@@ -12,9 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.operators.ordered import row_numbers
-from evalspark.session import materialize
+from evalspark.session import materialize, spread
 
 CELL = ["topic", "type", "difficulty"]
+#: Fixed value: cells of exams per task; each makes a few dozen rows.
+CELLS = 25_000
+#: Fixed value: exams per task that chooses their items.
+EXAMS = 1_000
 _ROUNDS = 6
 _MIX = 0x9E3779B97F4A7C15
 
@@ -76,18 +80,37 @@ def _drawn(items: DataFrame, want: DataFrame, cell: list[str]) -> DataFrame:
     if "section" in cell:
         cells = cells.filter(F.exists(F.coalesce(F.try_element_at("sections", F.col("topic")), F.array().cast("array<string>")), lambda p: F.startswith("section", p)))
     cells = materialize(cells.withColumn("_key", F.xxhash64("seed", *cell)).select("exam_id", "question_count", "demands", *cell, "_n", "_key"), "exam-cells")
+    cells = spread(cells, CELLS, "exam_id")
     draws = cells.withColumn("_i", F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), 2 * F.col("question_count")).cast("int") - 1)))
     draws = draws.withColumn("_pos", _permuted(False)(F.col("_i").cast("long"), "_n", "_key") + 1)
-    rest = [c for c in items.columns if c not in cell]
-    first = draws.join(numbered, [*cell, "_pos"]).select(
-        "exam_id", share(F.col("_i"), F.col("_n"), F.col("_key")).alias("_o"), *cell, *rest, F.lit(False).alias("hard"))
-    held = numbered.withColumn("_what", F.explode("holds"))
-    needs = cells.withColumn("_what", F.explode("demands")).drop("demands").join(held, [*cell, "_what"])
-    needs = needs.withColumn("_i", _permuted(True)(F.col("_pos") - 1, "_n", "_key"))
-    best = needs.withColumn("_o", share(F.col("_i"), F.col("_n"), F.col("_key"))).groupBy("exam_id", "_what").agg(F.min(F.struct("_o", *rest, *cell)).alias("b")).select("exam_id", "b.*")
+    rest = [c for c in items.columns if c not in [*cell, "holds"]]
+    order = share(F.col("_i").cast("int"), F.col("_n"), F.col("_key")).alias("_o")
+    first = draws.join(numbered, [*cell, "_pos"]).select("exam_id", order, *cell, *rest, F.lit(False).alias("hard"))
+    needs = _first_held(cells, numbered, cell).join(numbered, [*cell, "_pos"]).select("exam_id", "_what", order, *rest, *cell)
+    best = needs.groupBy("exam_id", "_what").agg(F.min(F.struct("_o", *rest, *cell)).alias("b")).select("exam_id", "b.*")
     return first.unionByName(best.select("exam_id", "_o", *cell, *rest, F.lit(True).alias("hard")))
 
 
+def _first_held(cells: DataFrame, numbered: DataFrame, cell: list[str]) -> DataFrame:
+    """(exam_id, cell, _what, _n, _key, _i, _pos): the first draw of each cell of an exam that holds each thing it demands.
+
+    Of n items h hold it. Where h * h <= n, the places of all h are computed. Else a draw is likely to hold it soon: n / h * ln(h * h / n)
+    draws are tried in order, and only where none does (one in h * h / n) all places are computed. An exam makes about the root of n rows.
+    """
+    pair = ["exam_id", *cell, "_what", "_n", "_key"]
+    held = materialize(numbered.select(*cell, "_pos", F.explode("holds").alias("_what")), "held-items")
+    asked = cells.withColumn("_what", F.explode("demands")).join(held.groupBy(*cell, "_what").agg(F.count(F.lit(1)).alias("_h")), [*cell, "_what"])
+    n, h = F.col("_n"), F.col("_h")
+    tries = F.least(n, F.ceil(n / h * F.log(h * h / n))).cast("long")
+    tried = asked.filter(h * h > n).select(*pair, F.explode(F.sequence(F.lit(0).cast("long"), tries - 1)).alias("_i"))
+    tried = tried.withColumn("_pos", _permuted(False)("_i", "_n", "_key") + 1).join(held, [*cell, "_what", "_pos"], "left_semi")
+    soon = materialize(tried.groupBy(*pair).agg(F.min("_i").alias("_i")), "soon-held")
+    placed = asked.select(*pair).join(soon.select("exam_id", *cell, "_what"), ["exam_id", *cell, "_what"], "left_anti").join(held, [*cell, "_what"])
+    placed = placed.withColumn("_i", _permuted(True)(F.col("_pos") - 1, "_n", "_key")).groupBy(*pair).agg(F.min("_i").alias("_i"))
+    found = soon.unionByName(placed.select(soon.columns))
+    return found.withColumn("_pos", _permuted(False)("_i", "_n", "_key") + 1)
+
+
 def assemble_exam(bank: DataFrame, bp: DataFrame) -> DataFrame:
     """(exam_id, position, question_id, type, difficulty, source, shortfall) of each exam.
 
@@ -111,7 +134,7 @@ def assemble_exam(bank: DataFrame, bp: DataFrame) -> DataFrame:
     if "sections" in bp.columns:
         c = c.unionByName(_drawn(one, want.filter(named), ["topic", "section", "type", "difficulty"]).select(c.columns))
     c = c.join(bp.select("exam_id", "question_count", F.col("types").alias("type_map"), F.col("difficulty").alias("diff_map"), "ordering"), "exam_id")
-    return c.drop("holds", "section").groupBy("exam_id").applyInPandas(
+    return spread(c.drop("section"), EXAMS, "exam_id", count=bp.count()).groupBy("exam_id").applyInPandas(
         walk, "exam_id long, position int, question_id long, type string, difficulty string, source string, shortfall int")
 
 

@@ -1,5 +1,6 @@
 """Joint exam assembly against the greedy choice over the whole bank, and the keyed permutation."""
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,32 @@ def test_by_type_gives_out_the_first_of_each_block(spark):
     plan = E.assemble_by_type(bank, bp)._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[:plan.rindex("Join Inner, ((") if "Join Inner, ((" in plan else 0]
     assert "slice(array_sort(" in joined
+
+
+def test_demands_meet_about_the_root_of_a_cell(spark, monkeypatch):
+    """What an exam demands is the first draw that holds it, and neither every item that holds it nor every draw is placed."""
+    placed, keyed = spark.sparkContext.accumulator(0), A._permuted
+
+    def counted(inverse):
+        @F.pandas_udf("long")
+        def run(i: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+            placed.add(len(i))
+            return pd.Series(A.permuted(i.to_numpy(), n.to_numpy(), key.to_numpy().view(np.uint64), inverse))
+        return run
+
+    monkeypatch.setattr(A, "_permuted", counted)
+    n, exams, types = 1500, 80, {"THEORY": 2}
+    held = {"often": 2, "seldom": 40, "once": n}
+    bank = spark.range(n).select(
+        F.col("id").alias("question_id"), F.lit(1).alias("topic"), F.lit("THEORY").alias("type"), F.lit("EASY").alias("difficulty"), F.lit("s").alias("section"), F.col("id").cast("string").alias("fingerprint"),
+        F.array_compact(F.array(*[F.when(F.col("id") % m == m - 1, w) for w, m in held.items()])).alias("formula_ids"))
+    bp = spark.createDataFrame([(e, e, [1], 4, types, {}, "random", list(held)) for e in range(exams)],
+                               "exam_id long, seed long, topics array<int>, question_count int, types map<string,int>, difficulty map<string,double>, ordering string, formula_ids array<string>")
+    got = A.assemble_exam(bank, bp).filter("source = 'coverage'").select("exam_id", "question_id").collect()
+    assert placed.value < exams * n / 4
+    keys = {r.exam_id: r.k for r in bp.select("exam_id", F.xxhash64("seed", F.lit(1), F.lit("THEORY"), F.lit("EASY")).alias("k")).collect()}
+    want = set()
+    for e, key in keys.items():
+        order = A.permuted(np.arange(n), np.full(n, n), np.full(n, key).view(np.uint64)).tolist()
+        want |= {(e, next(q for q in order if q % m == m - 1)) for m in held.values()}
+    assert {tuple(r) for r in got} == want
