@@ -77,3 +77,16 @@ def test_odd_vectors_and_many_blocks(spark):
     for block, chunk in ((512, 8192), (4, 16)):
         assert {(r.label, r.vec_id, r.cosine, r["rank"]) for r in S.dense_search(vectors, queries, 5, block, chunk).collect()} == want
     assert "CartesianProduct" not in (plan := S.dense_search(vectors, queries, 5)._jdf.queryExecution().toString()) and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_products_stay_in_tasks_of_their_items(spark, monkeypatch):
+    """Products of items and queries are never grouped over the rows of a whole file."""
+    texts = spark.createDataFrame([(i, f"paraula{i % 7} terme{i % 11} comu comu") for i in range(60)], "chunk_id long, text string")
+    index = I.build_index(texts.withColumns({"topic": F.lit(1), "source_type": F.lit("html"), "h1": F.lit(""), "h2": F.lit("")}))
+    v = EM.embed(texts, EM.TfidfProvider(index), "chunk_id")
+    want = {tuple(r) for r in EM.similar(v, v.filter("id < 20"), 5).collect()}
+    monkeypatch.setattr(EM, "PRODUCTS", 40, raising=False)
+    found = EM.similar(v, v.filter("id < 20"), 5)
+    assert {tuple(r) for r in found.collect()} == want and len(want) == 100
+    plan = found._jdf.queryExecution().toString()
+    assert "hashpartitioning(item_id" in plan and not any("hashpartitioning(query_id" in x and "item_id" in x.split("hashpartitioning(")[1].split(")")[0] for x in plan.splitlines())
