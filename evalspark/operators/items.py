@@ -7,7 +7,10 @@ from evalspark.functions import text as T
 from evalspark.functions.columns import codes
 from evalspark.operators.containment import contained
 from evalspark.operators.upserts import top_rows
-from evalspark.session import materialize
+from evalspark.session import materialize, spread
+
+#: Fixed value: sentences per task whose pieces are made.
+SENTENCES = 2_000
 
 
 def sentence_candidates(chunks: DataFrame, sentences: int = 3, min_chars: int = 200) -> DataFrame:
@@ -27,7 +30,8 @@ def generate_true_false(candidates: DataFrame, concepts: DataFrame, seed: int =
     c = materialize(candidates.withColumn("truth", h % 2 == 0), "statements")
     known = concepts.filter(F.length("term") > 4).select("topic", "term").distinct()
     terms = known.select("term").distinct().withColumn("_low", F.lower("term"))
-    inside = contained(terms, c.filter("NOT truth").select("chunk_id", "pos", "topic", F.lower("sentence").alias("_s")), "_low", "_s").select("chunk_id", "pos", "topic", "term")
+    false = spread(c.filter("NOT truth").select("chunk_id", "pos", "topic", F.lower("sentence").alias("_s")), SENTENCES, "chunk_id", "pos")
+    inside = contained(terms, false, "_low", "_s").select("chunk_id", "pos", "topic", "term")
     inside = materialize(inside, "concepts-inside")
     most = inside.groupBy("chunk_id", "pos").count().agg(F.max("count")).first()[0] or 0
     foreign = materialize(_foreign(known, c.select("topic").distinct(), most + 1), "foreign-concepts")

@@ -222,3 +222,16 @@ def test_units_in_are_sorted_without_sorting_rows(spark):
     out = df.select(T.units_in(F.col("t")).alias("u"))
     assert [r.u for r in out.collect()] == [["m", "mV", "s"], [], [], []]
     assert "array_sort" not in out._jdf.queryExecution().toString()
+
+
+def test_false_statements_are_dealt_out_by_sentence(spark, monkeypatch):
+    """The sentences of one small file are cut into pieces by several tasks."""
+    from evalspark.operators import items as IT
+    met, contained = [], IT.contained
+    monkeypatch.setattr(IT, "SENTENCES", 3, raising=False)
+    monkeypatch.setattr(IT, "contained", lambda n, t, *c: met.append((t.count(), t.rdd.getNumPartitions())) or contained(n, t, *c))
+    c = spark.createDataFrame([(i, 0, 1, f"La bobina gran numero {i} resisteix sempre", ["bobina", "resisteix"]) for i in range(60)], "chunk_id long, pos int, topic int, sentence string, terms array<string>").coalesce(1)
+    concepts = spark.createDataFrame([(2, "bobina"), (2, "sempre"), (2, "transformador")], "topic int, term string")
+    rows = IT.generate_true_false(c, concepts).collect()
+    assert len(rows) == 60 and {r.replacement for r in rows if not r.truth} == {"transformador"}
+    assert met[0][0] == sum(not r.truth for r in rows) and met[0][1] >= met[0][0] / 3
