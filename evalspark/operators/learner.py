@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalspark.functions.columns import first_true
 from evalspark.policies import MASTERY, REVIEW
+from evalspark.session import spread
 
 M, R = MASTERY.parameters, REVIEW.parameters
 KEYS = ["student_id", "unit_id"]
 ORDER = ["created_at", "attempt_id"]
+#: Fixed value: unit events per task; their windows hold about 1.5 KB of each.
+EVENTS = 150_000
 
 
 def units_for(attempts: DataFrame) -> DataFrame:
@@ -75,12 +78,17 @@ def _interval(base: Column, k: Column) -> Column:
                    (base * F.pow(F.lit(float(R["growth"])), F.least(k, F.lit(6)))).cast("long"))
 
 
+def _dated(ev: DataFrame) -> DataFrame:
+    return ev.withColumn("_blk", F.date_trunc("DAY", "created_at"))
+
+
 def _local(ev: DataFrame) -> DataFrame:
     """Folds inside one (key, day) block."""
     o = _outcome(F.col("status"))
     reset = F.when(o == "partial", R["partial"]).when(o == "incorrect", R["incorrect"])
+    ev = ev if "_blk" in ev.columns else _dated(ev)
     ev = ev.withColumns({
-        "_blk": F.date_trunc("DAY", "created_at"), "_g": F.col("signal").isNotNull().cast("long"),
+        "_g": F.col("signal").isNotNull().cast("long"),
         "_s": F.coalesce("signal", F.lit(0.0)), "_ok": (o == "correct").cast("long"),
         "_first_ok": (o == "correct"), "_reset": reset})
     key = Window.partitionBy(*KEYS, "_blk")
@@ -106,10 +114,11 @@ def _first_base() -> Column:
     return F.when(F.col("_first"), R["first_correct"]).otherwise(R["first_other"])
 
 
-def _blocks(local: DataFrame) -> DataFrame:
+def _blocks(local: DataFrame, count: int | None = None) -> DataFrame:
     """One summary row per (key, day), with everything folded before it."""
     last = F.max(F.struct(*ORDER, *_BLOCK, "signal", "status"))
     b = local.groupBy(*KEYS, "_blk").agg(last.alias("_e")).select(*KEYS, "_blk", "_e.*")
+    b = b if count is None else spread(b, EVENTS, *KEYS, count=count)
     over = Window.partitionBy(*KEYS).orderBy("_blk")
     prior = over.rowsBetween(Window.unboundedPreceding, -1)
     run = over.rowsBetween(Window.unboundedPreceding, 0)
@@ -187,8 +196,13 @@ def mastery_events(ev: DataFrame) -> DataFrame:
 
 def mastery_states(ev: DataFrame) -> DataFrame:
     """Final state per (student, unit), folded from block summaries only."""
-    b = _blocks(_local(ev)).filter("_next IS NULL")
-    df = _compose(b)
+    return _states(ev, ev.count())
+
+
+def _states(ev: DataFrame, count: int) -> DataFrame:
+    """Each window's rows are dealt into tasks by number (``count`` events at most): what it keeps of a row is many times what is shuffled."""
+    ev = spread(_dated(ev), EVENTS, *KEYS, "_blk", count=count)
+    df = _compose(_blocks(_local(ev), count).filter("_next IS NULL"))
     return df.select(
         *KEYS, F.substring_index("unit_id", ":", 1).alias("unit_kind"),
         F.expr("substring(unit_id, instr(unit_id, ':') + 1)").alias("unit_ref"),
@@ -216,7 +230,8 @@ def process_attempts(attempts: DataFrame) -> DataFrame:
     if "formula_ids" not in attempts.columns:
         fresh = fresh.withColumn("formula_ids", F.array(
             F.concat(F.lit("eq-"), F.col("question_id").cast("string"))))
-    return mastery_states(units_for(fresh))
+    # an id given twice counts twice here, which makes tasks smaller
+    return _states(units_for(fresh), 2 * attempts.count())
 
 
 def latest_version(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.operators import learner as L
+from evalspark.sources import fixtures as fx
 from evalspark.streaming import learner as ST
 
 STATUS = {1.0: "CORRECT", 0.5: "PARTIALLY_CORRECT", 0.0: "INCORRECT", None: "NO_ANSWER"}
@@ -104,3 +105,17 @@ def test_recommendations_write_what_they_read_twice(spark):
     sf = "/root/testdata/sf0.001"
     assert any("/path-" in f for f in entry.queries()["l8_recovery_mode"](spark, sf).inputFiles())
     assert not any("events.parquet" in f for f in entry.queries()["x16_recommendation_to_spec"](spark, sf).inputFiles())
+
+
+def test_states_are_folded_in_tasks_of_so_many_events(spark, monkeypatch):
+    """Tasks of the windows are as many as the events ask for, are not joined again, and give the same states."""
+    ev = fx.unit_events(spark, "/root/testdata/sf0.001")
+    want = sorted(map(str, L.mastery_states(ev).collect()))
+    n = ev.count()
+    monkeypatch.setattr(L, "EVENTS", n // 20, raising=False)
+    states = L.mastery_states(ev)
+    assert sorted(map(str, states.collect())) == want
+    plan = states._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan") if "Initial Plan" in plan else 0:]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in x and (f", {-(-n // (n // 20))})" in x or f", {-(-n // (n // 20))}, " in x) for x in dealt)
