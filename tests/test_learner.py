@@ -119,3 +119,10 @@ def test_states_are_folded_in_tasks_of_so_many_events(spark, monkeypatch):
     plan = plan[plan.index("Initial Plan") if "Initial Plan" in plan else 0:]
     dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in x and (f", {-(-n // (n // 20))})" in x or f", {-(-n // (n // 20))}, " in x) for x in dealt)
+
+
+def test_exam_view_folds_topics_only(spark, monkeypatch):
+    import __spark_entry__ as entry
+    kinds, fold = [], L.mastery_states
+    monkeypatch.setattr(L, "mastery_states", lambda ev: kinds.extend(r.unit_kind for r in ev.select("unit_kind").distinct().collect()) or fold(ev))
+    assert entry.queries()["a18_exam_mastery_view"](spark, "/root/testdata/sf0.001").limit(1).count() == 1 and kinds == ["topic"]
