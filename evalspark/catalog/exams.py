@@ -239,7 +239,7 @@ def _(spark, d):
 def _(spark, d):
     bank, bp = fx.item_bank(spark, d), fx.blueprints(spark, d)
     stored = E.assemble_by_type(bank, bp).join(bank.select("question_id", F.when(F.col("question_id") % 9 == 0, "old").otherwise(F.col("fingerprint")).alias("fingerprint"),
-                                                           F.sha2("prompt", 256).alias("body_sha")), "question_id")
+                                                           F.sha2("prompt", 256).alias("body_sha")).hint("merge"), "question_id")
     return E.snapshot_check(stored, bank, F.col("prompt"))
 
 
@@ -247,7 +247,7 @@ def _(spark, d):
 def _(spark, d):
     bank, bp = fx.item_bank(spark, d), fx.blueprints(spark, d)
     want = bp.select("exam_id", F.explode("topics").alias("topic"))
-    have = E.assemble_by_type(bank, bp).join(bank.select("question_id", "topic"), "question_id").select("exam_id", "topic")
+    have = E.assemble_by_type(bank, bp).join(bank.select("question_id", "topic").hint("merge"), "question_id").select("exam_id", "topic")
     return want.exceptAll(have.distinct()).groupBy("exam_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("topic")), lambda x: x.cast("string")), ",").alias("missing"))
 
 

@@ -7,6 +7,10 @@ from evalspark.functions import labels as LB
 from evalspark.functions.columns import codes, first_true, lookup
 from evalspark.functions.units import available_thousandths, percent_hundredths, thousandths
 from evalspark.policies import DIFFICULTY, TRANSITIONS
+from evalspark.session import spread
+
+#: Fixed value: cells that exams ask for, per task; each meets the items of its cell.
+ASKED = 10_000
 
 
 def exam_results(rows: DataFrame, instances: DataFrame | None = None) -> DataFrame:
@@ -129,7 +133,8 @@ def assemble_by_type(bank: DataFrame, bp: DataFrame, block: int = 256, deal: int
 
     The order is a hash of seed and item, so an exam does meet all items of its topics and types; ``assembly`` draws them by number.
     They meet as blocks of items, which give out the first ``quota`` of each block alone: the first items of an exam are first in their
-    blocks too, and a block holds a fingerprint once. Neither the pairs nor their hashes are shuffled.
+    blocks too, and a block holds a fingerprint once. Neither the pairs nor their hashes are shuffled. What is asked is few bytes and much
+    work, so it is dealt by its number of rows, and it is never broadcast.
     """
     want = bp.select("exam_id", "seed", "topics", F.explode("types").alias("type", "quota")).filter("quota > 0").select(
         "exam_id", "seed", "type", "quota", F.max("quota").over(Window.partitionBy("exam_id", "type")).alias("_most"), F.explode("topics").alias("topic"))
@@ -141,7 +146,8 @@ def assemble_by_type(bank: DataFrame, bp: DataFrame, block: int = 256, deal: int
               .agg(F.collect_list(F.struct("question_id", "fingerprint")).alias("_items")))
     # every part of the exams meets every block of its cells: a cell is as many keys as it has parts
     parts = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
-    met = want.withColumn("_part", F.pmod(F.xxhash64("exam_id", "seed"), F.lit(deal)).cast("int")).join(parts, [*cell, "_part"])
+    asked = spread(want.withColumn("_part", F.pmod(F.xxhash64("exam_id", "seed"), F.lit(deal)).cast("int")), ASKED, *cell, "_part")
+    met = asked.join(parts.hint("merge"), [*cell, "_part"])
     first = F.slice(F.array_sort(F.transform("_items", lambda x: F.struct(
         seeded_order(F.col("seed"), x["question_id"]).alias("_o"), x["question_id"].alias("question_id"), x["fingerprint"].alias("fingerprint")))), 1, F.col("_most").cast("int"))
     c = met.select("exam_id", "type", "quota", F.explode(first).alias("_c")).select("exam_id", "type", "quota", "_c.*")
@@ -153,8 +159,9 @@ def assemble_by_type(bank: DataFrame, bp: DataFrame, block: int = 256, deal: int
 
 
 def quality_gate(exams: DataFrame, bp: DataFrame, bank: DataFrame) -> DataFrame:
-    """Violations of an assembled exam against its blueprint (few questions per exam)."""
-    x = exams.join(bank.select("question_id", "topic", F.col("type").alias("_t"), F.col("difficulty").alias("_d"), "fingerprint"), "question_id", "left")
+    """Violations of an assembled exam against its blueprint (few questions per exam). Here and below the bank is never broadcast: its
+    file is much smaller than its rows, so the planner would send them all to the driver."""
+    x = exams.join(bank.select("question_id", "topic", F.col("type").alias("_t"), F.col("difficulty").alias("_d"), "fingerprint").hint("merge"), "question_id", "left")
     g = x.groupBy("exam_id").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("question_id").alias("nq"), F.countDistinct("fingerprint").alias("nf"),
         F.count("topic").alias("known"), F.array_sort(F.collect_set("topic")).alias("have"), F.collect_set("_t").alias("types_used"))
@@ -168,8 +175,8 @@ def quality_gate(exams: DataFrame, bp: DataFrame, bank: DataFrame) -> DataFrame:
 
 
 def points_for(exam_items: DataFrame, bp: DataFrame, bank: DataFrame) -> DataFrame:
-    j = exam_items.select("exam_id", "question_id").join(bank.select("question_id", F.col("type").alias("_t")), "question_id").join(
-        bp.select("exam_id", "points_by_type", "default_points", "required_default"), "exam_id")
+    j = exam_items.select("exam_id", "question_id").join(bank.select("question_id", F.col("type").alias("_t")).hint("merge"), "question_id").join(
+        bp.select("exam_id", "points_by_type", "default_points", "required_default").hint("merge"), "exam_id")
     return j.select("exam_id", "question_id", F.coalesce(F.try_element_at("points_by_type", F.col("_t")), "default_points").alias("points"),
                     F.col("required_default").alias("required"))
 
@@ -177,7 +184,7 @@ def points_for(exam_items: DataFrame, bp: DataFrame, bank: DataFrame) -> DataFra
 def snapshot_check(stored: DataFrame, bank: DataFrame, body: Column) -> DataFrame:
     """Per exam: do fingerprint and body digest of every stored item still match the bank?"""
     now = bank.select("question_id", F.col("fingerprint").alias("_f"), F.sha2(body, 256).alias("_b"))
-    j = stored.join(now, "question_id", "left")
+    j = stored.join(now.hint("merge"), "question_id", "left")
     ok = F.coalesce((F.col("fingerprint") == F.col("_f")) & (F.col("body_sha") == F.col("_b")), F.lit(False))
     return j.groupBy("exam_id").agg(F.bool_and(ok).alias("valid"), F.sum((~ok).cast("long")).alias("changed"))
 
