@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,6 +24,18 @@ EVENT = ("student_id long, unit_id string, attempt_id long, created_at timestamp
          "status_after string, n long, interval_days long, next_review timestamp, revision long, late boolean")
 
 
+#: Buckets that hold the state of units or sessions, and bytes of a table for each of them where a query goes by its size.
+BUCKETS, PER_BUCKET = 256, 1 << 18
+#: The state of a unit before its first event.
+_NEW = [0, 0, 0.0, 0.0, 0, [], None]
+_DAY, _NAT = 86_400_000_000, -(1 << 63)
+
+
+def _moments(us: list[int]) -> np.ndarray:
+    """Microseconds as time stamps; ``_NAT`` is none."""
+    return np.array(us, np.int64).view("datetime64[us]")
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     """A path and its store, whichever Spark can read."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,6 +65,12 @@ def dealt_files(spark: SparkSession, d: str, name: str) -> int:
     return max(1, -(-store.getContentSummary(path).getLength() // (4 * DEALT)))
 
 
+def buckets_of(spark: SparkSession, d: str, name: str) -> int:
+    """Buckets of state for a table: as many as keep each of them small."""
+    path, store = _hadoop_path(spark, f"{d}/{name}.parquet")
+    return max(BUCKETS, store.getContentSummary(path).getLength() // PER_BUCKET)
+
+
 def dealt_table(spark: SparkSession, d: str, name: str, files: int = 4) -> str:
     """A folder with a table dealt into files that each span its whole time, as arrivals out of order are."""
     import uuid
@@ -126,45 +145,70 @@ def _folded(at: list, event: list) -> tuple[list, tuple]:
     return [n + 1, g, s, si, int(correct), tail, interval], (score, confidence_of(g, tail), status_of(score, n + 1, correct, tail), n + 1, interval)
 
 
-def stream_mastery(unit_events: DataFrame, late: str = "30 days") -> DataFrame:
+def _taken_in(unit: list, new: list, span: int) -> tuple[list, list]:
+    """A unit's state (past, edge, held events, revision) after new events (time, attempt, signal, status), and the rows given out:
+    (attempt, time, score, confidence, status, n, days, revision, late)."""
+    past, edge, held, revision = unit
+    known, out, taken = {(t, a) for t, a, _, _ in held}, [], []
+    # rows that repeat an attempt have an order too
+    for e in sorted(new, key=lambda e: (e[0], e[1], e[2] is None, e[2] or 0.0, e[3] is None, e[3] or "")):
+        if edge is not None and e[:2] <= edge:
+            out.append((e[1], e[0], None, None, None, None, None, revision, True))
+        elif (e[0], e[1]) not in known:
+            known.add((e[0], e[1]))
+            taken.append(e)
+    if taken:
+        held = sorted(held + taken, key=lambda e: e[:2])
+        at, keep_from = past, held[-1][0] - span
+        for e in held:
+            at, given = _folded(at, e)
+            if e[:2] >= taken[0][:2]:
+                out.append((e[1], e[0], *given, revision, False))
+            if e[0] < keep_from:
+                past, edge = at, e[:2]
+        held = [e for e in held if e[0] >= keep_from]
+    return [past, edge, held, revision + 1], out
+
+
+def stream_mastery(unit_events: DataFrame, late: str = "30 days", buckets: int = BUCKETS) -> DataFrame:
     """Score, confidence, status and review interval after every unit event.
 
     The state of a (student, unit) is a folded past and its events of the last ``late`` before its newest one. An event among
     those takes its place in time, and every event from there on is given out again with a higher ``revision``
     (``last_revisions`` keeps the valid rows). An event older than the folded past is given out as ``late`` and changes nothing;
     an attempt that is still held is not taken twice.
+
+    Units are held in ``buckets``, as a call of Python for each unit costs far more than its events. A micro-batch writes the buckets
+    that it touches, so a stream of small micro-batches wants many. A stream keeps the number with which it began.
     """
     span = int(pd.Timedelta(late).value // 1000)
 
     def fold(key, frames, state: GroupState):
-        past, edge, held, revision = json.loads(state.get[0]) if state.exists else ([0, 0, 0.0, 0.0, 0, [], None], None, [], 0)
-        pdf = pd.concat(list(frames))
-        times = pdf.created_at.astype("datetime64[us]").astype("int64")
-        new = sorted([int(t), int(a), None if pd.isna(x) else float(x), st] for t, a, x, st in zip(times, pdf.attempt_id, pdf.signal, pdf.status))
-        known, out, taken = {(t, a) for t, a, _, _ in held}, [], []
-        for e in new:
-            if edge is not None and e[:2] <= edge:
-                out.append((key[0], key[1], e[1], pd.Timestamp(e[0], unit="us"), None, None, None, None, None, None, revision, True))
-            elif (e[0], e[1]) not in known:
-                known.add((e[0], e[1]))
-                taken.append(e)
-        if taken:
-            held = sorted(held + taken, key=lambda e: e[:2])
-            at, keep_from = past, held[-1][0] - span
-            for i, e in enumerate(held):
-                at, (score, confidence, status, n, days) = _folded(at, e)
-                when = pd.Timestamp(e[0], unit="us")
-                if e[:2] >= taken[0][:2]:
-                    out.append((key[0], key[1], e[1], when, score, confidence, status, n, days, when + pd.Timedelta(days=days), revision, False))
-                if e[0] < keep_from:
-                    past, edge = at, e[:2]
-            held = [e for e in held if e[0] >= keep_from]
-        state.update((json.dumps([past, edge, held, revision + 1]),))
+        units = {(s, u): rest for s, u, *rest in json.loads(state.get[0])} if state.exists else {}
+        new = {}
+        for pdf in frames:
+            times = pdf.created_at.astype("datetime64[us]").astype("int64").tolist()
+            for s, u, t, a, x, st in zip(pdf.student_id, pdf.unit_id, times, pdf.attempt_id, pdf.signal, pdf.status):
+                new.setdefault((s, u), []).append([t, int(a), None if pd.isna(x) else float(x), st])
+        owners, out = [], []
+        for unit, events in new.items():
+            units[unit], given = _taken_in(units.get(unit, [_NEW, None, [], 0]), events, span)
+            owners += [unit] * len(given)
+            out += given
+        state.update((json.dumps([[*unit, *rest] for unit, rest in units.items()]),))
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")]).astype({"n": "Int64", "interval_days": "Int64"})
+            attempt, at, score, confidence, status, n, days, revision, is_late = zip(*out)
+            due = [_NAT if d is None or t == _NAT else t + d * _DAY for t, d in zip(at, days)]
+            yield pd.DataFrame({
+                "student_id": pd.array([None if s is None else int(s) for s, _ in owners], "Int64"), "unit_id": [u for _, u in owners],
+                "attempt_id": attempt, "created_at": _moments(at), "new_score": np.array(score, float), "new_confidence": np.array(confidence, float),
+                "status_after": list(status), "n": pd.array(n, "Int64"), "interval_days": pd.array(days, "Int64"), "next_review": _moments(due),
+                "revision": revision, "late": is_late})
 
-    return unit_events.groupBy("student_id", "unit_id").applyInPandasWithState(
-        fold, EVENT, "folded string", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.pmod(F.xxhash64("student_id", "unit_id"), F.lit(buckets)).alias("bucket")
+    # ids travel as text: among nulls pandas would make them floating point
+    return unit_events.select(bucket, F.col("student_id").cast("string").alias("student_id"), "unit_id", "attempt_id", "created_at", "signal", "status").groupBy(
+        "bucket").applyInPandasWithState(fold, EVENT, "folded string", "append", GroupStateTimeout.NoTimeout)
 
 
 def last_revisions(events: DataFrame) -> DataFrame:
@@ -180,41 +224,57 @@ def quarantined(events: DataFrame) -> DataFrame:
     return events.filter("late").select("student_id", "unit_id", "attempt_id", "created_at")
 
 
-def stream_expiry(events: DataFrame, duration_seconds: int, late: str = "1 hour") -> DataFrame:
+def _sittings(start: int | None, events: list, duration: int) -> tuple[int | None, list]:
+    """The start of what is still open after a session's events (time in microseconds, state), and what ended: (start, outcome)."""
+    out = []
+    for at, what in sorted(events, key=lambda e: (e[0] == _NAT, e[0], e[1] is None, e[1] or "")):
+        if start is not None and _NAT not in (at, start) and at - start >= duration:
+            # as its timer would have ended it, had it fired between the two events
+            out.append((start, "EXPIRED"))
+            start = None
+        if what == "IN_PROGRESS" and start is None:
+            start = at
+        elif what == "SUBMITTED" and start is not None:
+            out.append((start, "SUBMITTED"))
+            start = None
+    return start, out
+
+
+def stream_expiry(events: DataFrame, duration_seconds: int, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Sittings that end, submitted or expired: a session that was started and not submitted when event time passes
     start + duration expires. A session may hold several sittings, in one micro-batch or in many.
 
-    events: session_id, at, state (IN_PROGRESS or SUBMITTED).
+    events: session_id, at, state (IN_PROGRESS or SUBMITTED). Sessions are held in ``buckets``, each with its earliest timer.
     """
     def step(key, frames, state: GroupState):
-        cols = ["session_id", "started_at", "outcome"]
-        if state.hasTimedOut:
-            started = pd.Timestamp(state.get[0], unit="us")
-            state.remove()
-            yield pd.DataFrame([(key[0], started, "EXPIRED")], columns=cols)
-            return
-        pdf = pd.concat(list(frames)).sort_values(["at", "state"])
-        start = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        sittings = []
-        for at, what in zip(pdf["at"], pdf["state"]):
-            if start is not None and (at - start).total_seconds() >= duration_seconds:
-                # as its timer would have ended it, had it fired between the two events
-                sittings.append((key[0], start, "EXPIRED"))
-                start = None
-            if what == "IN_PROGRESS" and start is None:
-                start = at
-            elif what == "SUBMITTED" and start is not None:
-                sittings.append((key[0], start, "SUBMITTED"))
-                start = None
-        if start is not None:
-            state.update((int(start.value // 1000),))
-            state.setTimeoutTimestamp(max(int(start.value // 1000000) + duration_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        open_ = json.loads(state.get[0]) if state.exists else []
+        open_ = {s: (start, timer) for s, start, timer in open_}
+        watermark, new, ended = state.getCurrentWatermarkMs(), {}, []
+        if not state.hasTimedOut:
+            for pdf in frames:
+                for s, at, what in zip(pdf["session_id"], pdf["at"].astype("datetime64[us]").astype("int64").tolist(), pdf["state"]):
+                    new.setdefault(s, []).append((at, what))
+        for s, rows in new.items():
+            start, out = _sittings(open_.pop(s, (None,))[0], rows, duration_seconds * 1_000_000)
+            ended += [(s, *x) for x in out]
+            if start is not None:
+                # a moment that is null is kept as pandas' earliest one
+                start = start // 1000 if start == _NAT else start
+                open_[s] = (start, max(start // 1000 + duration_seconds * 1000, watermark + 1))
+        for s in [s for s, (_, timer) in open_.items() if timer < watermark]:
+            ended.append((s, open_.pop(s)[0], "EXPIRED"))
+        if open_:
+            state.update((json.dumps([(s, *x) for s, x in open_.items()]),))
+            state.setTimeoutTimestamp(min(timer for _, timer in open_.values()))
         elif state.exists:
             state.remove()
-        if sittings:
-            yield pd.DataFrame(sittings, columns=cols)
-    return events.withWatermark("at", late).groupBy("session_id").applyInPandasWithState(
-        step, "session_id long, started_at timestamp, outcome string", "started long", "append", GroupStateTimeout.EventTimeTimeout)
+        if ended:
+            yield pd.DataFrame({"session_id": pd.array([None if s is None else int(s) for s, _, _ in ended], "Int64"),
+                                "started_at": _moments([x for _, x, _ in ended]), "outcome": [x for _, _, x in ended]})
+
+    held = events.withWatermark("at", late).select(F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket"), F.col("session_id").cast("string").alias("session_id"), "at", "state")
+    return held.groupBy("bucket").applyInPandasWithState(
+        step, "session_id long, started_at timestamp, outcome string", "open string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class UpsertLog:
